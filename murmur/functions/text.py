@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space, plus the four ASCII separators that Python's ``str.split`` also honours.
-_SPACE = r"[\s\x1c-\x1f]"
+# Unicode white space, and the four ASCII separators Python also takes for spaces.
+_SPACES_BUT_BLANK = (
+    r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_SPACE = f"[ {_SPACES_BUT_BLANK}]"
+# A run of spaces other than a single blank, which can stay as it is.
+_SPACE_RUN = f"[{_SPACES_BUT_BLANK}]{_SPACE}*| {_SPACE}+"
 _CASED = r"\p{IsLowercase}\p{IsUppercase}\p{IsTitlecase}"
 
 # Words left out of search queries.
@@ -24,35 +29,40 @@ def string_array(values: list[str]) -> Column:
 
 def collapse_spaces(text: Column) -> Column:
     """Trim, and turn every run of white space into one blank."""
-    return F.trim(F.regexp_replace(text, f"(?U){_SPACE}+", " "))
+    return F.trim(F.regexp_replace(text, _SPACE_RUN, " "))
 
 
 def strip_spaces(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+\z", "")
+    return F.regexp_replace(text, rf"^{_SPACE}+|{_SPACE}+\z", "")
 
 
 def rstrip_spaces(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U){_SPACE}+\z", "")
+    return F.regexp_replace(text, rf"{_SPACE}+\z", "")
 
 
 def title_case(text: Column) -> Column:
     """Capitalise every run of cased letters: ``wi-fi`` gives ``Wi-Fi``, ``men's`` ``Men'S``."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(f"([{_CASED}]+|[^{_CASED}]+)"), F.lit(1))
-    capital = F.transform(
-        runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))
-    )
-    return F.array_join(capital, "")
+
+    def rest(w: Column) -> Column:
+        return w.substr(F.lit(2), F.length(w))
+
+    def capital(w: Column) -> Column:
+        head = F.upper(F.substring(w, 1, 1))  # two letters for a sharp s or a ligature
+        return F.concat(F.substring(head, 1, 1), F.lower(rest(head)), rest(w))
+
+    return F.array_join(F.transform(runs, capital), "")
 
 
 def classifier_form(text: Column) -> Column:
     """Lower case, single blanks, one blank of padding on each side."""
-    folded = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"(?U){_SPACE}+", " ")
+    folded = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _SPACE_RUN, " ")
     return F.concat(F.lit(" "), folded, F.lit(" "))
 
 
 def search_form(text: Column) -> Column:
     """Lower case without hyphens, then nothing but ``a-z``, ``0-9`` and the blank."""
-    return F.regexp_replace(F.replace(F.lower(text), F.lit("-"), F.lit("")), "[^a-z0-9 ]", "")
+    return F.regexp_replace(F.replace(F.lower(text), F.lit("-"), F.lit("")), "[^a-z0-9 ]+", "")
 
 
 def query_words(question: Column) -> Column:
@@ -65,10 +75,14 @@ def prefixes(words: Column, size: int = 5) -> Column:
     return F.transform(words, lambda w: F.substring(w, 1, size))
 
 
-def grams(text: Column, sizes: list[int], letters: str = "[a-z0-9]") -> Column:
-    """All overlapping character runs of the given sizes, found in one linear pass per size."""
+def grams(text: Column, sizes: list[tuple[int, int]], letters: str = "[a-z0-9]") -> Column:
+    """All overlapping character runs, one linear pass per (smallest, largest) size.
+
+    A pass gives the longest run within its sizes that starts at each position.
+    """
     found = [
-        F.regexp_extract_all(text, F.lit(f"(?s)(?=({letters}{{{n}}}))"), F.lit(1)) for n in sizes
+        F.regexp_extract_all(text, F.lit(f"(?s)(?=({letters}{{{a},{z}}}))"), F.lit(1))
+        for a, z in sizes
     ]
     return found[0] if len(found) == 1 else F.concat(*found)
 

@@ -21,16 +21,22 @@ _TEXT, _NEG, _POS, _NEU, _CATS = "_text", "_neg", "_pos", "_neu", "_category_hit
 
 
 def hits(text: Column, terms: list[str]) -> Column:
-    """How many of the listed terms the text contains; repeats in the list count again."""
-    return F.size(F.filter(string_array(terms), lambda term: F.contains(text, term)))
+    """How many of the listed terms the text contains; repeats in the list count again.
+
+    The length check names the text a second time. A column named only once would be inlined into
+    the lambda and computed again for every term.
+    """
+    found = F.filter(string_array(terms), lambda term: F.contains(text, term))
+    return F.when(F.octet_length(text) > 0, F.size(found)).otherwise(0)
 
 
 def has_any(text: Column, terms: list[str]) -> Column:
-    return F.exists(string_array(terms), lambda term: F.contains(text, term))
+    found = F.exists(string_array(terms), lambda term: F.contains(text, term))
+    return F.when(F.octet_length(text) > 0, found).otherwise(False)
 
 
-def with_classifier_text(df: DataFrame) -> DataFrame:
-    return df.withColumn(_TEXT, classifier_form(F.col("feedback")))
+def with_classifier_text(df: DataFrame, text: str = "feedback") -> DataFrame:
+    return df.withColumn(_TEXT, classifier_form(F.col(text)))
 
 
 def with_hits(df: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -84,21 +90,19 @@ def severity(lexicon: Lexicon) -> Column:
 def keywords(text: Column, stop: list[str], limit: int = 4) -> Column:
     """The first distinct tokens of four or more characters that are not stop words."""
     tokens = F.regexp_extract_all(text, F.lit(r"([a-z][a-z\-]{3,})"), F.lit(1))
-    stops = string_array(stop)
-    wanted = F.filter(tokens, lambda w: ~F.array_contains(stops, w))
-    return F.slice(F.array_distinct(wanted), 1, limit)
+    return F.slice(F.array_except(tokens, string_array(stop)), 1, limit)  # distinct, in order
 
 
-def classify(df: DataFrame, lexicon: Lexicon) -> DataFrame:
+def classify(df: DataFrame, lexicon: Lexicon, text: str = "feedback") -> DataFrame:
     """Add the seven result columns; a blank text gets the fixed neutral record."""
-    blank = F.coalesce(strip_spaces(F.col("feedback")) == "", F.lit(True))
+    blank = F.coalesce(strip_spaces(F.col(text)) == "", F.lit(True))
     calm = F.col("sentiment").isin("Positive", "Neutral")
     actions = F.get(
         string_array([lexicon.actions.get(c, NO_ACTION) for c in lexicon.categories]),
         F.array_position(string_array(list(lexicon.categories)), F.col("category")) - 1,
     )
     scored = (
-        with_hits(with_classifier_text(df), lexicon)
+        with_hits(with_classifier_text(df, text), lexicon)
         .withColumn("_blank", blank)
         .withColumns({
             "sentiment": F.when(F.col("_blank"), "Neutral").otherwise(sentiment(lexicon)),
@@ -110,20 +114,16 @@ def classify(df: DataFrame, lexicon: Lexicon) -> DataFrame:
         "keywords": F.when(F.col("_blank"), F.array().cast("array<string>"))
         .otherwise(keywords(F.col(_TEXT), lexicon.stop)),
         "main_issue": F.when(calm, NO_ISSUE).otherwise(F.concat(F.col("category"), F.lit(" issue"))),
-        "summary": F.when(F.col("_blank"), EMPTY_SUMMARY).otherwise(truncate_summary(F.col("feedback"))),
+        "summary": F.when(F.col("_blank"), EMPTY_SUMMARY).otherwise(truncate_summary(F.col(text))),
         "suggested_action": F.when(calm, NO_ACTION).otherwise(F.coalesce(actions, F.lit(NO_ACTION))),
     }).drop(_TEXT, _NEG, _POS, _NEU, _CATS, "_blank")
 
 
-def classify_as_result(df: DataFrame, lexicon: Lexicon, error: Column | None = None) -> DataFrame:
-    """Like ``classify`` but as one ``result`` struct, optionally with the reason for using rules."""
-    reason = F.lit(None).cast("string") if error is None else error
+def classify_as_result(df: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Like ``classify`` but as one ``result`` struct."""
     names = [n for n in RESULT_FIELDS if n != "analysis_error"]
-    return (
-        classify(df, lexicon)
-        .withColumn("result", F.struct(*names, reason.alias("analysis_error")))
-        .drop(*names)
-    )
+    no_error = F.lit(None).cast("string").alias("analysis_error")
+    return classify(df, lexicon).withColumn("result", F.struct(*names, no_error)).drop(*names)
 
 
 def flatten_keywords(df: DataFrame) -> DataFrame:

@@ -90,14 +90,14 @@ def filter_with_relaxation(df: DataFrame, spec: FilterSpec) -> DataFrame:
 
 
 def explain_filters(df: DataFrame, spec: FilterSpec) -> DataFrame:
-    """How many rows each selection matches on its own: (filter, selected, records)."""
+    """How many rows each selection matches on its own: (filter_name, selected, records)."""
     conditions = {n: c for n, c in predicates(df, spec).items() if n in SELECTIONS}
     if not conditions:
-        return df.sparkSession.createDataFrame([], "filter string, selected string, records long")
+        return df.sparkSession.createDataFrame([], "filter_name string, selected string, records long")
     counts = df.agg(*[F.count_if(c).alias(f"_{n}") for n, c in conditions.items()])
     lines = F.array(*[
         F.struct(
-            F.lit(LABELS[n]).alias("filter"),
+            F.lit(LABELS[n]).alias("filter_name"),
             F.lit(", ".join(getattr(spec, n))).alias("selected"),
             F.col(f"_{n}").alias("records"),
         )
@@ -126,19 +126,19 @@ def feedback_details(df: DataFrame) -> DataFrame:
 
 
 def filter_domains(df: DataFrame) -> DataFrame:
-    """Values on offer in each filter: (filter, value), locations sorted, dates as min and max."""
+    """Values on offer in each filter: (filter_name, value), locations sorted, dates as min and max."""
     spark = df.sparkSession
     fixed = [("category", v) for v in CATEGORIES] + [("sentiment", v) for v in SENTIMENTS]
     fixed += [("severity", v) for v in SEVERITIES]
     locations = df.where(F.col("location").isNotNull()).select("location").distinct()
     bounds = df.agg(F.min("date").alias("date_min"), F.max("date").alias("date_max"))
     days = bounds.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("filter"), F.date_format(c, "yyyy-MM-dd").alias("value"))
+        F.struct(F.lit(c).alias("filter_name"), F.date_format(c, "yyyy-MM-dd").alias("value"))
         for c in bounds.columns
     ])))
     return (
-        locations.select(F.lit("location").alias("filter"), F.col("location").alias("value"))
-        .unionByName(spark.createDataFrame(fixed, "filter string, value string"))
+        locations.select(F.lit("location").alias("filter_name"), F.col("location").alias("value"))
+        .unionByName(spark.createDataFrame(fixed, "filter_name string, value string"))
         .unionByName(days.where(F.col("value").isNotNull()))
-        .orderBy("filter", "value")
+        .orderBy("filter_name", "value")
     )

@@ -50,13 +50,15 @@ def salted_join(
     is_hot = F.coalesce(F.col("_hot"), F.lit(False))
     salted_rows = (
         rows.join(flags, key, "left")
-        .withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0))
+        .withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0).cast("long"))
         .drop("_hot")
     )
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = F.when(
+        is_hot, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+    ).otherwise(F.array(F.lit(0).cast("long")))
     salted_lookup = (
         lookup.join(flags, key, "left")
-        .withColumn("_salt", F.explode(copies).cast("long"))
+        .withColumn("_salt", F.explode(copies))
         .drop("_hot")
     )
     return salted_rows.join(salted_lookup, [key, "_salt"], how).drop("_salt")

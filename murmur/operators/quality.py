@@ -126,7 +126,8 @@ def quality_rules(
     )
     thin = coverage_pairs(df, intended, categories, minimum)
     if intended is not None:
-        lost = intended.select("location", "category").distinct().join(
+        listed = intended.select("location", "category").distinct()
+        lost = listed.where(F.col("category").isin(categories)).join(
             df.select("location").distinct(), "location", "left_anti"
         )
         thin = thin.unionByName(lost.withColumn("rows", F.lit(0).cast("long")))

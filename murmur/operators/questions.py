@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.ordering import top_rows
@@ -52,6 +52,7 @@ NO_POSITIVE_TEXT = "There is no positive feedback in the current data."
 
 QUESTION_SCHEMA = "question_id long, question string"
 TERM_LETTERS = 5  # a term is looked up by this many first letters at most
+PREFIX_MIN = 4  # search words have at least this many
 BLOCK_BITS = 15  # rows per bitmap: 2^15, the size of Spark's bitmap aggregates
 
 
@@ -83,7 +84,7 @@ def mentioned_locations(questions: DataFrame, df: DataFrame) -> DataFrame:
     keys = named.select("location", F.substring("_word", 1, TERM_LETTERS).alias("_run")).distinct()
     asked = questions.select(
         "question_id",
-        F.explode(F.array_distinct(grams(search_form(F.col("question")), [3, 4, 5]))).alias("_run"),
+        F.explode(F.array_distinct(grams(search_form(F.col("question")), [(3, 3), (4, 4), (5, 5)]))).alias("_run"),
     )
     return asked.join(broadcast_if_small(keys), "_run").select("question_id", "location").distinct()
 
@@ -97,7 +98,7 @@ def mentioned_categories(questions: DataFrame, df: DataFrame) -> DataFrame:
     names = names.withColumn("_name", F.lower("category"))
     keys = names.withColumn("_run", F.substring("_name", 1, TERM_LETTERS))
     folded = _folded(F.col("question"))
-    runs = F.array_distinct(F.concat(grams(folded, [1, 2, 3, 4, 5], "."), F.array(F.lit(""))))
+    runs = F.array_distinct(F.concat(grams(folded, [(n, n) for n in range(1, 6)], "."), F.array(F.lit(""))))
     asked = questions.select("question_id", folded.alias("_q"), F.explode(runs).alias("_run"))
     met = asked.join(broadcast_if_small(keys), "_run").where(F.contains("_q", F.col("_name")))
     return met.select("question_id", "category").distinct()
@@ -112,15 +113,19 @@ def question_prefixes(questions: DataFrame) -> DataFrame:
 
 
 def text_prefixes(asked: DataFrame, df: DataFrame) -> DataFrame:
-    """(_ord, _weight, prefix) for each asked-for prefix a text contains, once per text.
+    """(_ord, _weight, prefix) for each asked-for prefix a text contains, repeats possible.
 
-    Each text is taken apart where it lies and looks its runs of four and five characters up
-    among the distinct prefixes, so texts are not shuffled while the prefixes fit a broadcast.
+    Each text is taken apart where it lies: at every position the run of up to five characters is
+    looked up by its first four among the distinct prefixes. Texts are not shuffled while the
+    prefixes fit a broadcast.
     """
-    wanted = asked.select("prefix").distinct()
-    runs = F.array_distinct(grams(search_form(F.col("feedback")), [4, 5]))
-    found = _weighted(df).select(ORD, "_weight", F.explode(runs).alias("prefix"))
-    return found.join(broadcast_if_small(wanted), "prefix")
+    stem = F.substring("prefix", 1, PREFIX_MIN).alias("_stem")
+    wanted = asked.select("prefix").distinct().select("prefix", stem)
+    runs = grams(search_form(F.col("feedback")), [(PREFIX_MIN, TERM_LETTERS)])
+    found = _weighted(df).select(ORD, "_weight", F.explode(runs).alias("_run"))
+    keyed = found.withColumn("_stem", F.substring("_run", 1, PREFIX_MIN))
+    met = keyed.join(broadcast_if_small(wanted), "_stem").where(F.startswith("_run", "prefix"))
+    return met.select(ORD, "_weight", "prefix")
 
 
 def keyword_hits(questions: DataFrame, df: DataFrame, shown: int = 5) -> DataFrame:
@@ -135,44 +140,43 @@ def keyword_hits(questions: DataFrame, df: DataFrame, shown: int = 5) -> DataFra
     postings = text_prefixes(asked, df).groupBy(
         "prefix", "_weight", F.shiftright(ORD, BLOCK_BITS).alias("_block")
     ).agg(F.bitmap_construct_agg(F.col(ORD).bitwiseAND((1 << BLOCK_BITS) - 1)).alias("_bits"))
-    # Questions with the same words share one answer.
-    sets = asked.groupBy("question_id").agg(F.sort_array(F.collect_set("prefix")).alias("_set"))
-    united = (
-        sets.select("_set").distinct().withColumn("prefix", F.explode("_set"))
-        .join(postings, "prefix")
-        .groupBy("_set", "_weight", "_block").agg(F.bitmap_or_agg("_bits").alias("_bits"))
+    # Questions with the same words share one answer, filed under a digest of the words.
+    sets = asked.groupBy("question_id").agg(F.sort_array(F.collect_set("prefix")).alias("_words"))
+    sets = sets.withColumn("_set", F.sha1(F.array_join("_words", " ")))
+    words = sets.dropDuplicates(["_set"]).select("_set", F.explode("_words").alias("prefix"))
+    united = words.join(postings, "prefix").groupBy("_set", "_weight", "_block").agg(
+        F.bitmap_or_agg("_bits").alias("_bits")
     )
-    counts = united.groupBy("_set").agg(F.sum(F.bitmap_count("_bits")).alias("hits"))
-    # Every block kept here holds at least one text, so the first blocks hold the first texts.
-    blocks = top_rows(united, ["_set"], [F.desc("_weight"), F.asc("_block")], shown, "_rank")
+    # Every block holds at least one text, so the first texts lie in the first blocks.
+    totals = Window.partitionBy("_set")
+    blocks = united.select(
+        "_set", "_weight", "_block", "_bits",
+        F.sum(F.bitmap_count("_bits")).over(totals).alias("hits"),
+        F.row_number().over(totals.orderBy(F.desc("_weight"), F.asc("_block"))).alias("_rank"),
+    ).where(F.col("_rank") <= shown)
     texts = blocks.select(
-        "_set", "_weight", F.explode(_first_bits(F.col("_bits"), shown)).alias("_bit"), "_block"
+        "_set", "hits", "_weight", F.explode(_first_bits(F.col("_bits"), shown)).alias("_bit"), "_block"
     ).withColumn(ORD, F.shiftleft("_block", BLOCK_BITS) + F.col("_bit"))
     first = top_rows(texts, ["_set"], [F.desc("_weight"), F.asc(ORD)], shown, "rank")
-    return (
-        sets.join(counts, "_set").join(first.select("_set", "rank", ORD), "_set")
-        .select("question_id", "hits", "rank", ORD)
+    return sets.select("question_id", "_set").join(first, "_set").select(
+        "question_id", "hits", "rank", ORD
     )
 
 
 def _first_bits(bits: Column, k: int) -> Column:
-    """Positions of the first ``k`` set bits of a bitmap."""
+    """Positions of the first ``k`` set bits of a bitmap, lowest bit of the first byte first."""
     size = (1 << BLOCK_BITS) // 8
-    digits = F.hex(bits)
-    filled = F.filter(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda i: digits.substr(i * 2 + 1, F.lit(2)) != "00",
-    )
-    places = F.transform(F.slice(filled, 1, k), lambda i: F.filter(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(7)),
-            lambda b: F.when(
-                F.shiftright(F.conv(digits.substr(i * 2 + 1, F.lit(2)), 16, 10).cast("int"), b)
-                .bitwiseAND(1) == 1, i * 8 + b),
-        ),
-        lambda p: p.isNotNull(),
-    ))
-    return F.slice(F.flatten(places), 1, k)
+
+    def byte(i: Column) -> Column:
+        return F.substring(bits, i + 1, 1)
+
+    def places(i: Column) -> Column:
+        value = F.conv(F.hex(byte(i)), 16, 10).cast("int")
+        eight = F.sequence(i * 8, i * 8 + 7)
+        return F.filter(eight, lambda p: F.call_function("shiftright", value, p - i * 8).bitwiseAND(1) == 1)
+
+    filled = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: byte(i) != F.lit(b"\x00"))
+    return F.slice(F.flatten(F.transform(F.slice(filled, 1, k), places)), 1, k)
 
 
 # --- reports and lists -------------------------------------------------------------------------

@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.text import prefixes, query_words, search_form
-from murmur.operators.summaries import csv_heading, csv_lines, summary_table, basic_location_table
+from murmur.operators.summaries import (
+    DIMENSIONS, basic_location_table, csv_heading, csv_lines, measures, rollup_measures, summary_table,
+)
 from murmur.schema import ORD, is_analyzed, severity_weight
+from murmur.session import cut_lineage
 
 # Rows given as context, and the headings above them.
 MAX_CONTEXT_ROWS = 150
@@ -93,11 +96,12 @@ def relevance_topk(df: DataFrame, question: str, k: int = MAX_CONTEXT_ROWS) -> D
     A word counts when its first five letters occur in text or place. Severity breaks ties of an
     analyzed table. A table of up to ``k`` rows keeps its order and scores 0.
     """
-    # The words of one question are few; Spark folds them to a literal array.
+    # The words of one question are few; Spark folds them to a literal array. The text is named
+    # outside the lambda as well, which keeps it from being computed for every word.
     words = prefixes(query_words(F.lit(question)))
     text = F.concat(search_form(F.col("feedback")), F.lit(" "), search_form(F.col("location")))
-    found = F.size(F.filter(words, lambda w: F.contains(F.coalesce(F.col("_search"), F.lit("")), w)))
-    score = found.cast("long")
+    found = F.filter(words, lambda w: F.contains(F.col("_search"), w))
+    score = F.when(F.octet_length("_search") > 0, F.size(found)).otherwise(0).cast("long")
     if is_analyzed(df):
         score = score * 10 + severity_weight()
     total = df.agg(F.count(F.lit(1))).scalar()
@@ -140,7 +144,8 @@ def context_lines(df: DataFrame, question: str, k: int = MAX_CONTEXT_ROWS) -> Da
     ).select("position", record_line(df).alias("line"))
     blocks = [block(opening, 0, "records"), block(records, 2, "records")]
     if is_analyzed(df):
-        tables = {f"By {by.title()}": summary_table(df, by) for by in ("location", "category", "sentiment", "severity")}
+        rolled = cut_lineage(rollup_measures(measures(df)))
+        tables = {f"By {by.title()}": summary_table(rolled, by) for by in DIMENSIONS}
     else:
         tables = {"By Location": basic_location_table(df)}
         note = df.limit(1).select(F.lit(0).alias("position"), F.lit(NOT_ANALYZED_NOTE).alias("line"))

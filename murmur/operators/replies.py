@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from murmur.functions.ordering import top_rows
 from murmur.functions.text import strip_spaces
-from murmur.operators.classify import NO_ACTION, NO_ISSUE, classify_as_result
+from murmur.operators.classify import NO_ACTION, NO_ISSUE, classify
 from murmur.operators.lexicon import FALLBACK_CATEGORY, Lexicon
-from murmur.schema import CATEGORIES, RESULT_SCHEMA, SENTIMENTS, SEVERITIES
+from murmur.schema import CATEGORIES, RESULT_FIELDS, SENTIMENTS, SEVERITIES
 
 # Reasons recorded when the rule classifier had to step in.
 EMPTY_TEXT = "Empty feedback text."
@@ -79,11 +79,23 @@ def sanitize(entry: Column) -> Column:
 
 
 def with_fallback(df: DataFrame, lexicon: Lexicon, reason: Column) -> DataFrame:
-    """Fill a missing ``result`` with the rule classifier's and the reason for it."""
-    ruled = classify_as_result(df.withColumnRenamed("result", "_given"), lexicon, reason)
-    return ruled.withColumn(
-        "result", F.coalesce(F.col("_given"), F.col("result")).cast(RESULT_SCHEMA)
-    ).drop("_given")
+    """Fill a missing ``result`` with the rule classifier's and the reason for it.
+
+    The classifier sees no text where there is a result, so only the failed rows cost anything.
+    """
+    given = F.col("result")
+    failed = df.withColumns({
+        "_missing": given.isNull(), "_reason": F.when(given.isNull(), reason),
+        "_text_to_rate": F.when(given.isNull(), F.col("feedback")),
+    })
+    ruled = classify(failed, lexicon, "_text_to_rate")
+    names = [n for n in RESULT_FIELDS if n != "analysis_error"]
+    fields = [
+        F.when(F.col("_missing"), F.col(n)).otherwise(given.getField(n)).alias(n) for n in names
+    ]
+    return ruled.withColumn("result", F.struct(*fields, F.col("_reason").alias("analysis_error"))).drop(
+        *names, "_missing", "_reason", "_text_to_rate"
+    )
 
 
 def parse_replies(df: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -97,7 +109,7 @@ def parse_replies(df: DataFrame, lexicon: Lexicon) -> DataFrame:
     usable = ~blank & F.col("reply").isNotNull() & failed.isNull()
     parsed = df.withColumn("_entry", F.when(usable, extract_object(F.col("reply"))))
     parsed = parsed.withColumn("result", sanitize(F.col("_entry"))).drop("_entry")
-    return with_fallback(parsed.withColumn("_reason", reason), lexicon, F.col("_reason")).drop("_reason")
+    return with_fallback(parsed, lexicon, reason)
 
 
 def _entry_number(entry: Column) -> Column:

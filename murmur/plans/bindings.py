@@ -20,6 +20,7 @@ from murmur.operators.classify import NO_ACTION, NO_ISSUE
 from murmur.operators.enrich import analyze
 from murmur.operators.lexicon import FALLBACK_CATEGORY, SAMPLE, Lexicon
 from murmur.schema import ORD
+from murmur.session import spread
 
 PROBES = [
     "Hello!", "help?", "What can you do for me", "this shop is nice",
@@ -150,12 +151,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one table whose texts are long enough to keep all cores busy."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def events_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(*_exprs(_E))
 
 
 def document_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr(*_exprs(_D))
+    return documents(spark, sf_dir).selectExpr(*_exprs(_D))
 
 
 def analyzed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,16 +169,16 @@ def analyzed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    first = documents.selectExpr(*_exprs(_RAW_FIRST))
-    again = documents.where(_RAW_AGAIN_IF).selectExpr(*_exprs(_RAW_AGAIN))
+    source = documents(spark, sf_dir)
+    first = source.selectExpr(*_exprs(_RAW_FIRST))
+    again = source.where(_RAW_AGAIN_IF).selectExpr(*_exprs(_RAW_AGAIN))
     day = "cast(date_add(DATE '2026-06-01', cast(k % 111 as int)) as timestamp_ntz)"
     columns = [(n, e.replace("{DAY}", day)) for n, e in _RAW]
     return first.unionByName(again).selectExpr(*_exprs(columns))
 
 
 def new_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr(*_exprs(_NEW))
+    return documents(spark, sf_dir).selectExpr(*_exprs(_NEW))
 
 
 def stored_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,17 +191,17 @@ def stored_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [*_D, ("reply", _reply())]
-    return table(spark, sf_dir, "documents").selectExpr(*_exprs(columns))
+    return documents(spark, sf_dir).selectExpr(*_exprs(columns))
 
 
 def batch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [("batch_id", "doc_id div 10"), ("item_no", "doc_id % 10 + 1"), ("feedback", "text")]
-    return table(spark, sf_dir, "documents").selectExpr(*_exprs(columns))
+    return documents(spark, sf_dir).selectExpr(*_exprs(columns))
 
 
 def batch_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One reply per batch; a batch has ten entries, so the lists stay short."""
-    entries = table(spark, sf_dir, "documents").selectExpr(*_exprs([
+    entries = documents(spark, sf_dir).selectExpr(*_exprs([
         ("batch_id", "doc_id div 10"), ("doc_id", "doc_id"), ("entry", _entry(_NUMBER))
     ]))
     listed = F.array_join(F.transform(

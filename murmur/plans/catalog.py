@@ -106,7 +106,7 @@ def _sql_title(column: str) -> str:
     cased = r"\p{Ll}\p{Lu}\p{Lt}"
     return (
         f"array_to_string(list_transform(regexp_extract_all(lower({column}), '[{cased}]+|[^{cased}]+'), "
-        "lambda w: upper(w[1]) || w[2:]), '')"
+        "lambda w: case when w[1] = 'ß' then 'Ss' else upper(w[1]) end || w[2:]), '')"
     )
 
 
@@ -247,7 +247,7 @@ def _(spark, sf):
 
 
 @register("filter_explain", with_bindings("e", " union all ".join(
-    f"select {quoted(filters.LABELS[n])} filter, {quoted(', '.join(getattr(STRICT, n)))} selected, "
+    f"select {quoted(filters.LABELS[n])} filter_name, {quoted(', '.join(getattr(STRICT, n)))} selected, "
     f"count(*) records from e where {_sql_filter(STRICT, n)}" for n in filters.SELECTIONS)))
 def _(spark, sf):
     return filters.explain_filters(b.events_feedback(spark, sf), STRICT)
@@ -267,11 +267,11 @@ def _(spark, sf):
     return filters.feedback_details(classify.flatten_keywords(b.analyzed_documents(spark, sf)))
 
 
-@register("filter_domains", with_bindings("e", "select distinct 'location' filter, location \"value\" from e "
+@register("filter_domains", with_bindings("e", "select distinct 'location' filter_name, location \"value\" from e "
     "union all select * from (values " + ", ".join(
         f"({quoted(n)}, {quoted(v)})" for n, values in
         (("category", CATEGORIES), ("sentiment", SENTIMENTS), ("severity", SEVERITIES)) for v in values)
-    + ") v(filter, \"value\") union all select 'date_min', strftime(min(date), '%Y-%m-%d') from e "
+    + ") v(filter_name, \"value\") union all select 'date_min', strftime(min(date), '%Y-%m-%d') from e "
     "union all select 'date_max', strftime(max(date), '%Y-%m-%d') from e"))
 def _(spark, sf):
     return filters.filter_domains(b.events_feedback(spark, sf))
@@ -740,7 +740,7 @@ _ARRAY = "regexp_extract(reply, '(?s)\\[.*\\]')"
 
 @register("parse_batch_replies", with_bindings("da batch", f"""
     , items as (select batch_id, unnest(json_extract({_ARRAY}, '$[*]')) j,
-                unnest(range(json_array_length({_ARRAY}))) pos from batch),
+                unnest(range(json_array_length({_ARRAY})::bigint)) pos from batch),
     numbered as (select *, try_cast(try_cast(json_extract_string(j, '$.id') as double) as bigint) item_no
                  from items where json_type(j) = 'OBJECT'),
     first as (select * from (select *, row_number() over (partition by batch_id, item_no order by pos) rn
@@ -899,11 +899,11 @@ _ZONES = [f"Zone {i}" for i in range(9)]
     union all select 'no_blank_fields', count(*) filter (trim(feedback_id) = '' or trim(location) = '' or
         trim(feedback) = '' or feedback_id is null or location is null or feedback is null or date is null) = 0 from e
     union all select 'every_location_present', count(*) = 9 from l where location in ({', '.join(quoted(z) for z in _ZONES)})
-    union all select 'every_category_present', count(*) = 5 from c where category in ({', '.join(quoted(z) for z in b.EVENT_TYPES)})
+    union all select 'every_category_present', count(*) = 6 from c where category in ({', '.join(quoted(z) for z in _DOMAINS['category'])})
     union all select 'every_location_sufficient', count(*) = 9 from l where n >= 5
-    union all select 'every_category_sufficient', count(*) = 5 from c where n >= 5
-    union all select 'no_other_values', (select count(*) from l) = 9 and (select count(*) from c) = 5
+    union all select 'every_category_sufficient', count(*) = 6 from c where n >= 5
+    union all select 'no_other_values', (select count(*) from l) = 9 and (select count(*) from c) = 6
     union all select 'every_intended_pair_sufficient', count(*) filter (n < 5) = 0 from p"""))
 def _(spark, sf):
     e, wanted = b.events_feedback(spark, sf), b.intended_pairs(spark, sf)
-    return quality.quality_rules(e, _ZONES, b.EVENT_TYPES, wanted)
+    return quality.quality_rules(e, _ZONES, _DOMAINS["category"], wanted)

@@ -29,6 +29,7 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("murmur")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
@@ -37,6 +38,22 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of a small table before costly work on its texts.
+
+    A file is read in units of row groups, so a small table may come as a single task. Tables of
+    more than one read unit per core are left alone: they have splits enough, and moving them
+    would cost more than it brings.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    unit = spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB").lower().rstrip("b")
+    scale = {"k": 2**10, "m": 2**20, "g": 2**30}.get(unit[-1], 1)
+    limit = cores * int(unit.rstrip("kmg")) * scale
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size <= limit else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to reliable storage and read it back from there.
 
