@@ -61,11 +61,19 @@ def _choice(entry: Column, name: str, allowed: list[str], default: str) -> Colum
     return F.when(value.isin(allowed), value).otherwise(default)
 
 
+def is_object(entry: Column) -> Column:
+    return F.startswith(_kind(entry), F.lit("OBJECT"))
+
+
 def sanitize(entry: Column) -> Column:
     """A result struct with only allowed values; null when the entry is not a JSON object."""
+    return F.when(is_object(entry), _allowed(entry))
+
+
+def _allowed(entry: Column) -> Column:
     listed = F.try_variant_get(entry, "$.keywords", "array<variant>")
     words = F.transform(listed, lambda k: strip_spaces(F.coalesce(_spoken(k), F.lit("None"))))
-    result = F.struct(
+    return F.struct(
         _choice(entry, "sentiment", SENTIMENTS, "Neutral").alias("sentiment"),
         _choice(entry, "category", CATEGORIES, FALLBACK_CATEGORY).alias("category"),
         _choice(entry, "severity", SEVERITIES, "Low").alias("severity"),
@@ -75,18 +83,17 @@ def sanitize(entry: Column) -> Column:
         _field(entry, "suggested_action", NO_ACTION, NO_ACTION).alias("suggested_action"),
         F.lit(None).cast("string").alias("analysis_error"),
     )
-    return F.when(_kind(entry).startswith("OBJECT"), result)
 
 
-def with_fallback(df: DataFrame, lexicon: Lexicon, reason: Column) -> DataFrame:
-    """Fill a missing ``result`` with the rule classifier's and the reason for it.
+def with_fallback(df: DataFrame, lexicon: Lexicon, missing: Column, reason: Column) -> DataFrame:
+    """Replace the ``result`` of ``missing`` rows by the rule classifier's and the reason for it.
 
     The classifier sees no text where there is a result, so only the failed rows cost anything.
     """
     given = F.col("result")
     failed = df.withColumns({
-        "_missing": given.isNull(), "_reason": F.when(given.isNull(), reason),
-        "_text_to_rate": F.when(given.isNull(), F.col("feedback")),
+        "_missing": missing, "_reason": F.when(missing, reason),
+        "_text_to_rate": F.when(missing, F.col("feedback")),
     })
     ruled = classify(failed, lexicon, "_text_to_rate")
     names = [n for n in RESULT_FIELDS if n != "analysis_error"]
@@ -108,8 +115,9 @@ def parse_replies(df: DataFrame, lexicon: Lexicon) -> DataFrame:
     reason = F.when(blank, EMPTY_TEXT).otherwise(F.coalesce(failed, F.lit(NOT_JSON)))
     usable = ~blank & F.col("reply").isNotNull() & failed.isNull()
     parsed = df.withColumn("_entry", F.when(usable, extract_object(F.col("reply"))))
-    parsed = parsed.withColumn("result", sanitize(F.col("_entry"))).drop("_entry")
-    return with_fallback(parsed, lexicon, reason)
+    entry = F.col("_entry")
+    checked = parsed.withColumns({"result": _allowed(entry), "_usable": is_object(entry)})
+    return with_fallback(checked, lexicon, ~F.col("_usable"), reason).drop("_entry", "_usable")
 
 
 def _entry_number(entry: Column) -> Column:
@@ -138,13 +146,12 @@ def parse_batch_replies(requests: DataFrame, replies: DataFrame, lexicon: Lexico
     entries = (
         replies.select("batch_id", F.posexplode(listed).alias("_position", "_entry"))
         .withColumn("item_no", _entry_number(F.col("_entry")))
-        .withColumn("result", sanitize(F.col("_entry")))
-        .where(F.col("item_no").isNotNull() & F.col("result").isNotNull())
-        .select("batch_id", "item_no", "_position", "result")
+        .where(is_object(F.col("_entry")) & F.col("item_no").isNotNull())
+        .select("batch_id", "item_no", "_position", "_entry")
     )
     first = top_rows(entries, ["batch_id", "item_no"], [F.col("_position")], 1, "_rank")
     matched = requests.join(
-        first.select("batch_id", F.col("item_no").cast("long").alias("item_no"), "result"),
+        first.select("batch_id", "item_no", _allowed(F.col("_entry")).alias("result"), F.lit(True).alias("_found")),
         ["batch_id", "item_no"], "left",
     )
-    return with_fallback(matched, lexicon, F.lit(SKIPPED))
+    return with_fallback(matched, lexicon, F.col("_found").isNull(), F.lit(SKIPPED)).drop("_found")
