@@ -26,14 +26,25 @@ def clean_reply(reply: Column) -> Column:
     return strip_spaces(F.regexp_replace(spoken, r"(?dm)^```(?:json)?|```$", ""))
 
 
+def _parse(text: Column) -> Column:
+    """The text as one JSON value; null when it is none or has anything after it.
+
+    Spark ignores what follows a complete value. Text that ends a wrapping object early cannot be
+    the only item of a wrapping array as well, so passing both means there is nothing left over.
+    """
+    single = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(single, F.try_variant_get(wrapped, "$.v", "variant"))
+
+
 def extract_object(reply: Column) -> Column:
     """The JSON object between the first ``{`` and the last ``}``; null when there is none."""
-    return F.try_parse_json(F.regexp_extract(clean_reply(reply), r"(?s)\{.*\}", 0))
+    return _parse(F.regexp_extract(clean_reply(reply), r"(?s)\{.*\}", 0))
 
 
 def extract_array(reply: Column) -> Column:
     """The JSON array between the first ``[`` and the last ``]``; null when there is none."""
-    return F.try_parse_json(F.regexp_extract(clean_reply(reply), r"(?s)\[.*\]", 0))
+    return _parse(F.regexp_extract(clean_reply(reply), r"(?s)\[.*\]", 0))
 
 
 def _kind(value: Column) -> Column:

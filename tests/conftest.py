@@ -11,7 +11,7 @@ from murmur.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("8", 4)
+    return local_session("4", 2)
 
 
 @pytest.fixture
