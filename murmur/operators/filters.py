@@ -24,15 +24,14 @@ HIGH_BUT_NOT_NEGATIVE_HINT = (
 
 
 def predicates(df: DataFrame, spec: FilterSpec) -> dict[str, Column]:
-    """One never-null condition per filter that has an effect on ``df``."""
+    """One condition per filter that has an effect on ``df``, in a form the scan understands."""
     found = {}
     for name in SELECTIONS:
         if spec.is_active(name) and name in df.columns:
-            found[name] = F.coalesce(F.col(name).isin(list(getattr(spec, name))), F.lit(False))
+            found[name] = F.col(name).isin(list(getattr(spec, name)))
     if len(spec.date_range) == 2 and "date" in df.columns:
         start, end = (F.lit(day).cast("timestamp_ntz") for day in spec.date_range)
-        inside = (F.col("date") >= start) & (F.col("date") <= end)
-        found["date_range"] = F.coalesce(inside, F.lit(False))
+        found["date_range"] = (F.col("date") >= start) & (F.col("date") <= end)
     return found
 
 

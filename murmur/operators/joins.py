@@ -10,13 +10,18 @@ from murmur.schema import ORD
 BROADCAST_ROWS = 200_000
 
 
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Count the rows, but no further than ``max_rows + 1``."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a narrow side for broadcast after counting it, else leave the choice to Spark.
 
-    The count stops at ``max_rows + 1``. Use it for sides of a few short columns only: at
-    200,000 rows these stay in the low megabytes.
+    Use it for sides that are cheap to compute and have a few short columns: at 200,000 rows
+    these stay in the low megabytes.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int, limit: int = 1000) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions.ordering import top_rows
 from murmur.functions.text import grams, prefixes, query_words, search_form, strip_spaces
-from murmur.operators.joins import broadcast_if_small
+from murmur.operators.joins import BROADCAST_ROWS, broadcast_if_small, is_small
 from murmur.operators.ranking import bullet_line, more_line
 from murmur.operators.summaries import most_frequent
 from murmur.schema import COMPLAINT_SENTIMENTS, ORD, complaints, is_analyzed, severity_weight
@@ -86,7 +86,7 @@ def mentioned_locations(questions: DataFrame, df: DataFrame) -> DataFrame:
         "question_id",
         F.explode(F.array_distinct(grams(search_form(F.col("question")), [(3, 3), (4, 4), (5, 5)]))).alias("_run"),
     )
-    return asked.join(broadcast_if_small(keys), "_run").select("question_id", "location").distinct()
+    return asked.join(keys, "_run").select("question_id", "location").distinct()
 
 
 def mentioned_categories(questions: DataFrame, df: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def mentioned_categories(questions: DataFrame, df: DataFrame) -> DataFrame:
     folded = _folded(F.col("question"))
     runs = F.array_distinct(F.concat(grams(folded, [(n, n) for n in range(1, 6)], "."), F.array(F.lit(""))))
     asked = questions.select("question_id", folded.alias("_q"), F.explode(runs).alias("_run"))
-    met = asked.join(broadcast_if_small(keys), "_run").where(F.contains("_q", F.col("_name")))
+    met = asked.join(keys, "_run").where(F.contains("_q", F.col("_name")))
     return met.select("question_id", "category").distinct()
 
 
@@ -247,9 +247,9 @@ def category_report(questions: DataFrame, df: DataFrame, limit: int = 5) -> Data
 def keyword_report(questions: DataFrame, df: DataFrame, limit: int = 5) -> DataFrame:
     """For questions with keyword hits: their number and the worst of the texts."""
     hits = keyword_hits(questions, df, limit)
-    lines = df.select(ORD, bullet_line(df).alias("_line"))
-    wanted = broadcast_if_small(hits.select(ORD).distinct())
-    listed = hits.join(lines.join(wanted, ORD, "left_semi"), ORD)
+    if is_small(questions, BROADCAST_ROWS // limit):  # each question has ``limit`` hits at most
+        hits = F.broadcast(hits)
+    listed = df.select(ORD, bullet_line(df).alias("_line")).join(hits, ORD)
     more = F.coalesce(F.concat(F.lit("\n"), more_line(F.col("reports"), limit)), F.lit(""))
     return (
         listed.groupBy("question_id").agg(F.max("hits").alias("reports"), _lines(limit).alias("_bullets"))
@@ -415,8 +415,8 @@ def fixed_answers(df: DataFrame) -> DataFrame:
         answers.append(row("high_severity", high, F.when(total == 0, NO_HIGH_TEXT).otherwise(
             _text(total, " report(s) are High severity:\n", F.col("bullets")))))
         negative = df.where(F.col("sentiment") == "Negative")
-        parts = negative_digest(df, 3).groupBy(F.lit(1).alias("_one")).agg(
-            F.max(F.when(F.col("part") == "total", F.col("n"))).alias("negative"),
+        parts = negative_digest(df, 3).agg(
+            F.max(F.when(F.col("part") == "total", F.col("n"))).alias("total"),
             *[
                 F.concat_ws(", ", *[
                     F.max(F.when(
@@ -426,8 +426,8 @@ def fixed_answers(df: DataFrame) -> DataFrame:
                 ]).alias(c) for c in ("category", "location")
             ],
         )
-        listed = _listed_rows(negative, 5, worst_first).withColumn("_one", F.lit(1))
-        digest = parts.join(F.broadcast(listed), "_one")  # one row on each side
+        listed = _listed_rows(negative, 5, worst_first)
+        digest = parts.withColumn("bullets", listed.select("bullets").scalar())
         answers.append(row("negative_digest", digest, F.when(total == 0, NO_NEGATIVE_TEXT).otherwise(
             _text("There are ", total, " negative reports. Top categories: ", F.col("category"),
                   ". Top locations: ", F.col("location"), ".\n", F.col("bullets")))))

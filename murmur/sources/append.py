@@ -9,26 +9,29 @@ from murmur.functions.ordering import number_rows
 from murmur.functions.text import strip_spaces
 from murmur.operators.joins import hot_keys, salted_join
 from murmur.schema import ORD
+from murmur.session import cut_lineage
 
 
 def new_rows(existing: DataFrame, incoming: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
     """Incoming rows whose text is not in ``existing`` yet, with ids following its largest one.
 
     Stored texts are compared stripped, incoming ones as they are, and incoming rows are not
-    compared with each other. Texts meet as 32-byte digests; a text that fills a large part of
-    the incoming table is split over many tasks.
+    compared with each other. Texts meet as digests; a text that fills a large part of the
+    incoming table is split over many tasks. Which rows are new is decided once and kept as row
+    numbers in the checkpoint folder, so the texts are moved only for the final pick.
     """
     if ORD not in incoming.columns:
         raise ValueError(f"incoming rows need their source order in {ORD}")
-    digest = F.sha2(F.col("feedback"), 256)
+    digest = F.coalesce(F.sha2(F.col("feedback"), 256), F.lit(""))
     known = (
         existing.select(F.sha2(strip_spaces(F.col("feedback")), 256).alias("_text")).distinct()
     )
-    keyed = incoming.withColumn("_text", F.coalesce(digest, F.lit("")))
+    keyed = incoming.select(ORD, digest.alias("_text"))
     fresh = salted_join(keyed, known, "_text", hot_keys(keyed, "_text", hot_rows), "left_anti")
+    numbers = number_rows(cut_lineage(fresh.select(ORD)), "_number")
     last_id = existing.agg(F.max(F.substring("feedback_id", 3, 18).cast("long"))).scalar()
     number = F.col("_number") + F.coalesce(last_id, F.lit(0))
-    return number_rows(fresh, "_number").select(
+    return incoming.join(numbers, ORD).select(
         F.format_string("FB%04d", number).alias("feedback_id"),
         "date", "location", "feedback",
     )
