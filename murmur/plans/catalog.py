@@ -475,6 +475,7 @@ def _(spark, sf):
     return questions.top_actions(b.events_feedback(spark, sf))
 
 
+CONTEXT_QUESTION = "Which signup errors or purchases of user 23 went wrong in zone 4?"
 QUESTION = "Is the heating near the gate broken, or do trash and odors bother people of src12?"
 
 
@@ -490,15 +491,16 @@ def _search_sql(column: str) -> str:
     return f"regexp_replace(replace(lower({column}), '-', ''), '[^a-z0-9 ]', '', 'g')"
 
 
-_RELEVANT = f""", texts as (select *, {_search_sql('feedback')} || ' ' || {_search_sql('location')} _search from da),
-    scored as (select *, case when (select count(*) from da) > 150 then
-               len(list_filter({_words_sql(quoted(QUESTION))}, lambda w: contains(_search, w))) * 10 + {_WEIGHT}
+def _relevant_sql(source: str, question: str) -> str:
+    return f""", texts as (select *, {_search_sql('feedback')} || ' ' || {_search_sql('location')} _search from {source}),
+    scored as (select *, case when (select count(*) from {source}) > 150 then
+               len(list_filter({_words_sql(quoted(question))}, lambda w: contains(_search, w))) * 10 + {_WEIGHT}
                else 0 end score from texts),
     best as (select *, row_number() over (order by score desc, _ord) rank from scored order by rank limit 150)"""
 
 
 @register("relevance_topk", with_bindings(
-    "da", _RELEVANT + " select rank::int rank, _ord, feedback_id, score::bigint score from best"))
+    "da", _relevant_sql("da", QUESTION) + " select rank::int rank, _ord, feedback_id, score::bigint score from best"))
 def _(spark, sf):
     best = ranking.relevance_topk(b.analyzed_documents(spark, sf), QUESTION)
     ranked = best.withColumn("rank", F.expr("row_number() over (order by score desc, _ord)"))
@@ -776,17 +778,19 @@ def _(spark, sf):
     return questions.mentioned_locations(b.questions(spark, sf), b.events_feedback(spark, sf))
 
 
-def _sql_report(mentions: str, key: str, shown: str) -> str:
-    return f""", met as (select m.question_id, e.*, {shown} as is_shown, {_WEIGHT} w from {mentions} m join e using ({key})),
-    names as (select question_id, string_agg({key}, ', ' order by first) names from (
-        select question_id, {key}, min(_ord) first from met group by 1, 2) group by 1),
-    ranked as (select *, row_number() over (partition by question_id order by w desc, _ord) rank from met where is_shown),
-    listed as (select question_id, string_agg(cast(_ord as varchar), ',' order by rank) row_ids,
-               string_agg({_BULLET}, chr(10) order by rank) bullets from ranked where rank <= 5 group by 1),
-    reported as (select n.question_id, names, reports, shown, coalesce(row_ids, '') row_ids,
+def _sql_report(mentions: str, key: str, shown: str, name: str = "reported") -> str:
+    """CTEs that end in ``name``; the ones before it carry the key in their names."""
+    met, names, best, listed = (f"{n}_{key}" for n in ("met", "names", "best", "listed"))
+    return f""", {met} as (select m.question_id, e.*, {shown} as is_shown, {_WEIGHT} w from {mentions} m join e using ({key})),
+    {names} as (select question_id, string_agg({key}, ', ' order by first) as names from (
+        select question_id, {key}, min(_ord) first from {met} group by 1, 2) group by 1),
+    {best} as (select *, row_number() over (partition by question_id order by w desc, _ord) r from {met} where is_shown),
+    {listed} as (select question_id, string_agg(cast(_ord as varchar), ',' order by r) row_ids,
+               string_agg({_BULLET}, chr(10) order by r) bullets from {best} where r <= 5 group by 1),
+    {name} as (select question_id, names, reports, shown, coalesce(row_ids, '') row_ids,
         coalesce(bullets, '') || case when shown > 5 then chr(10) || '- ...and ' || (shown - 5) || ' more.' else '' end bullets
-        from names n join (select question_id, count(*) reports, count(*) filter (is_shown) shown from met group by 1) c
-        using (question_id) left join listed using (question_id))"""
+        from {names} join (select question_id, count(*) reports, count(*) filter (is_shown) shown from {met} group by 1) c
+        using (question_id) left join {listed} using (question_id))"""
 
 
 @register("location_report", with_bindings(
@@ -842,14 +846,90 @@ def _(spark, sf):
     return questions.route_questions(b.questions(spark, sf), b.events_feedback(spark, sf))
 
 
-@register("answer_questions")
+def _sql_lines(where: str, limit: int, order: str) -> str:
+    """Bullet text of the first rows of ``e`` and the count of the others, as a scalar."""
+    return (
+        f"(select string_agg(line, chr(10) order by r) from (select {_BULLET} line, row_number() over (order by {order}) r "
+        f"from e where {where}) where r <= {limit}) || (select case when count(*) > {limit} then chr(10) || '- ...and ' || "
+        f"(count(*) - {limit}) || ' more.' else '' end from e where {where})"
+    )
+
+
+def _sql_counts(column: str, where: str, first: int, last: int) -> str:
+    return (
+        f"coalesce((select string_agg(v || ' (' || n || ')', ', ' order by r) from (select {column} v, count(*) n, "
+        f"row_number() over (order by count(*) desc, {column}) r from e where {where} group by 1) "
+        f"where r between {first} and {last}), '')"
+    )
+
+
+def _sql_first(column: str, where: str, what: str) -> str:
+    return f"(select {what} from e where {where} group by {column} order by count(*) desc, {column} limit 1)"
+
+
+_WORST = f"{_WEIGHT} desc, _ord"
+_ACTIONABLE = "lower(suggested_action) not in ('no action needed', 'review manually.', '')"
+_FIXED_ANSWERS = {
+    "greeting": quoted(questions.GREETING_TEXT),
+    "none": quoted(questions.NOT_ENOUGH_TEXT),
+    "top_locations": f"'**' || {_sql_first('location', _COMPLAINT, 'location')} || '** has the most negative/mixed reports (' || "
+                     f"{_sql_first('location', _COMPLAINT, 'count(*)')} || '). Next: ' || {_sql_counts('location', _COMPLAINT, 2, 3)} || '.'",
+    "high_severity": "(select count(*) from e where severity = 'High') || ' report(s) are High severity:' || chr(10) || "
+                     + _sql_lines("severity = 'High'", 6, _WORST),
+    "top_actions": "'Commonly suggested improvements:' || chr(10) || (select string_agg('- ' || a, chr(10) order by r) from "
+                   "(select suggested_action a, row_number() over (order by count(*) desc, suggested_action) r from e "
+                   f"where {_ACTIONABLE} group by 1) where r <= 5)",
+    "negative_digest": "'There are ' || (select count(*) from e where sentiment = 'Negative') || ' negative reports. Top categories: ' || "
+                       + _sql_counts("category", "sentiment = 'Negative'", 1, 3) + " || '. Top locations: ' || "
+                       + _sql_counts("location", "sentiment = 'Negative'", 1, 3) + " || '.' || chr(10) || "
+                       + _sql_lines("sentiment = 'Negative'", 5, _WORST),
+    "positive": "'There are ' || (select count(*) from e where sentiment = 'Positive') || ' positive reports:' || chr(10) || "
+                + _sql_lines("sentiment = 'Positive'", 5, "_ord"),
+    "top_categories": f"'The most common problem category is **' || {_sql_first('category', _COMPLAINT, 'category')} || '** (' || "
+                      f"{_sql_first('category', _COMPLAINT, 'count(*)')} || ' reports). Next: ' || {_sql_counts('category', _COMPLAINT, 2, 4)} || '.'",
+    "count": "'There are ' || (select count(*) from e) || ' feedback records: ' || (select string_agg(sentiment || ' ' || n, ', ' "
+             "order by n desc, sentiment) from (select sentiment, count(*) n from e group by 1)) || '.'",
+}
+_ANSWERS = (
+    _sql_report("named", "location", _COMPLAINT, "of_place") + _sql_report("cats", "category", "true", "of_category")
+    + f""", of_word as (select question_id, 'Found ' || max(hits) || ' related report(s):' || chr(10)
+          || string_agg({_BULLET}, chr(10) order by rank) filter (rank <= 5)
+          || case when max(hits) > 5 then chr(10) || '- ...and ' || (max(hits) - 5) || ' more.' else '' end own
+        from ranked join e using (_ord) group by 1),
+    fixed(intent, answer) as (""" + " union all ".join(f"select {quoted(k)}, {v}" for k, v in _FIXED_ANSWERS.items()) + """)
+    select r.question_id, r.intent, case r.intent
+        when 'location' then case when p.shown = 0
+            then '**' || p.names || '** has ' || p.reports || ' report(s) and none of them are negative or mixed.'
+            else '**' || p.names || '** has ' || p.reports || ' report(s) (' || p.shown || ' negative/mixed):' || chr(10) || p.bullets end
+        when 'category' then c.reports || ' report(s) in **' || c.names || '**:' || chr(10) || c.bullets
+        when 'keyword' then w.own else f.answer end answer, 'local' "mode", cast(null as varchar) error
+    from routed r left join of_place p using (question_id) left join of_category c using (question_id)
+    left join of_word w using (question_id) left join fixed f on f.intent = r.intent"""
+)
+
+
+@register("answer_questions", with_bindings("e q", _ROUTED + _ANSWERS))
 def _(spark, sf):
     return questions.answer_questions(b.questions(spark, sf), b.events_feedback(spark, sf))
 
 
-@register("context_lines")
+_CONTEXT = (
+    _relevant_sql("e", CONTEXT_QUESTION)
+    + "".join(f", s_{by} as ({_sql_summary(by)})" for by in summaries.DIMENSIONS)
+    + f""" select 0 part, 'records' "block", 0::bigint "position", '### Dataset: Feedback (Full) - ' || case when count(*) > 150 then
+        'Showing the 150 most relevant of ' || count(*) || ' records (summary datasets cover all ' || count(*) || ').'
+        else 'All ' || count(*) || ' records are listed.' end line from e
+    union all select 0, 'records', 1, {quoted(ranking.ANALYZED_HEADING)}
+    union all select 2, 'records', rank, {_LINE} from best """
+    + " ".join(
+        f"union all select 3, dataset, part, line from ({_csv_sql(by, name)})"
+        for name, by in zip(summaries.DATASET_NAMES[1:], summaries.DIMENSIONS))
+)
+
+
+@register("context_lines", with_bindings("e", _CONTEXT))
 def _(spark, sf):
-    return ranking.context_lines(b.analyzed_documents(spark, sf), QUESTION)
+    return ranking.context_lines(b.events_feedback(spark, sf), CONTEXT_QUESTION)
 
 
 # --- quality -----------------------------------------------------------------------------------
