@@ -18,6 +18,7 @@ from murmur.operators.joins import BROADCAST_ROWS, broadcast_if_small, is_small
 from murmur.operators.ranking import bullet_line, more_line
 from murmur.operators.summaries import most_frequent
 from murmur.schema import COMPLAINT_SENTIMENTS, ORD, complaints, is_analyzed, severity_weight
+from murmur.session import cut_lineage
 
 # Routing words, words that do not name a place, actions that are none, and texts.
 GREETINGS = ["hi", "hello", "hey", "help"]
@@ -86,22 +87,25 @@ def mentioned_locations(questions: DataFrame, df: DataFrame) -> DataFrame:
         "question_id",
         F.explode(F.array_distinct(grams(search_form(F.col("question")), [(3, 3), (4, 4), (5, 5)]))).alias("_run"),
     )
-    return asked.join(keys, "_run").select("question_id", "location").distinct()
+    return asked.join(broadcast_if_small(keys), "_run").select("question_id", "location").distinct()
 
 
 def mentioned_categories(questions: DataFrame, df: DataFrame) -> DataFrame:
     """(question_id, category) for each category whose lower-cased name is in the question.
 
-    Names meet the questions by their first letters, five at most; the rest is then compared.
+    Names meet the questions by their first letters, five at most; whole names are compared for
+    the pairs left. The text is not carried along with its runs.
     """
     names = df.where(F.col("category").isNotNull()).select("category").distinct()
     names = names.withColumn("_name", F.lower("category"))
     keys = names.withColumn("_run", F.substring("_name", 1, TERM_LETTERS))
     folded = _folded(F.col("question"))
     runs = F.array_distinct(F.concat(grams(folded, [(n, n) for n in range(1, 6)], "."), F.array(F.lit(""))))
-    asked = questions.select("question_id", folded.alias("_q"), F.explode(runs).alias("_run"))
-    met = asked.join(keys, "_run").where(F.contains("_q", F.col("_name")))
-    return met.select("question_id", "category").distinct()
+    asked = questions.select("question_id", F.explode(runs).alias("_run"))
+    met = asked.join(broadcast_if_small(keys), "_run").select("question_id", "category", "_name")
+    texts = questions.select("question_id", folded.alias("_q"))
+    named = texts.join(met, "question_id").where(F.contains("_q", F.col("_name")))
+    return named.select("question_id", "category").distinct()
 
 
 # --- keyword search ----------------------------------------------------------------------------
@@ -478,7 +482,7 @@ def answer_questions(questions: DataFrame, df: DataFrame, error: str | None = No
             "question_id", F.lit("none").alias("intent"), F.lit(NOT_ENOUGH_TEXT).alias("answer"), *ending
         )
     analyzed = is_analyzed(df)
-    routed = route_questions(questions, df)
+    routed = cut_lineage(route_questions(questions, df))  # read by each of the reports below
     by_intent = lambda name: routed.where(F.col("intent") == name).select("question_id", "question")
     name, reports, shown = F.col("names"), F.col("reports"), F.col("shown")
     extra = _text(" (", shown, " negative/mixed)") if analyzed else F.lit("")
