@@ -40,6 +40,11 @@ def rstrip_spaces(text: Column) -> Column:
     return F.regexp_replace(text, rf"{_SPACE}+\z", "")
 
 
+def is_blank(text: Column) -> Column:
+    """Nothing but white space, or one of the words that stand for a missing text."""
+    return text.rlike(rf"\A{_SPACE}*(?:nan|None)?{_SPACE}*\z")
+
+
 def title_case(text: Column) -> Column:
     """Capitalise every run of cased letters: ``wi-fi`` gives ``Wi-Fi``, ``men's`` ``Men'S``."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(f"([{_CASED}]+|[^{_CASED}]+)"), F.lit(1))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.ordering import keep_first
-from murmur.functions.text import collapse_spaces, title_case
+from murmur.functions.text import collapse_spaces, is_blank, title_case
 from murmur.schema import ORD, ValidationError
 from murmur.sources.feedback import validate_columns
 
@@ -24,8 +24,12 @@ def normalize_whitespace(df: DataFrame) -> DataFrame:
 
 
 def drop_blank_text(df: DataFrame) -> DataFrame:
-    """Keep rows with a feedback text; ``nan`` and ``None`` stand for a missing one."""
-    return df.where(~F.col("feedback").isin("nan", "None", ""))
+    """Keep rows with a feedback text; ``nan`` and ``None`` stand for a missing one.
+
+    White space around the text does not matter, so this may come before it is collapsed: as a
+    filter close to the scan it then looks at the first letters only.
+    """
+    return df.where(~is_blank(F.col("feedback").cast("string")))
 
 
 def fill_location(df: DataFrame) -> DataFrame:
@@ -71,14 +75,15 @@ def clean_feedback(df: DataFrame, null_ids_are_equal: bool = True) -> DataFrame:
     collapsed by then, so a line break separates location and text without ambiguity.
     """
     validate_columns(df)
-    prepared = fill_location(drop_blank_text(normalize_whitespace(df)))
+    prepared = fill_location(normalize_whitespace(drop_blank_text(df)))
     if null_ids_are_equal:
         prepared = fill_id(prepared)
     id_key = F.coalesce("feedback_id", F.concat(F.lit("\n"), F.col(ORD).cast("string")))
     content = F.sha2(F.concat_ws("\n", "location", "feedback"), 256)
     keys = prepared.select(ORD, id_key.alias("_id"), content.alias("_content"))
     survivors = keep_first(keep_first(keys, ["_id"]), ["_content"]).select(ORD)
-    kept = prepared.join(survivors, ORD, "left_semi")
+    # Row order is unique, so this is a semi join; unlike one, it is not repeated per union branch.
+    kept = prepared.join(survivors, ORD)
     return parse_dates(title_case_location(kept))
 
 
