@@ -50,7 +50,10 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     unit = spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB").lower().rstrip("b")
     scale = {"k": 2**10, "m": 2**20, "g": 2**30}.get(unit[-1], 1)
     limit = cores * int(unit.rstrip("kmg")) * scale
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:  # a remote session does not tell the size
+        return df
     return df.repartition(cores, key) if size <= limit else df
 
 
