@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.functions import text as tx
-from murmur.functions.ordering import with_ordinal
 from murmur.operators import charts, classify, cleaning, enrich, filters, quality, questions, ranking
 from murmur.operators import replies, summaries
 from murmur.operators.lexicon import SAMPLE
