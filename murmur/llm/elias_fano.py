@@ -12,6 +12,7 @@ for _b in range(256):
     _places = [i for i in range(8) if _b >> i & 1]
     _IN_BYTE[_b, : len(_places)] = _places
 LEVELS = 256  # of a quantised logarithm
+STEP = 1 << 17  # queries answered from one decoded window of a level
 
 
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -70,7 +71,6 @@ class EliasFano:
         self.low, self.high = take(), take()
         ones = np.bitwise_count(self.high).astype(np.int64)
         self.ones = np.concatenate([[0], np.cumsum(ones)[:-1]]).astype(np.int64)
-        self.zeros = np.arange(self.high.size, dtype=np.int64) * 64 - self.ones
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.shift:
@@ -78,52 +78,25 @@ class EliasFano:
         at = i * self.shift
         word, bit = at >> 6, (at & 63).astype(np.uint64)
         value = self.low[word] >> bit
-        over = bit + np.uint64(self.shift) > 64
-        if over.any():
-            value[over] |= self.low[word[over] + 1] << (np.uint64(64) - bit[over])
+        over = np.flatnonzero(bit + np.uint64(self.shift) > 64)
+        value[over] |= self.low[word[over] + 1] << (np.uint64(64) - bit[over])
         return (value & np.uint64((1 << self.shift) - 1)).astype(np.int64)
 
     def access(self, i: np.ndarray) -> np.ndarray:
+        """The values at the places ``i``."""
         if not i.size:
             return np.zeros(0, np.int64)
         return ((_select(self.high, self.ones, i) - i) << self.shift) | self._low(i)
 
-    def _bucket(self, h: np.ndarray) -> np.ndarray:
-        """How many values have an upper part below ``h``."""
-        out = np.zeros(h.size, np.int64)
-        some = np.flatnonzero(h > 0)
-        if some.size:
-            k = h[some] - 1
-            at = np.searchsorted(self.zeros, k, "right") - 1
-            octets = (~self.high[at]).view(np.uint8).reshape(-1, 8)
-            ends = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.uint8)
-            left = (k - self.zeros[at]).astype(np.uint8)
-            octet = (ends <= left[:, None]).sum(axis=1)
-            rows = np.arange(k.size)
-            ahead = np.where(octet > 0, ends[rows, np.maximum(octet, 1) - 1], 0)
-            out[some] = at * 64 + octet * 8 + _IN_BYTE[octets[rows, octet], left - ahead] - k
-        return out
-
-    def find(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Successor search: the first place whose value is at least the target, and equality."""
-        h = target >> self.shift
-        inside = (h >= 0) & (h < self.buckets) & (self.size > 0)
-        place, equal = np.full(target.size, self.size, np.int64), np.zeros(target.size, bool)
-        some = np.flatnonzero(inside)
-        if not some.size:
-            return place, equal
-        h, wanted = h[some], target[some] & ((1 << self.shift) - 1)
-        low, end = self._bucket(h), self._bucket(h + 1)
-        high = end.copy()
-        while (open_ := np.flatnonzero(low < high)).size:
-            middle = (low[open_] + high[open_]) >> 1
-            less = self._low(middle) < wanted[open_]
-            low[open_[less]] = middle[less] + 1
-            high[open_[~less]] = middle[~less]
-        place[some] = low
-        hit = np.flatnonzero(low < end)
-        equal[some[hit]] = self._low(low[hit]) == wanted[hit]
-        return place, equal
+    def window(self, first: int, end: int) -> np.ndarray:
+        """The values at the places from ``first`` up to ``end``, decoded in one go."""
+        if first >= end:
+            return np.zeros(0, np.int64)
+        a, b = _select(self.high, self.ones, np.array([first, end - 1])).tolist()
+        bits = np.unpackbits(self.high[a >> 6 : (b >> 6) + 1].view(np.uint8), bitorder="little")
+        places = np.flatnonzero(bits[a & 63 : b - (a >> 6 << 6) + 1]) + a
+        i = np.arange(first, end)
+        return ((places - i) << self.shift) | self._low(i)
 
 
 class Quantised:
@@ -162,10 +135,25 @@ class Ranges:
             part.mapped(take)
 
     def find(self, context: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place of the value in the level, whether it is there, and where its range starts."""
-        lift, above = self.lift.access(context), self.lift.access(context + 1)
-        place, found = self.values.find(lift + value)
-        return place, found & (lift + value < above), self.start.access(context)
+        """Successor search in the ranges of ascending contexts.
+
+        Gives the place of the value in the level, whether it is there, and where its range
+        starts. The level stays packed; a window of it, the ranges of some queries, is decoded.
+        """
+        place, found, begin = np.empty(value.size, np.int64), np.empty(value.size, bool), np.empty(value.size, np.int64)
+        for i in range(0, value.size, STEP):
+            part = slice(i, i + STEP)
+            first, last = int(context[i]), int(context[part][-1])
+            start, lift = self.start.window(first, last + 2), self.lift.window(first, last + 2)
+            values = self.values.window(int(start[0]), int(start[-1]))
+            row = context[part] - first
+            wanted = lift[row] + value[part]
+            at = np.searchsorted(values, wanted)
+            inside = (at < values.size) & (wanted < lift[row + 1])
+            if values.size:
+                inside &= values[np.minimum(at, values.size - 1)] == wanted
+            place[part], found[part], begin[part] = at + start[0], inside, start[row]
+        return place, found, begin
 
 
 class Trie:
@@ -179,8 +167,11 @@ class Trie:
     belongs to the task alone and is gone with it, like a spill.
     """
 
-    def __init__(self, u, v, w, count, pair_v, pair_w, pair_count, unigram, discount: float):
-        """``count`` of distinct (v, u, w) in this order, ``pair_count`` of distinct (v, w)."""
+    def __init__(self, u, v, w, count, pair_v, pair_w, pair_count, place, unigram, discount: float):
+        """``count`` of distinct (v, u, w) in this order, ``pair_count`` of distinct (v, w).
+
+        ``place`` says which of the pairs each triple ends with.
+        """
         image: list[np.ndarray] = []
         self.unigram = unigram
         roots, first = np.unique(pair_v, return_index=True)
@@ -201,8 +192,6 @@ class Trie:
         left3 = discount * np.diff(start3) / total3
         context_of = np.repeat(np.arange(first3.size), np.diff(start3))
         root_of_context = np.searchsorted(roots, v[first3])
-        bits = np.int64(32)
-        place = np.searchsorted((pair_v.astype(np.int64) << bits) | pair_w, (v.astype(np.int64) << bits) | w)
         p3 = (count - discount) / total3[context_of] + left3[context_of] * p2[place]
         self.contexts = Ranges(np.searchsorted(root_of_context, np.arange(roots.size + 1)), u[first3], image)
         self.triples = Ranges(start3, place - start[root_of_context[context_of]], image)
@@ -231,26 +220,24 @@ class Trie:
             level.mapped(take)
 
     def log10(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Logarithms of the probability of each ``w`` after ``u v``.
-
-        Contexts that repeat are looked up once.
-        """
+        """Logarithms of the probability of each ``w`` after ``u v``; sorted by ``v``, then ``u``."""
         logs = np.log10(self.unigram[w])
         if not v.size:
             return logs
-        middle, back = np.unique(v, return_inverse=True)
-        root, known = self.roots.find(middle)
-        root, known = root[back], known[back]
-        ask = np.flatnonzero(known)
-        if not ask.size:
+        roots = self.roots.window(0, self.roots.size)
+        root = np.searchsorted(roots, v)
+        ask = np.flatnonzero((root < roots.size) & (roots[np.minimum(root, roots.size - 1)] == v)) if roots.size else []
+        if not len(ask):
             return logs
-        root, u, w = root[ask], u[ask].astype(np.int64), w[ask].astype(np.int64)
-        pair, back = np.unique((root << 32) | w, return_inverse=True)
-        at, found, start = (x[back] for x in self.pairs.find(pair >> 32, pair & 0xFFFFFFFF))
+        root, u, w = root[ask], u[ask], w[ask]
+        at, found, start = self.pairs.find(root, w)
         out = np.where(found, 0.0, self.left2[root] + logs[ask])
         out[found] = self.p2[at[found]]
-        context, back = np.unique((root << 32) | u, return_inverse=True)
-        context, seen = (x[back] for x in self.contexts.find(context >> 32, context & 0xFFFFFFFF)[:2])
+        new = np.ones(u.size, bool)
+        new[1:] = (root[1:] != root[:-1]) | (u[1:] != u[:-1])
+        context, seen, _ = self.contexts.find(root[new], u[new])
+        which = np.cumsum(new) - 1
+        context, seen = context[which], seen[which]
         out[seen] += self.left3[context[seen]]
         both = np.flatnonzero(found & seen)
         if both.size:

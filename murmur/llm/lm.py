@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -30,15 +31,32 @@ BEGIN, END, RARE, FIRST = 0, 1, 2, 3  # classes: text begin, text end, words out
 BITS = 17  # of a class: 131,069 head words
 HEAD_WORDS = (1 << BITS) - FIRST
 HEAD_BYTES = 64  # longer words are told apart in the rare class, so the head is below 10 MB
-BLOCK_TOKENS, BLOCK_DOCS = 1 << 18, 1 << 16
+BLOCK_TOKENS, BLOCK_DOCS = 1 << 19, 1 << 16
+GRAINS = 64  # steps to a doubling, when the head's least count is chosen
 BASE = 0.1  # added to each count of the base distribution
 
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Compressed by byte planes: the high bytes of small numbers take next to nothing."""
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    n, at, out = raw.size // sum(np.dtype(k).itemsize for k in kinds), 0, []
+    for kind in kinds:
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind).reshape(-1))
+        at += n * size
+    return out
+
+
 @dataclass(frozen=True)
 class Head:
     """Classes of the frequent words, and the distribution of single classes."""
 
-    ids: dict[bytes, int]
+    words: pa.Array
     counts: np.ndarray
     tokens: int
     distinct: int
@@ -61,7 +79,7 @@ class Head:
 
 @dataclass
 class Plan:
-    """Which shard gets a triple: units of middle words, hot ones cut by the word before them.
+    """Which shard gets a triple, by units of middle words, hot ones cut by the word before them.
 
     ``parts`` and ``first`` give each class its units, ``shard`` each unit its shard. A hot pair
     (a word and a hot middle word) has units of its own, dealt by block.
@@ -100,9 +118,9 @@ def hot_rows(plan: Plan, u: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndar
 
 
 def make_plan(counts: np.ndarray, shard_tokens: int, pairs: dict[int, int] | None = None) -> Plan:
-    """Cut what is larger than half a shard, then put the largest units where least lies."""
+    """Cut what is larger than a shard into halves of one; put the largest units where least lies."""
     half = max(1, shard_tokens // 2)
-    parts = np.maximum(1, np.ceil(counts / half)).astype(np.int32)
+    parts = np.where(counts > shard_tokens, np.ceil(counts / half), 1).astype(np.int32)
     first = np.concatenate([[0], np.cumsum(parts)[:-1]]).astype(np.int32)
     sizes = np.repeat(counts / parts, parts)
     hot = {}
@@ -131,12 +149,11 @@ def token_blocks(docs: DataFrame, learn: Column, doc_id: str, text: str) -> Data
 
         def block() -> pa.RecordBatch:
             numbers = np.concatenate(parts)
-            kind = np.uint16 if len(number) <= 1 << 16 else np.uint32
             values = [
                 pa.array([(TaskContext.get().partitionId() << 32) + next(count)], pa.int64()),
                 pa.array([ids], pa.list_(pa.int64())), pa.array([learns], pa.list_(pa.bool_())),
                 pa.array([sizes], pa.list_(pa.int32())), pa.array([list(number)], pa.list_(pa.binary())),
-                pa.array([numbers.astype(kind).tobytes()], pa.binary()),
+                pa.array([_pack(numbers)], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(values, ["block", "doc_id", "learn", "n_words", "vocabulary", "numbers"])
 
@@ -184,18 +201,16 @@ class Block:
         column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
         for i in range(batch.num_rows):
             vocabulary = column["vocabulary"][i].values
-            kind = np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32
             yield cls(
                 column["block"][i].as_py(), column["doc_id"][i].values,
                 column["learn"][i].values.to_numpy(zero_copy_only=False).astype(bool),
                 column["n_words"][i].values.to_numpy(), vocabulary,
-                np.frombuffer(column["numbers"][i].as_buffer(), kind),
+                _unpack(column["numbers"][i].as_py(), np.int32)[0],
             )
 
     def classes(self, head: Head) -> np.ndarray:
-        known = head.ids.get
-        words = self.vocabulary.to_pylist()
-        return np.fromiter((known(w, RARE) for w in words), np.int32, len(words))
+        place = pc.index_in(self.vocabulary.cast(pa.binary()), value_set=head.words)
+        return pc.fill_null(pc.add(place, FIRST), RARE).to_numpy(zero_copy_only=False)
 
     def documents(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_words.size), self.n_words)
@@ -232,15 +247,27 @@ def word_counts(blocks: DataFrame) -> DataFrame:
 
 
 def read_head(words: DataFrame, head_words: int) -> Head:
-    """The most frequent words, ties by the word: a bounded number of at most 64 bytes each."""
+    """The most frequent words: a bounded number of at most 64 bytes each.
+
+    Their least count is the smallest step of a logarithmic scale that not too many words reach, so
+    only the head itself comes to the driver.
+    """
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).head()
     frequent = words.where((F.length("word") <= HEAD_BYTES) & (F.length("word") > 0))
-    rows = frequent.orderBy(F.desc("n"), "word").limit(head_words).collect()
+    step = F.floor(F.log2("n") * GRAINS).cast("int")
+    least, room = None, head_words
+    for r in frequent.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # a few thousand
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    rows = frequent.where(step >= least).collect() if least is not None else []
+    rows.sort(key=lambda r: (-r["n"], bytes(r["word"])))
     counts = np.zeros(len(rows) + FIRST)
     counts[FIRST:] = [r["n"] for r in rows]
     ends = words.where(F.length("word") == 0).agg(F.sum("n")).head()[0]
     counts[END] = ends or 0
-    return Head({bytes(r["word"]): i + FIRST for i, r in enumerate(rows)}, counts, int(tokens), int(distinct))
+    return Head(pa.array([bytes(r["word"]) for r in rows], pa.binary()), counts, int(tokens), int(distinct))
 
 
 PARTIAL = "block long, place int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
@@ -290,10 +317,10 @@ def rare_sums(blocks: DataFrame, words: DataFrame, head) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     b.vocabulary.take(pa.array(keys % size)).cast(pa.binary()),
                     pa.array(np.full(keys.size, b.number)), pa.array((keys // size).astype(np.int32)),
-                    pa.array(times.astype(np.int64)),
+                    pa.array(times.astype(np.int32)),
                 ], ["word", "block", "place", "times"])
 
-    asked = blocks.mapInArrow(scan, "word binary, block long, place int, times long")
+    asked = blocks.mapInArrow(scan, "word binary, block long, place int, times int")
     n = F.coalesce("n", F.lit(0))
     log = F.log10(n + F.lit(BASE))
     model: Head = head.value
@@ -309,16 +336,24 @@ def rare_sums(blocks: DataFrame, words: DataFrame, head) -> DataFrame:
 def _grouped_counts(blocks: DataFrame, head, keys, name: str) -> DataFrame:
     """``(key, n, everywhere)``: of keys that ``keys(u, v, w)`` picks, in training and in all texts."""
 
+    def added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, learnt, every = (np.concatenate(x) for x in zip(*parts, strict=True))
+        values, back = np.unique(key, return_inverse=True)
+        return values, *(np.bincount(back, x, values.size).astype(np.int64) for x in (learnt, every))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             for b in Block.read(batch):
                 u, v, w, document = b.triples(head.value)
                 at, key = keys(u, v, w)
-                values, back = np.unique(key, return_inverse=True)
-                learnt = np.bincount(back, b.learn[document[at]], values.size).astype(np.int64)
-                every = np.bincount(back, minlength=values.size).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values), pa.array(learnt), pa.array(every)], ["key", "n", "everywhere"])
+                held.append(added([(key, b.learn[document[at]], np.ones(at.size))]))
+                if sum(x[0].size for x in held) > 1 << 20:
+                    held = [added(held)]
+                if held[0][0].size > 1 << 20:
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, held.pop(0))], ["key", "n", "everywhere"])
+        if held:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, added(held))], ["key", "n", "everywhere"])
 
     rows = blocks.mapInArrow(scan, "key long, n long, everywhere long")
     return stored(rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("everywhere").alias("everywhere")), name)
@@ -340,22 +375,6 @@ PIECE = "shard int, kind int, block long, data binary"
 REQUEST, PAIRS, TRIPLES = 2, 0, 1  # counts come before the requests of a shard
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Compressed by byte planes: the high bytes of small numbers take next to nothing."""
-    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
-
-
-def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    n, at, out = raw.size // sum(np.dtype(k).itemsize for k in kinds), 0, []
-    for kind in kinds:
-        size = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind).reshape(-1))
-        at += n * size
-    return out
-
-
 def requests(blocks: DataFrame, head, plan) -> DataFrame:
     """The triples of each block, one row for each shard they go to."""
 
@@ -425,11 +444,10 @@ def build_shard(keys: np.ndarray, weight: np.ndarray, hot: np.ndarray, pairs: tu
     some = np.flatnonzero(weight > 0)
     keys, count = keys[some], weight[some]
     v, u, w = keys >> 2 * BITS, keys >> BITS & _MASK, keys & _MASK
-    own = ~hot[v]
-    pair = np.concatenate([pair_key(v[own], w[own]), pairs[0]])
-    pair, back = np.unique(pair, return_inverse=True)
-    n = np.bincount(back, np.concatenate([count[own], pairs[1]]), pair.size)
-    return Trie(u, v, w, count, pair >> BITS, pair & _MASK, n, unigram, discount)
+    key = np.concatenate([pair_key(v, w), pairs[0]])
+    pair, back = np.unique(key, return_inverse=True)
+    n = np.bincount(back, np.concatenate([np.where(hot[v], 0, count), pairs[1]]), pair.size)
+    return Trie(u, v, w, count, pair >> BITS, pair & _MASK, n, back[: v.size], unigram, discount)
 
 
 def shard_scores(pieces: DataFrame, head, plan, discount: float) -> DataFrame:
@@ -457,8 +475,8 @@ def shard_scores(pieces: DataFrame, head, plan, discount: float) -> DataFrame:
             first = np.flatnonzero(np.diff(where >> 1, prepend=-1))
             sums = np.add.reduceat(logs[at : at + where.size], first)
             at += where.size
-            yield _partial(
-                first.size, block=np.full(first.size, block), place=(where[first] >> 1).astype(np.int32), score=sums)
+            data = _pack((where[first] >> 1).astype(np.int32), sums.astype(np.float32))
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([data], pa.binary())], ["block", "data"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, shard = [], None
@@ -474,12 +492,38 @@ def shard_scores(pieces: DataFrame, head, plan, discount: float) -> DataFrame:
 
     shards = int(plan.value.shard.max()) + 1
     dealt = pieces.repartitionById(shards, "shard").sortWithinPartitions("shard", "kind", "block")
-    return dealt.mapInArrow(scan, PARTIAL)
+    return dealt.mapInArrow(scan, "block long, data binary")
+
+
+def merged(answers: DataFrame) -> DataFrame:
+    """Add up, block by block, what the shards have answered."""
+
+    def add(block: int, parts: list[bytes]) -> pa.RecordBatch:
+        pairs = [_unpack(data, np.int32, np.float32) for data in parts]
+        place, sums = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+        total = np.bincount(place, sums)
+        places = np.flatnonzero(np.bincount(place))
+        return _partial(
+            places.size, block=np.full(places.size, block), place=places.astype(np.int32), score=total[places])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, open_ = [], None
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if block != open_ and parts:
+                    yield add(open_, parts)
+                    parts = []
+                open_ = block
+                parts.append(data)
+        if parts:
+            yield add(open_, parts)
+
+    return answers.repartition("block").sortWithinPartitions("block").mapInArrow(scan, PARTIAL)
 
 
 def score_documents(
     docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text",
-    head_words: int = HEAD_WORDS, shard_tokens: int = 4_000_000, discount: float = 0.75,
+    head_words: int = HEAD_WORDS, shard_tokens: int = 1_500_000, discount: float = 0.75,
 ) -> DataFrame:
     """Score every whole text by a model learnt from the rows for which ``learn`` holds.
 
@@ -519,7 +563,7 @@ def score_documents(
         # At most two rows for each shard: a pair counts here from half a shard's tokens on.
         large = {
             r["key"]: r["everywhere"]
-            for r in pairs.where(F.col("everywhere") > max(1, shard_tokens // 2)).select("key", "everywhere").collect()
+            for r in pairs.where(F.col("everywhere") > shard_tokens // 2).select("key", "everywhere").collect()
             if hot[r["key"] & _MASK]
         }
         plan = make_plan(counts, shard_tokens, large)
@@ -540,7 +584,7 @@ def score_documents(
         every = every.unionByName(piece)
     sums = (
         head_sums(blocks, head).unionByName(rare_sums(blocks, words, head))
-        .unionByName(shard_scores(every, head, shared, discount))
+        .unionByName(merged(shard_scores(every, head, shared, discount)))
         .groupBy("block", "place").agg(
             F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
             F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"),
