@@ -27,7 +27,7 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 def spherical_kmeans(sample: np.ndarray, cells: int, rounds: int = 10, seed: int = 42) -> np.ndarray:
     """Centres of length one; an empty cell keeps its centre."""
-    centres = sample[np.random.default_rng(seed).permutation(len(sample))[:cells]]
+    centres = sample[np.random.default_rng(seed).permutation(len(sample))[:cells]]  # at most as many as rows
     for _ in range(rounds):
         nearest = (sample @ centres.T).argmax(axis=1)
         sums = np.zeros_like(centres)
@@ -133,7 +133,7 @@ def near_duplicates(
     link with nothing; a row without an id has no component and is kept. Rows that repeat an id
     are rows of their own in ``n_links``. Empty tables give empty results; other columns are ignored.
 
-    Exact copies meet as one row first. Centres are fitted on at most ``sample_rows`` vectors
+    Exact copies meet as one row first. Centres are fitted on about ``sample_rows`` vectors at most
     (of those of the most frequent length, by hash); every vector is then assigned to its cell
     and, as a guest, to all cells where it could have a link, so no link is lost. Large
     cells are cut into chunks that are compared pair by pair in different tasks.
@@ -151,9 +151,11 @@ def near_duplicates(
     n = distinct.count()
     common = distinct.groupBy("dim").count().orderBy(F.desc("count"), "dim").head()
     dim = common["dim"] if common else 0
-    cells = min(MAX_CELLS, max(1, math.ceil(n / CELL_ROWS)), sample_rows)
-    sample = distinct.where(F.col("dim") == dim).orderBy(F.xxhash64("vector"), "least").limit(sample_rows)
-    taken = [r["vector"] for r in sample.select("vector").collect()] if cells > 1 else []
+    cells = min(MAX_CELLS, max(1, math.ceil(n / CELL_ROWS)))
+    share = int(min(1.0, 0.9 * sample_rows / max(1, n)) * (1 << 30))
+    sample = distinct.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < share))
+    rows_ = sample.select("least", "vector").collect() if cells > 1 else []
+    taken = [r["vector"] for r in sorted(rows_, key=lambda r: r["least"])]
     centres = spark.sparkContext.broadcast(spherical_kmeans(unit(np.array(taken)), cells) if taken else None)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,10 +33,11 @@ BITS = 14
 MEMO_TOKENS, MEMO_CHARS = 200_000, 64
 
 
-def base_spans(text: str) -> list[tuple[int, int, str]]:
+def base_spans(text: str, tokens: list[str] | None = None) -> list[tuple[int, int, str]]:
     """What the fixed patterns find, as (start, end, kind), ordered by start, then kind.
 
     Searches for parts that every match has come first; only texts with one are matched.
+    ``tokens`` are the text's, if they are at hand.
     """
     low = text.lower()
     found = []
@@ -44,41 +45,58 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
-    if any(len(t) >= LEAST["hex"] for t in text.split()):
+    if max(map(len, text.split() if tokens is None else tokens), default=0) >= LEAST["hex"]:
         found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text) if m.end() - m.start() >= LEAST["hex"]]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def shape(token: str) -> str:
-    """Runs of letters, digits and others, each cut to its class, with a cut length."""
-    classes = "".join(
-        "d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else c if c in "=:'\"_-/+." else "x"
-        for c in token[:MEMO_CHARS])
-    short = re.sub(r"(.)\1+", r"\1", classes)
-    return short[:12]
+class _Classes(dict):
+    """Character classes: digit, upper and lower letter, some marks, all else."""
 
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = out = (
+            "d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else c if c in "=:'\"_-/+." else "x")
+        return out
 
-def mixture(token: str) -> str:
+
+_CLASSES = _Classes()
+_NAME = re.compile("pass|secret|token|key|akia|pwd|auth")
+
+
+def look(token: str) -> tuple[str, str, str]:
+    """All that features are made of: character classes, the last mark, a telling name.
+
+    Few looks occur, however many different words there are.
+    """
+    classes = token[:MEMO_CHARS].translate(_CLASSES)
+    low = token[:MEMO_CHARS].lower()
+    name = re.sub(r"[^a-z_]", "", low)[:20] if _NAME.search(low) else ""
+    last = token[-1]
+    return classes, "a" if last.isalnum() else last, name
+
+
+def shape(classes: str) -> str:
+    """Runs of the same class as one, cut to twelve."""
+    return re.sub(r"(.)\1+", r"\1", classes)[:12]
+
+
+def mixture(classes: str) -> str:
     """How letters and digits mix, and how long the token is."""
-    digits = sum(c.isdigit() for c in token)
-    upper = sum(c.isupper() for c in token)
-    switches = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:], strict=False))
-    return f"{min(digits, 6)}|{min(upper, 6)}|{min(switches, 6)}|{min(len(token) // 4, 8)}"
+    switches = sum((a == "d") != (b == "d") for a, b in zip(classes, classes[1:], strict=False))
+    return f"{min(classes.count('d'), 6)}|{min(classes.count('u'), 6)}|{min(switches, 6)}|{min(len(classes) // 4, 8)}"
 
 
 def _slot(feature: str) -> int:
     return int.from_bytes(hashlib.blake2b(feature.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % (1 << BITS)
 
 
-def token_features(token: str) -> list[list[str]]:
+def token_features(classes: str, tail: str, name: str) -> list[list[str]]:
     """Features of a token for itself, for the one after it and for the one before it."""
-    word = re.sub(r"[^a-z_]", "", token.lower())[:20]
-    name = word if any(k in word for k in ("pass", "secret", "token", "key", "akia", "pwd", "auth")) else ""
-    tail = token[-1:] if not token[-1:].isalnum() else "a"
-    own = ["shape=" + shape(token), "mix=" + mixture(token), "long=" + str(min(len(token) // 8, 6)), "name=" + name]
-    after = ["before:name=" + name, "before:tail=" + tail, "before:shape=" + shape(token)[:3]]
-    ahead = ["after:shape=" + shape(token)[:3]]
-    return [own, after, ahead]
+    short = shape(classes)
+    own = ["shape=" + short, "mix=" + mixture(classes), "long=" + str(min(len(classes) // 8, 6)), "name=" + name]
+    after = ["before:name=" + name, "before:tail=" + tail, "before:shape=" + short[:3]]
+    return [own, after, ["after:shape=" + short[:3]]]
 
 
 def file_features(text: str) -> list[str]:
@@ -92,27 +110,31 @@ def file_features(text: str) -> list[str]:
 
 
 class Rows(dict):
-    """Rows of a table of three times three sums of weights, one row for each distinct token."""
+    """Rows of a table of three times three sums of weights: by token, and by its look."""
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights
         self.table = np.zeros((1024, 3, 3), np.float64)
-        self.seen: list[str] = []
+        self.looks: dict[tuple, int] = {}
 
     def __missing__(self, token: str) -> int:
-        row = len(self.seen)
-        if row >= len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        for part, names in enumerate(token_features(token)):
-            self.table[row, part] = self.weights[[_slot(x) for x in names]].sum(axis=0)
-        self.seen.append(token)
-        self[token] = row
+        key = look(token)
+        row = self.looks.get(key)
+        if row is None:
+            row = self.looks[key] = len(self.looks)
+            if row >= len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            for part, names in enumerate(token_features(*key)):
+                self.table[row, part] = self.weights[[_slot(x) for x in names]].sum(axis=0)
+        if len(token) <= MEMO_CHARS:
+            self[token] = row
         return row
 
     def renew(self) -> None:
-        if len(self.seen) > MEMO_TOKENS:
+        """Between texts: forget all once there is too much to remember."""
+        if len(self) > MEMO_TOKENS or len(self.looks) > MEMO_TOKENS:
             self.clear()
-            self.seen.clear()
+            self.looks.clear()
 
 
 @dataclass(frozen=True)
@@ -179,7 +201,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(sequences: list[tuple[list[list[int]], np.ndarray]], epochs: int = 6, rate: float = 0.3, l2: float = 1e-4) -> Model:
+def fit(sequences: list[tuple[list[list[int]], np.ndarray]], epochs: int = 4, rate: float = 0.3, l2: float = 1e-4) -> Model:
     """Maximise the conditional likelihood by AdaGrad; gradients come from forward-backward.
 
     A sequence is the feature slots of each token and its tags. Without sequences all is outside.
@@ -226,7 +248,7 @@ def fit(sequences: list[tuple[list[list[int]], np.ndarray]], epochs: int = 6, ra
 
 
 def tagged(text: str, window: int = 12) -> Iterator[tuple[list[list[int]], np.ndarray]]:
-    """Stretches of tokens around what the patterns find, with tags, and one without any."""
+    """Stretches of tokens with tags: around what the patterns find, the longest others, the middle."""
     tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
     if not tokens:
         return
@@ -238,30 +260,43 @@ def tagged(text: str, window: int = 12) -> Iterator[tuple[list[list[int]], np.nd
         for i in inner:
             tags[i] = INSIDE if tags[i] == INSIDE or i > inner[0] else BEGIN
     hits = np.flatnonzero(tags)
-    middles = [int(i) for i in hits[:: max(1, len(hits) // 4)][:4]] + [len(tokens) // 2]
+    others = sorted(np.flatnonzero(tags == OUT).tolist(), key=lambda i: -len(words[i]))[:2]
+    middles = [*hits[:: max(1, len(hits) // 4)][:4].tolist(), *others, len(tokens) // 2]
     for middle in middles:
         a, b = max(0, middle - window), min(len(tokens), middle + window)
         slots_ = []
         for i in range(a, b):
-            names = token_features(words[i])[0]
-            names = names + (token_features(words[i - 1])[1] if i else [])
-            names = names + (token_features(words[i + 1])[2] if i + 1 < len(words) else [])
+            names = token_features(*look(words[i]))[0]
+            names = names + (token_features(*look(words[i - 1]))[1] if i else [])
+            names = names + (token_features(*look(words[i + 1]))[2] if i + 1 < len(words) else [])
             slots_.append([_slot(x) for x in names] + own)
         yield slots_, tags[a:b]
 
 
 def train(
-    docs: DataFrame, learn: Column | None = None, max_rows: int = 300, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, learn: Column | None = None, max_rows: int = 150, doc_id: str = "doc_id", text: str = "text"
 ) -> Model:
-    """Fit on at most ``max_rows`` documents in which the patterns find something.
+    """Fit on at most ``max_rows`` documents with a keyword or key prefix and as many of any kind.
 
-    Their matches are the labels; the field learns what surrounds and shapes a secret. The
-    sample is bounded by its rows and by the size of the stretches taken from each (five
-    of 24 tokens); it consists of the documents with the smallest hashes.
+    Matches of the patterns are the labels; the field learns what surrounds and shapes a
+    secret, and what does not. The sample consists of the documents with the smallest hashes of
+    id and text, and of at most seven stretches of 24 tokens from each: only those come to
+    the driver. Null texts are not learnt from.
     """
     marks = F.col(text).rlike("(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]") | F.col(text).contains("AKIA")
-    rows = docs.where(marks & F.col(text).isNotNull())
+    rows = docs.where(F.col(text).isNotNull())
     rows = rows.where(learn) if learn is not None else rows
+    order = F.xxhash64(F.col(doc_id), F.col(text))
+
+    def bound(some: DataFrame) -> int | None:
+        return some.select(order.alias("o")).orderBy("o").limit(max_rows).agg(F.max("o")).head()[0]
+
+    every, marked = bound(rows), bound(rows.where(marks))
+    if every is None:
+        return fit([])
+    chosen = order <= every
+    if marked is not None:
+        chosen |= (order <= marked) & marks
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,16 +309,16 @@ def train(
                 ("order", pa.int64()), ("slots", pa.list_(pa.list_(pa.int32()))), ("tags", pa.list_(pa.int32()))]))
 
     bounded_batches(docs.sparkSession)
-    order = F.xxhash64(F.col(doc_id), F.col(text))
-    keyed = rows.select(order.alias("order"), F.col(text).alias("text")).where("text is not null")
-    taken = keyed.mapInArrow(extract, "order long, slots array<array<int>>, tags array<int>")
-    sample = taken.orderBy("order", F.xxhash64("slots"), F.xxhash64("tags")).limit(5 * max_rows).collect()
+    taken = rows.where(chosen).select(order.alias("order"), F.col(text).cast("string").alias("text")).distinct()
+    sample = taken.mapInArrow(extract, "order long, slots array<array<int>>, tags array<int>").collect()
+    sample.sort(key=lambda r: (r["order"], r["slots"], r["tags"]))
     return fit([(r["slots"], np.array(r["tags"])) for r in sample])
 
 
-def added_spans(text: str, model: Model, rows: Rows, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+def added_spans(
+    text: str, tokens: list[str], model: Model, rows: Rows, base: list[tuple[int, int, str]]
+) -> list[tuple[int, int, str]]:
     """Spans the field finds beside the base ones; those that overlap a base span are left out."""
-    tokens = text.split()
     if not tokens:
         return []
     rows.renew()
@@ -322,8 +357,10 @@ def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "tex
         for batch in batches:
             found = []
             for data in batch.column(1).to_pylist():
-                base = base_spans(data or "")
-                every = base + added_spans(data or "", model_, rows, base)
+                text_ = data or ""
+                tokens = text_.split()
+                base = base_spans(text_, tokens)
+                every = base + added_spans(text_, tokens, model_, rows, base)
                 every.sort(key=lambda s: (s[0], KINDS.index(s[2])))
                 found.append([{"kind": k, "start": a, "end": b} for a, b, k in every])
             spans = pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
