@@ -25,24 +25,26 @@ def apply(spark, texts, column):
     return [r[1] for r in sorted(df.select("i", column).collect())]
 
 
-def short(text):
-    body = text.strip()
-    return body if len(body) <= 140 else body[:137].rstrip() + "..."
-
-
 @pytest.mark.parametrize("column, expected", [
     (lambda t: tx.collapse_spaces(t), lambda s: re.sub(r"\s+", " ", s.strip())),
     (lambda t: tx.strip_spaces(t), str.strip),
     (lambda t: tx.title_case(t), str.title),
     (lambda t: tx.classifier_form(t), lambda s: " " + re.sub(r"\s+", " ", s.lower()) + " "),
     (lambda t: tx.search_form(t), lambda s: re.sub(r"[^a-z0-9 ]", "", s.lower().replace("-", ""))),
-    (lambda t: tx.truncate_summary(t), short),
 ])
 def test_text_functions_agree_with_python(spark, column, expected):
     texts = TRICKY + randoms()
     assert apply(spark, texts, column(F.col("t"))) == [expected(t) for t in texts]
 
 
+@pytest.mark.parametrize(("text", "summary"), [
+    ("", ""), ("  padded\t", "padded"), ("a" * 140, "a" * 140), ("a" * 141, "a" * 137 + "..."),
+    ("x" * 136 + " " + "y" * 10, "x" * 136 + "..."), ("a " * 90, "a " * 68 + "a..."),
+])
+def test_summaries_are_cut(spark, text, summary):
+    assert apply(spark, [text], tx.truncate_summary(F.col("t"))) == [summary]
+
+
 def test_query_words_keep_duplicates_and_drop_stop_words(spark):
     got = apply(spark, ["What about the Wi-Fi, wifi and campus lab heat?"], tx.query_words(F.col("t")))
     assert got == [["wifi", "wifi", "heat"]]
