@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from murmur.llm.common import bounded_batches, components, dealt_pairs, forest, stored
 
 BLOCK = 1024  # rows of a block of products: 8 MB of cosines
-CELL_ROWS = 2048  # vectors a cell is meant to hold
+CELL_ROWS = 4096  # vectors of a label that a cell is meant to hold
 MAX_CELLS = 1024
 SLACK = 1e-9  # against rounding, where a vector is as far from a cell as it may be
 
@@ -151,7 +151,8 @@ def near_duplicates(
     n = distinct.count()
     common = distinct.groupBy("dim").count().orderBy(F.desc("count"), "dim").head()
     dim = common["dim"] if common else 0
-    cells = min(MAX_CELLS, max(1, math.ceil(n / CELL_ROWS)))
+    largest = distinct.groupBy("label").count().agg(F.max("count")).head()[0] or 0
+    cells = min(MAX_CELLS, max(1, math.ceil(largest / CELL_ROWS)))
     share = int(min(1.0, 0.9 * sample_rows / max(1, n)) * (1 << 30))
     sample = distinct.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < share))
     rows_ = sample.select("least", "vector").collect() if cells > 1 else []

@@ -59,8 +59,8 @@ class Model:
         return table
 
 
-def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 0.1, beta: float = 1.0,
-        l1: float = 1.0, l2: float = 0.1, epochs: int = 3) -> Model:
+def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 2.0, beta: float = 1.0,
+        l1: float = 4.0, l2: float = 0.1, epochs: int = 3) -> Model:
     """FTRL-proximal: each coordinate has its own learning rate, and L1 keeps small ones at zero.
 
     The last coordinate is the bias, which is not held down by L1. No rows give a model
