@@ -30,11 +30,12 @@ def main() -> None:
         names = list(QUERIES)
     spark = local_session(cpus, int(cpus) if cpus.isdigit() else 8)
     run_once(spark, "priority_problems", sf_dir)  # start the engine outside the clock
-    # The better of two runs: the first one also pays for code generation.
-    times = {n: round(min(run_once(spark, n, sf_dir) for _ in range(2)), 3) for n in names}
+    # The better of two runs counts: the first one also pays for code generation.
+    runs = {n: [round(run_once(spark, n, sf_dir), 3) for _ in range(2)] for n in names}
+    times = {n: min(both) for n, both in runs.items()}
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
-        "queries": times, "sf": sf_dir.rstrip("/").rsplit("/", 1)[-1],
+        "queries": times, "runs": runs, "sf": sf_dir.rstrip("/").rsplit("/", 1)[-1],
     }))
 
 

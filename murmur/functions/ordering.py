@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +13,35 @@ from murmur.schema import ORD
 def with_ordinal(df: DataFrame, sequence: str | None = None) -> DataFrame:
     """Add the row order of the source as ``_ord``.
 
-    Pass the source's own sequence column when it has one. Without it the position in the scan
-    is used, so this must come directly after the read, before any shuffle.
+    Pass the source's own sequence column when it has one. Without it rows are ordered by file
+    path, then by their position in the file, so this must come directly after the read, before
+    any shuffle. Within one file the scan's row ids follow the position; which file comes first in
+    a scan depends on sizes, so several files are numbered by their sorted paths.
     """
     if sequence is not None:
         return df.withColumn(ORD, F.col(sequence).cast("long"))
-    return df.withColumn(ORD, F.monotonically_increasing_id())
+    position = F.monotonically_increasing_id()
+    paths = sorted(_plain_path(p) for p in df.inputFiles())
+    if len(paths) < 2:
+        return df.withColumn(ORD, position)
+    rows = 63 - len(paths).bit_length() - df.rdd.getNumPartitions().bit_length()
+    inside = F.shiftleft(F.shiftright(position, 33), rows).bitwiseOR(position.bitwiseAND(F.lit((1 << 33) - 1)))
+    crowded = position.bitwiseAND(F.lit((1 << 33) - 1)) >= F.lit(1 << min(rows, 33))
+    files = df.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), "_path string, _file long")
+    path = F.regexp_replace(F.col("_metadata.file_path"), "^([a-z0-9]+):/+", "$1:/")
+    numbered = df.withColumns({"_path": path, "_inside": inside, "_crowded": crowded})
+    order = F.shiftleft(F.col("_file"), 63 - len(paths).bit_length()).bitwiseOR(F.col("_inside"))
+    full = F.raise_error(F.lit("a read task holds too many rows to be numbered; pass a sequence column"))
+    # One short row for each file of the listing that the driver holds anyway.
+    joined = numbered.join(F.broadcast(files), "_path", "left")
+    lost = F.raise_error(F.lit("a file of the scan is not in its listing; pass a sequence column"))
+    return joined.withColumn(
+        ORD, F.when(F.col("_crowded"), full.cast("long")).when(F.col("_file").isNull(), lost.cast("long")).otherwise(order)
+    ).select(*[F.col(f"`{c}`") for c in df.columns], ORD)
+
+
+def _plain_path(path: str) -> str:
+    return re.sub("^([a-z0-9]+):/+", r"\1:/", path)
 
 
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str) -> DataFrame:

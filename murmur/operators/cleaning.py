@@ -61,13 +61,29 @@ def iso_date(text: Column) -> Column:
     return F.when(text.rlike(_ISO_DATE), text).try_cast("timestamp_ntz")
 
 
-def parse_dates(df: DataFrame) -> DataFrame:
+def read_date(text: Column, formats: list[str] | None = None) -> Column:
+    """A date in ISO form or, tried in turn, in one of the given patterns such as ``MM/dd/yyyy``."""
+    others = [F.try_to_timestamp(F.trim(text), F.lit(f)).cast("timestamp_ntz") for f in formats or []]
+    return F.coalesce(iso_date(text), *others)
+
+
+def parse_dates(df: DataFrame, formats: list[str] | None = None) -> DataFrame:
+    """Rows with a readable date; ``unreadable_dates`` counts the others."""
     if dict(df.dtypes)["date"] == "string":
-        df = df.withColumn("date", iso_date(F.col("date")))
+        df = df.withColumn("date", read_date(F.col("date"), formats))
     return df.where(F.col("date").isNotNull())
 
 
-def clean_feedback(df: DataFrame, null_ids_are_equal: bool = True) -> DataFrame:
+def unreadable_dates(df: DataFrame, formats: list[str] | None = None) -> DataFrame:
+    """``(total, unreadable)``: how many rows there are and how many lack a readable date."""
+    date = F.col("date")
+    date = read_date(date, formats) if dict(df.dtypes)["date"] == "string" else date
+    return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(date.isNull()).alias("unreadable"))
+
+
+def clean_feedback(
+    df: DataFrame, null_ids_are_equal: bool = True, formats: list[str] | None = None
+) -> DataFrame:
     """The full chain: white space, blanks, two deduplications, title case, dates.
 
     Both deduplications run on digests: id, content digest and row order are shuffled twice, the
@@ -84,7 +100,7 @@ def clean_feedback(df: DataFrame, null_ids_are_equal: bool = True) -> DataFrame:
     survivors = keep_first(keep_first(keys, ["_id"]), ["_content"]).select(ORD)
     # Row order is unique, so this is a semi join; unlike one, it is not repeated per union branch.
     kept = prepared.join(survivors, ORD)
-    return parse_dates(title_case_location(kept))
+    return parse_dates(title_case_location(kept), formats)
 
 
 def require_rows(df: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from murmur.functions.text import text_key
 from murmur.operators.classify import classify, classify_as_result
-from murmur.operators.joins import hot_keys, salted_join
 from murmur.operators.lexicon import Lexicon
 from murmur.operators.replies import parse_replies
 from murmur.schema import ORD, RESULT_FIELDS
@@ -22,7 +21,6 @@ from murmur.session import cut_lineage
 Scorer = Callable[[list[str]], list[str]]
 
 BATCH_SIZE = 10
-HOT_ROWS = 1_000_000
 
 
 @dataclass
@@ -68,24 +66,23 @@ def enrich(
     cache: DataFrame | None = None,
     scorer: Scorer | None = None,
     prompt: str = "",
-    hot_rows: int = HOT_ROWS,
 ) -> Enriched:
     """Analyse every text of ``df`` that the cache does not know.
 
     Equal texts meet in one partial aggregation before the shuffle, so a text that fills a third
-    of the table is sent once per task. The way back to the rows is salted for such texts. The
-    scorer's output is written to the checkpoint folder: it is paid for once although
+    of the table is sent once per task. On the way back to the rows Spark's adaptive join splits
+    such texts. Of several cached results for one key the smallest counts. The scorer's output is written to the checkpoint folder: it is paid for once although
     it is used twice.
     """
     keyed = df.withColumn("feedback", F.coalesce("feedback", F.lit(""))).withColumn(
         "cache_key", text_key(F.col("feedback"), prompt)
     )
     texts = keyed.groupBy("cache_key").agg(F.first("feedback").alias("feedback"))
-    known = None if cache is None else cache.dropDuplicates(["cache_key"])
+    known = None if cache is None else cache.groupBy("cache_key").agg(F.min("result").alias("result"))
     pending = texts if known is None else texts.join(known, "cache_key", "left_anti")
     fresh = score(pending, lexicon, scorer)
     results = fresh if known is None else fresh.unionByName(known.select("cache_key", "result"))
-    rows = salted_join(keyed, results, "cache_key", hot_keys(keyed, "cache_key", hot_rows), "left")
+    rows = keyed.join(results, "cache_key", "left")
     flat = rows.select(*df.columns, "cache_key", *[F.col(f"result.{n}").alias(n) for n in RESULT_FIELDS])
     return Enriched(flat, fresh.where(F.col("result.analysis_error").isNull()))
 
@@ -101,7 +98,5 @@ def analysis_failures(df: DataFrame) -> DataFrame:
     return df.agg(
         F.count_if(failed).alias("failed"),
         F.count(F.lit(1)).alias("total"),
-        F.substring(
-            F.min_by("analysis_error", F.when(failed, F.col(ORD))), 1, 300
-        ).alias("first_error"),
+        F.min_by("analysis_error", F.when(failed, F.col(ORD))).alias("first_error"),
     )

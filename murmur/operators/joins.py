@@ -1,12 +1,10 @@
-"""Joins that check what they broadcast and that split hot keys."""
+"""Joins that check what they broadcast; Spark's adaptive execution splits hot keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.schema import ORD
-
 BROADCAST_ROWS = 200_000
 
 
@@ -22,48 +20,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     these stay in the low megabytes.
     """
     return F.broadcast(df) if is_small(df, max_rows) else df
-
-
-def hot_keys(df: DataFrame, key: str, min_rows: int, limit: int = 1000) -> DataFrame:
-    """The keys with at least ``min_rows`` rows, no more than ``limit`` of them.
-
-    Only a hint for ``salted_join``: a key left out is still joined, just not split.
-    """
-    return (
-        df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") >= min_rows)
-        .orderBy(F.desc("_n"), F.asc(key)).limit(limit)
-        .select(key)
-    )
-
-
-def salted_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    hot: DataFrame,
-    how: str = "inner",
-    salts: int = 64,
-    spread: str = ORD,
-) -> DataFrame:
-    """Join ``rows`` with a ``lookup`` that is unique by ``key``, splitting the ``hot`` keys.
-
-    The rows of a hot key go to ``salts`` different partitions and its one lookup row is copied
-    to each of them; every other key keeps salt 0. The result is the plain join.
-    """
-    flags = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))  # at most 1000 short keys
-    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
-    salted_rows = (
-        rows.join(flags, key, "left")
-        .withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0).cast("long"))
-        .drop("_hot")
-    )
-    copies = F.when(
-        is_hot, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
-    ).otherwise(F.array(F.lit(0).cast("long")))
-    salted_lookup = (
-        lookup.join(flags, key, "left")
-        .withColumn("_salt", F.explode(copies))
-        .drop("_hot")
-    )
-    return salted_rows.join(salted_lookup, [key, "_salt"], how).drop("_salt")

@@ -65,7 +65,7 @@ def bullet_line(df: DataFrame) -> Column:
         text = F.coalesce(F.when(F.col("summary") != "", F.col("summary")), text)
     tag = F.date_format("date", "yyyy-MM-dd")
     if "category" in df.columns:
-        tag = F.concat(F.col("severity"), F.lit(" severity, "), F.col("category"))
+        tag = F.concat(_text("severity"), F.lit(" severity, "), _text("category"))
     return F.concat(
         F.lit("- **"), _text("location"), F.lit("** ("), F.coalesce(tag, F.lit("None")),
         F.lit("): "), F.coalesce(text, F.lit("")),

@@ -165,4 +165,6 @@ def parse_batch_replies(requests: DataFrame, replies: DataFrame, lexicon: Lexico
         first.select("batch_id", "item_no", _allowed(F.col("_entry")).alias("result"), F.lit(True).alias("_found")),
         ["batch_id", "item_no"], "left",
     )
-    return with_fallback(matched, lexicon, F.col("_found").isNull(), F.lit(SKIPPED)).drop("_found")
+    blank = strip_spaces(F.coalesce("feedback", F.lit(""))) == ""
+    reason = F.when(blank, EMPTY_TEXT).otherwise(SKIPPED)
+    return with_fallback(matched, lexicon, F.col("_found").isNull(), reason).drop("_found")

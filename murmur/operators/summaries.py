@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.functions.numbers import mean2, percent
@@ -203,10 +203,7 @@ def build_datasets(df: DataFrame) -> dict[str, DataFrame]:
 
 
 def csv_lines(table: DataFrame, name: str) -> DataFrame:
-    """A table as CSV text: (dataset, line), the heading line first once sorted by ``line_no``.
-
-    Lines are ranked within the table, which has one row per group.
-    """
+    """The rows of a table as CSV text: (dataset, line), without the heading."""
     shown = with_headings(table)
     return shown.select(
         F.lit(name).alias("dataset"),
@@ -234,6 +231,8 @@ def datasets_to_text(datasets: dict[str, DataFrame]) -> DataFrame:
             F.struct(F.lit(name).alias("dataset"), F.lit(1).alias("part"), F.lit(csv_heading(table)).alias("line")),
         )))
         blocks.append(opening.unionByName(rows))
+    if not blocks:
+        return SparkSession.active().createDataFrame([], "dataset string, part int, line string")
     return reduce(DataFrame.unionByName, blocks)
 
 

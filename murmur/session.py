@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every operator relies on.  AQE coalesces small partitions, splits skewed join
@@ -14,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Of a JSON key that is given twice the last value counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -32,6 +32,7 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        .config("spark.checkpoint.dir", "/tmp/murmur-checkpoints")
     )
     spark = configure(builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -61,15 +62,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to reliable storage and read it back from there.
 
     The folder is the one the session names in ``spark.checkpoint.dir``, so a lost executor
-    costs nothing.  Only a local session without that setting gets a folder of its own.
+    costs nothing.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="murmur-checkpoint-")
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(folder)
     return df.checkpoint()

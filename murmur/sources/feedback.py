@@ -20,15 +20,15 @@ def load_feedback(
     spark: SparkSession,
     path: str,
     fmt: str = "csv",
-    multi_line: bool = True,
+    multi_line: bool = False,
     null_tokens: list[str] = NULL_TOKENS,
     sequence: str | None = None,
 ) -> DataFrame:
     """Read a feedback table with the source's row order in ``_ord``.
 
-    CSV columns are all strings named by the header, extra columns pass through. A file with
-    line breaks inside quoted cells must be read whole by one task; pass ``multi_line=False``
-    when there are none, so that large files are split.
+    CSV columns are all strings named by the header, extra columns pass through. Large files are
+    split. A file with line breaks inside quoted cells must be read whole by one task: pass
+    ``multi_line=True`` for those.
     """
     try:
         if fmt == "csv":

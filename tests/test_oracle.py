@@ -1,20 +1,14 @@
 """Registered queries against DuckDB on the smallest tables.
 
-``MURMUR_ALL=1`` runs all of them; ``tools/check_oracle.py`` does the same on any scale.
+``tools/check_oracle.py`` does the same on any scale.
 """
 
-import os
-
 import pytest
 from check_oracle import compare, connect
 
 from murmur.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
-FEW = [
-    "append_new_rows", "clean_feedback", "filter_relaxation", "summary_by_category", "priority_problems",
-    "classify_full", "enrich_cached", "parse_batch_replies", "keyword_search", "label_agreement",
-]
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +16,7 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES) if os.environ.get("MURMUR_ALL") else FEW)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     good, note = compare(spark, duck, name, QUERIES[name].run, QUERIES[name].sql, SF)
     assert good, note

@@ -1,7 +1,8 @@
 import pytest
 
+from murmur.operators import cleaning
 from murmur.schema import ValidationError
-from murmur.sources.append import append_new
+from murmur.sources.append import append_new, last_number
 from murmur.sources.feedback import (
     dataset_summary, export_csv, file_slug, load_feedback, preview, safe_load_and_clean,
 )
@@ -17,10 +18,10 @@ def write(tmp_path, text):
 
 def test_columns_follow_the_header_and_quotes_work(spark, tmp_path):
     path = write(tmp_path, HEAD + '2026-06-01,FB1,Hall,"a ""b"", c\nsecond line",x\n2026-06-02,NA,nan,None,\n')
-    rows = load_feedback(spark, path).orderBy("_ord").collect()
+    rows = load_feedback(spark, path, multi_line=True).orderBy("_ord").collect()
     assert rows[0]["feedback"] == 'a "b", c\nsecond line' and rows[0]["feedback_id"] == "FB1"
     assert (rows[1]["feedback_id"], rows[1]["location"], rows[1]["feedback"], rows[1]["extra"]) == (None,) * 4
-    df, error = safe_load_and_clean(spark, path)
+    df, error = safe_load_and_clean(spark, path, multi_line=True)
     assert error is None and df.count() == 1 and "extra" in df.columns
 
 
@@ -52,16 +53,48 @@ def test_preview_and_summary(feedback):
     assert (bare["total_records"], bare["unique_locations"], bare["first_date"]) == (20, 0, None)
 
 
-@pytest.mark.parametrize("hot_rows", [1, 1_000_000])
-def test_append_skips_known_texts_and_numbers_on(spark, hot_rows):
+def test_rows_of_several_files_are_ordered_by_path(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "a.csv").write_text(HEAD + "2026-06-01,FB1,Hall,short,\n2026-06-01,FB2,Hall,second,\n")
+    (folder / "b.csv").write_text(HEAD + "2026-06-01,FB1,Hall," + "long " * 500 + ",\n")
+    rows = load_feedback(spark, str(folder)).orderBy("_ord").collect()
+    assert [(r["feedback_id"], r["feedback"][:4]) for r in rows] == [("FB1", "shor"), ("FB2", "seco"), ("FB1", "long")]
+    assert len({r["_ord"] for r in rows}) == 3
+    cleaned, error = safe_load_and_clean(spark, str(folder))
+    assert error is None and sorted(r["feedback"] for r in cleaned.collect()) == ["second", "short"]
+
+
+def test_dates_in_other_forms(spark):
+    rows = [(0, "2026-06-01"), (1, "06/02/2026"), (2, "3.6.2026"), (3, "soon"), (4, None)]
+    df = spark.createDataFrame(rows, "_ord long, date string")
+    formats = ["MM/dd/yyyy", "d.M.yyyy"]
+    got = {r["_ord"]: str(r["date"])[:10] for r in cleaning.parse_dates(df, formats).collect()}
+    assert got == {0: "2026-06-01", 1: "2026-06-02", 2: "2026-06-03"}
+    assert tuple(cleaning.unreadable_dates(df, formats).first()) == (5, 2)
+    assert tuple(cleaning.unreadable_dates(df).first()) == (5, 4)
+
+
+def test_long_ids_are_read_whole_or_refused(spark):
+    def last(*ids):
+        return last_number(spark.createDataFrame([(i,) for i in ids], "feedback_id string"))
+
+    assert last("FB0009", "FB0123", None, "FBx") == 123
+    assert last("FB1000000000000000001", "FB999999999999999999") == 10**18 + 1
+    assert last() == 0
+    with pytest.raises(ValueError, match="too large"):
+        last("FB1234567890123456789012")
+
+
+def test_append_skips_known_texts_and_numbers_on(spark):
     schema = "_ord long, feedback_id string, date string, location string, feedback string"
     existing = spark.createDataFrame([(0, "FB0007", "2026-06-02", "A", " known "), (1, "FB0003", "2026-06-01", "A", "b")], schema)
     incoming = spark.createDataFrame([
         (5, "2026-06-03", "B", "new"), (6, "2026-06-03", "B", "known"), (7, "2026-06-01", "B", "new"),
         (8, "2026-06-03", "B", " known "), (9, "2026-06-03", "B", "b"),
     ], "_ord long, date string, location string, feedback string")
-    rows = [(r["feedback_id"], r["feedback"]) for r in append_new(existing, incoming, hot_rows).collect()]
+    rows = [(r["feedback_id"], r["feedback"]) for r in append_new(existing, incoming).collect()]
     # Incoming rows are compared as they are, and not with each other.
     assert rows == [("FB0003", "b"), ("FB0009", "new"), ("FB0007", " known "), ("FB0008", "new"), ("FB0010", " known ")]
-    again = append_new(existing, incoming.limit(0), hot_rows)
+    again = append_new(existing, incoming.limit(0))
     assert again.count() == 2

@@ -106,3 +106,7 @@ def test_charts(feedback):
     assert charts.chart_sentiment(df.drop("sentiment")).collect() == []
     words = df.withColumn("keywords", F.lit("fan, heat"))
     assert [tuple(r) for r in charts.chart_keywords(words).collect()] == [("fan", 2), ("heat", 2)]
+
+
+def test_no_datasets_give_no_lines(spark):
+    assert s.datasets_to_text({}).collect() == []
