@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions.text import prefixes, query_words, search_form
 from murmur.operators.summaries import (
-    DIMENSIONS, basic_location_table, csv_heading, csv_lines, measures, rollup_measures, summary_table,
+    DATASET_NAMES, DIMENSIONS, basic_location_table, datasets_to_text, measures, rollup_measures, summary_table,
 )
 from murmur.schema import ORD, is_analyzed, severity_weight
 from murmur.session import cut_lineage
@@ -114,9 +114,11 @@ def relevance_topk(df: DataFrame, question: str, k: int = MAX_CONTEXT_ROWS) -> D
 
 
 def context_lines(df: DataFrame, question: str, k: int = MAX_CONTEXT_ROWS) -> DataFrame:
-    """The context of a question as (part, block, position, line).
+    """The context of a question as (part, block_no, block, position, line).
 
-    Part 0 is the note on the records shown, 1 the heading, 2 the records, 3 the summary tables.
+    Part 0 is the note on the records shown and the heading, 2 the records, 3 the summary tables,
+    4 the note that there are no more. Sorted by ``part``, ``block_no`` and ``position`` the lines
+    read as one text.
     """
     total = df.agg(F.count(F.lit(1)).alias("n"))
     count = F.col("n").cast("string")
@@ -131,7 +133,7 @@ def context_lines(df: DataFrame, question: str, k: int = MAX_CONTEXT_ROWS) -> Da
 
     def block(lines: DataFrame, part: int, name: str) -> DataFrame:
         return lines.select(
-            F.lit(part).alias("part"), F.lit(name).alias("block"),
+            F.lit(part).alias("part"), F.lit(0).alias("block_no"), F.lit(name).alias("block"),
             F.col("position").cast("long").alias("position"), "line",
         )
 
@@ -145,15 +147,13 @@ def context_lines(df: DataFrame, question: str, k: int = MAX_CONTEXT_ROWS) -> Da
     blocks = [block(opening, 0, "records"), block(records, 2, "records")]
     if is_analyzed(df):
         rolled = cut_lineage(rollup_measures(measures(df)))
-        tables = {f"By {by.title()}": summary_table(rolled, by) for by in DIMENSIONS}
+        tables = {name: summary_table(rolled, by) for name, by in zip(DATASET_NAMES[1:], DIMENSIONS)}
     else:
         tables = {"By Location": basic_location_table(df)}
         note = df.limit(1).select(F.lit(0).alias("position"), F.lit(NOT_ANALYZED_NOTE).alias("line"))
         blocks.append(block(note, 4, "note"))
-    for name, table in tables.items():
-        title = table.limit(1).select(F.posexplode(F.array(
-            F.lit(f"### Dataset: {name}"), F.lit(csv_heading(table))
-        )).alias("position", "line"))
-        rows = csv_lines(table, name).withColumn("position", F.lit(2))
-        blocks += [block(title, 3, name), block(rows, 3, name)]
+    blocks.append(datasets_to_text(tables).select(
+        F.lit(3).alias("part"), F.col("dataset_no").alias("block_no"), F.col("dataset").alias("block"),
+        (F.col("part") + F.greatest(F.col("row_no") - 1, F.lit(0))).cast("long").alias("position"), "line",
+    ))
     return reduce(DataFrame.unionByName, blocks)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.numbers import mean2, percent
@@ -150,9 +150,14 @@ def summary_table(df: DataFrame, by: str) -> DataFrame:
         issues.alias("top_issues"),
         day_text(F.col("first")).alias("first_report"), day_text(F.col("last")).alias("latest_report"),
     )
+    return table.orderBy(*display_order(by))
+
+
+def display_order(by: str) -> list[Column]:
+    """The row order of a summary table: a fixed one for the labels, else the largest group first."""
     if by in ORDERS:
-        return table.orderBy(position(by, ORDERS[by]), by)
-    return table.orderBy(F.desc("reports"), by)
+        return [position(by, ORDERS[by]), F.asc(by)]
+    return [F.desc("reports"), F.asc(by)]
 
 
 def position(column: str, order: list[str]) -> Column:
@@ -175,7 +180,7 @@ def basic_location_table(df: DataFrame) -> DataFrame:
             "location", "reports", percent(F.col("reports"), F.col("_total")).alias("pct_of_total"),
             day_text(F.col("a")).alias("first_report"), day_text(F.col("b")).alias("latest_report"),
         )
-        .orderBy(F.desc("reports"), "location")
+        .orderBy(*display_order("location"))
     )
 
 
@@ -203,11 +208,17 @@ def build_datasets(df: DataFrame) -> dict[str, DataFrame]:
 
 
 def csv_lines(table: DataFrame, name: str) -> DataFrame:
-    """The rows of a table as CSV text: (dataset, line), without the heading."""
-    shown = with_headings(table)
-    return shown.select(
-        F.lit(name).alias("dataset"),
-        F.to_csv(F.struct(*[F.col(f"`{c}`") for c in shown.columns]), {"escape": '"'}).alias("line"),
+    """The rows of a summary table as CSV text: (dataset, row_no, line), without the heading.
+
+    Rows are numbered from 1 in display order. The first column is the one the table groups by;
+    it has one row per group, so the numbering window holds groups, never records.
+    """
+    order = Window.orderBy(*display_order(table.columns[0]))
+    numbered = table.withColumn("_row_no", F.row_number().over(order))
+    cells = [F.col(f"`{c}`").alias(HEADINGS.get(c, c)) for c in table.columns]
+    return numbered.select(
+        F.lit(name).alias("dataset"), F.col("_row_no").alias("row_no"),
+        F.to_csv(F.struct(*cells), {"escape": '"'}).alias("line"),
     )
 
 
@@ -215,25 +226,37 @@ def csv_heading(table: DataFrame) -> str:
     return ",".join(HEADINGS.get(c, c) for c in table.columns)
 
 
+def table_lines(table: DataFrame, name: str) -> DataFrame:
+    """A summary table as text: (dataset, part, row_no, line), nothing for an empty table.
+
+    ``part`` is 0 for the title, 1 for the heading, 2 for the rows.
+    """
+    def opening(part: int, line: str) -> Column:
+        return F.struct(
+            F.lit(name).alias("dataset"), F.lit(part).alias("part"), F.lit(0).alias("row_no"), F.lit(line).alias("line")
+        )
+
+    head = table.limit(1).select(
+        F.inline(F.array(opening(0, f"### Dataset: {name}"), opening(1, csv_heading(table))))
+    )
+    return head.unionByName(csv_lines(table, name).withColumn("part", F.lit(2)))
+
+
 def datasets_to_text(datasets: dict[str, DataFrame]) -> DataFrame:
-    """Title, heading and rows of each summary table as (dataset, part, line).
+    """The summary tables as text: (dataset_no, dataset, part, row_no, line).
 
-    ``part`` is 0 for the title, 1 for the heading, 2 for the rows; empty tables are left out.
+    Sorted by ``dataset_no``, ``part`` and ``row_no`` the lines read as one text: the tables in their
+    fixed sequence, each with title, heading and rows in display order. Empty tables are left out.
     """
-    blocks = []
-    for name in DATASET_NAMES[1:]:
-        if name not in datasets:
-            continue
-        table = datasets[name]
-        rows = csv_lines(table, name).select("dataset", F.lit(2).alias("part"), "line")
-        opening = table.limit(1).select(F.inline(F.array(
-            F.struct(F.lit(name).alias("dataset"), F.lit(0).alias("part"), F.lit(f"### Dataset: {name}").alias("line")),
-            F.struct(F.lit(name).alias("dataset"), F.lit(1).alias("part"), F.lit(csv_heading(table)).alias("line")),
-        )))
-        blocks.append(opening.unionByName(rows))
+    blocks = [
+        table_lines(datasets[name], name).withColumn("dataset_no", F.lit(number))
+        for number, name in enumerate(DATASET_NAMES) if number and name in datasets
+    ]
     if not blocks:
-        return SparkSession.active().createDataFrame([], "dataset string, part int, line string")
-    return reduce(DataFrame.unionByName, blocks)
+        return SparkSession.active().createDataFrame(
+            [], "dataset_no int, dataset string, part int, row_no int, line string"
+        )
+    return reduce(DataFrame.unionByName, blocks).select("dataset_no", "dataset", "part", "row_no", "line")
 
 
 def headline_metrics(df: DataFrame) -> DataFrame:

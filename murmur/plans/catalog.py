@@ -76,11 +76,17 @@ def _(spark, sf):
 
 def _csv_sql(by: str, name: str) -> str:
     columns = _SUMMARY_COLUMNS[by]
-    line = " || ',' || ".join(f"coalesce(cast({c} as varchar), '')" for c in columns)
+    cells = [f"coalesce(cast({c} as varchar), '')" for c in columns]
+    quoting = "case when regexp_matches({0}, '[,\"]') then '\"' || replace({0}, '\"', '\"\"') || '\"' else {0} end"
+    line = " || ',' || ".join(quoting.format(c) for c in cells)
     heading = ",".join(summaries.HEADINGS[c] for c in columns)
+    listed = summaries.ORDERS.get(by)
+    order = f"coalesce(list_position({sql_list(listed)}, {by}), 99), {by}" if listed else f"reports desc, {by}"
+    start = f"select {summaries.DATASET_NAMES.index(name)} dataset_no, {quoted(name)} dataset"
     return (
-        f"select {quoted(name)} dataset, 0 part, {quoted('### Dataset: ' + name)} line union all "
-        f"select {quoted(name)}, 1, {quoted(heading)} union all select {quoted(name)}, 2, {line} from s_{by}"
+        f"{start}, 0 part, 0 row_no, {quoted('### Dataset: ' + name)} line union all "
+        f"{start}, 1, 0, {quoted(heading)} union all "
+        f"{start}, 2, (row_number() over (order by {order}))::int, {line} from s_{by}"
     )
 
 
@@ -915,13 +921,13 @@ def _(spark, sf):
 _CONTEXT = (
     _relevant_sql("e", CONTEXT_QUESTION)
     + "".join(f", s_{by} as ({_sql_summary(by)})" for by in summaries.DIMENSIONS)
-    + f""" select 0 part, 'records' "block", 0::bigint "position", '### Dataset: Feedback (Full) - ' || case when count(*) > 150 then
+    + f""" select 0 part, 0 block_no, 'records' "block", 0::bigint "position", '### Dataset: Feedback (Full) - ' || case when count(*) > 150 then
         'Showing the 150 most relevant of ' || count(*) || ' records (summary datasets cover all ' || count(*) || ').'
         else 'All ' || count(*) || ' records are listed.' end line from e
-    union all select 0, 'records', 1, {quoted(ranking.ANALYZED_HEADING)}
-    union all select 2, 'records', rank, {_LINE} from best """
+    union all select 0, 0, 'records', 1, {quoted(ranking.ANALYZED_HEADING)}
+    union all select 2, 0, 'records', rank, {_LINE} from best """
     + " ".join(
-        f"union all select 3, dataset, part, line from ({_csv_sql(by, name)})"
+        f"union all select 3, dataset_no, dataset, part + greatest(row_no - 1, 0), line from ({_csv_sql(by, name)})"
         for name, by in zip(summaries.DATASET_NAMES[1:], summaries.DIMENSIONS))
 )
 

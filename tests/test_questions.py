@@ -140,9 +140,11 @@ def test_record_lines_and_context(spark, feedback):
     lines = [x[0] for x in df.orderBy("_ord").select(r.record_line(df)).collect()]
     assert lines[0] == "0 | 2026-01-01 | Hall | Safety | Negative | Low | x | Action: Look"
     assert [line.count("Action") for line in lines] == [1, 0, 0, 0]
-    context = r.context_lines(df, "x").orderBy("part", "block", "position").collect()
+    context = r.context_lines(df, "x").orderBy("part", "block_no", "position").collect()
     assert context[0]["line"] == "### Dataset: Feedback (Full) - All 4 records are listed."
     assert context[1]["line"] == r.ANALYZED_HEADING and sum(x["part"] == 2 for x in context) == 4
+    tables = [x["line"] for x in context if x["part"] == 3]
+    assert tables[0] == "### Dataset: By Location" and tables[2].startswith("Hall,4,100.0")
     plain = r.context_lines(df.select("_ord", "feedback_id", "date", "location", "feedback"), "x").collect()
     assert {x["line"] for x in plain} >= {r.PLAIN_HEADING, r.NOT_ANALYZED_NOTE}
     assert [x["line"] for x in r.bullets(df, 3).collect()][-1] == "- ...and 1 more."

@@ -56,11 +56,14 @@ def test_bundle_tables_equal_the_single_tables(feedback):
 
 
 def test_csv_lines_quote_and_carry_headings(feedback):
-    df = feedback([{"location": 'Hall, "B"'}])
-    lines = [r["line"] for r in s.datasets_to_text(s.build_datasets(df)).orderBy("dataset", "part").collect()]
-    assert "### Dataset: By Location" in lines
-    assert any(line.startswith("Location,Reports,% of Total,Positive") for line in lines)
-    assert any(line.startswith('"Hall, ""B""",1,100.0') for line in lines)
+    df = feedback([{"location": 'Hall, "B"'}, {"location": "Attic"}, {"location": "Attic", "severity": "High"}])
+    text = s.datasets_to_text(s.build_datasets(df)).orderBy("dataset_no", "part", "row_no").collect()
+    lines = [r["line"] for r in text]
+    assert [line for line in lines if line.startswith("###")] == [f"### Dataset: {n}" for n in s.DATASET_NAMES[1:]]
+    assert lines[1].startswith("Location,Reports,% of Total,Positive")
+    assert lines[2].startswith("Attic,2,66.7") and lines[3].startswith('"Hall, ""B""",1,33.3')
+    assert [r["row_no"] for r in text[:4]] == [0, 0, 1, 2]
+    assert [line.split(",")[0] for line in lines[-2:]] == ["High", "Low"]
 
 
 def test_modes_statistics_and_headline(feedback):
