@@ -12,7 +12,7 @@ from murmur.session import local_session
 
 HEADLINE = [
     "clean_feedback", "classify_full", "summary_by_location", "priority_problems",
-    "filter_relaxation", "keyword_search",
+    "filter_relaxation", "keyword_search", "answer_questions",
 ]
 
 

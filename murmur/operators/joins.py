@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Count the rows, but no further than ``max_rows + 1``."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Count rows and the bytes of their values, but read no further than ``max_rows + 1``."""
+    size = sum((F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(0)) for c in df.columns), F.lit(0))
+    rows, total = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= max_rows and total <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow side for broadcast after counting it, else leave the choice to Spark.
+    """Mark a side for broadcast after measuring it, else leave the choice to Spark.
 
-    Use it for sides that are cheap to compute and have a few short columns: at 200,000 rows
-    these stay in the low megabytes.
+    The check runs the side once more, so give it a stored table or one that is cheap to compute.
     """
     return F.broadcast(df) if is_small(df, max_rows) else df

@@ -7,17 +7,18 @@ aggregates per place, category and word, never from question-record pairs.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.ordering import top_rows
 from murmur.functions.text import grams, prefixes, query_words, search_form, strip_spaces
-from murmur.operators.joins import BROADCAST_ROWS, broadcast_if_small, is_small
+from murmur.operators.joins import broadcast_if_small
 from murmur.operators.ranking import bullet_line, more_line
 from murmur.operators.summaries import most_frequent
-from murmur.schema import COMPLAINT_SENTIMENTS, ORD, complaints, is_analyzed, severity_weight
+from murmur.schema import ANALYSIS_COLUMNS, COMPLAINT_SENTIMENTS, ORD, complaints, is_analyzed, severity_weight
 from murmur.session import cut_lineage
 
 # Routing words, words that do not name a place, actions that are none, and texts.
@@ -54,7 +55,7 @@ NO_POSITIVE_TEXT = "There is no positive feedback in the current data."
 QUESTION_SCHEMA = "question_id long, question string"
 TERM_LETTERS = 5  # a term is looked up by this many first letters at most
 PREFIX_MIN = 4  # search words have at least this many
-BLOCK_BITS = 15  # rows per bitmap: 2^15, the size of Spark's bitmap aggregates
+LISTED = 6  # rows of the longest list
 
 
 def _folded(question: Column) -> Column:
@@ -65,9 +66,22 @@ def _has(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
-def _weighted(df: DataFrame) -> DataFrame:
-    weight = severity_weight() if "severity" in df.columns else F.lit(1).cast("long")
-    return df.withColumn("_weight", weight)
+def _weight(df: DataFrame) -> Column:
+    return severity_weight() if "severity" in df.columns else F.lit(1).cast("long")
+
+
+def label_counts(df: DataFrame) -> DataFrame:
+    """Number ``_n`` and first row ``_first`` of each combination of place and labels.
+
+    All counts that answers need are sums over this table, so one scan serves them together. The
+    functions below that count records take it as well as the records themselves.
+    """
+    keys = ["location", *(ANALYSIS_COLUMNS if is_analyzed(df) else [])]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(ORD).alias("_first"))
+
+
+def _count(df: DataFrame) -> Column:
+    return F.coalesce(F.sum("_n"), F.lit(0).cast("long")) if "_n" in df.columns else F.count(F.lit(1))
 
 
 # --- places and categories named in a question -------------------------------------------------
@@ -82,7 +96,7 @@ def mentioned_locations(questions: DataFrame, df: DataFrame) -> DataFrame:
     places = df.where(F.col("location").isNotNull()).select("location").distinct()
     words = places.select("location", F.explode(F.split(search_form(F.col("location")), " ")).alias("_word"))
     named = words.where((F.length("_word") >= 3) & ~F.col("_word").isin(GENERIC_PLACE_WORDS))
-    keys = named.select("location", F.substring("_word", 1, TERM_LETTERS).alias("_run")).distinct()
+    keys = cut_lineage(named.select("location", F.substring("_word", 1, TERM_LETTERS).alias("_run")).distinct())
     asked = questions.select(
         "question_id",
         F.explode(F.array_distinct(grams(search_form(F.col("question")), [(3, 3), (4, 4), (5, 5)]))).alias("_run"),
@@ -98,7 +112,7 @@ def mentioned_categories(questions: DataFrame, df: DataFrame) -> DataFrame:
     """
     names = df.where(F.col("category").isNotNull()).select("category").distinct()
     names = names.withColumn("_name", F.lower("category"))
-    keys = names.withColumn("_run", F.substring("_name", 1, TERM_LETTERS))
+    keys = cut_lineage(names.withColumn("_run", F.substring("_name", 1, TERM_LETTERS)))
     folded = _folded(F.col("question"))
     runs = F.array_distinct(F.concat(grams(folded, [(n, n) for n in range(1, 6)], "."), F.array(F.lit(""))))
     asked = questions.select("question_id", F.explode(runs).alias("_run"))
@@ -110,161 +124,174 @@ def mentioned_categories(questions: DataFrame, df: DataFrame) -> DataFrame:
 
 # --- keyword search ----------------------------------------------------------------------------
 
+@dataclass(frozen=True)
+class Search:
+    """Questions and texts reduced to the words they share; all three are small tables on disk."""
+
+    sets: DataFrame   # (question_id, _set): questions with the same words share a set
+    words: DataFrame  # (_set, _code)
+    texts: DataFrame  # (_ord, _weight, _codes): the asked-for words of each text that has any
+
+
 def question_prefixes(questions: DataFrame) -> DataFrame:
     """(question_id, prefix): the first five letters of the words that count, once each."""
     words = F.array_distinct(prefixes(query_words(F.col("question"))))
     return questions.select("question_id", F.explode(words).alias("prefix"))
 
 
-def text_prefixes(asked: DataFrame, df: DataFrame) -> DataFrame:
-    """(_ord, _weight, prefix) for each asked-for prefix a text contains, repeats possible.
+def search(questions: DataFrame, df: DataFrame) -> Search:
+    """Find the words of the questions in the texts.
 
     Each text is taken apart where it lies: at every position the run of up to five characters is
-    looked up by its first four among the distinct prefixes. Texts are not shuffled while the
-    prefixes fit a broadcast.
+    looked up by its first four among the distinct prefixes. A prefix is at most five letters and
+    digits, so it is also a whole number, its ``_code``. A text is in one task as a whole, so its
+    words are gathered before the shuffle, which carries numbers only.
     """
+    code = F.conv(F.concat(F.lit("1"), F.col("prefix")), 36, 10).cast("long").alias("_code")
+    asked = question_prefixes(questions).select("question_id", "prefix", code)
+    by_question = asked.groupBy("question_id").agg(F.sort_array(F.collect_set("_code")).alias("_words"))
+    grouped = by_question.groupBy("_words").agg(F.min("question_id").alias("_set"))
+    words = cut_lineage(grouped.select("_set", F.explode("_words").alias("_code")))
+    sets = by_question.join(grouped, "_words").select("question_id", "_set")
     stem = F.substring("prefix", 1, PREFIX_MIN).alias("_stem")
-    wanted = asked.select("prefix").distinct().select("prefix", stem)
-    runs = grams(search_form(F.col("feedback")), [(PREFIX_MIN, TERM_LETTERS)])
-    found = _weighted(df).select(ORD, "_weight", F.explode(runs).alias("_run"))
+    wanted = cut_lineage(asked.select("prefix", "_code").distinct().select("prefix", "_code", stem))
+    runs = F.array_distinct(grams(search_form(F.col("feedback")), [(PREFIX_MIN, TERM_LETTERS)]))
+    found = df.select(ORD, _weight(df).alias("_weight"), F.explode(runs).alias("_run"))
     keyed = found.withColumn("_stem", F.substring("_run", 1, PREFIX_MIN))
     met = keyed.join(broadcast_if_small(wanted), "_stem").where(F.startswith("_run", "prefix"))
-    return met.select(ORD, "_weight", "prefix")
+    texts = met.groupBy(ORD, "_weight").agg(F.collect_set("_code").alias("_codes"))
+    return Search(cut_lineage(sets), words, cut_lineage(texts))
+
+
+def _hits(found: Search, shown: int) -> DataFrame:
+    """(question_id, hits, rank, _ord) of the ``shown`` most severe texts of each question.
+
+    The sets a text answers are united within the row of that text and counted in its task. The
+    first texts of a set are among the first of its words, so no set-text pairs are ranked.
+    """
+    each = found.texts.select(ORD, "_weight", F.explode("_codes").alias("_code"))
+    lists = found.words.groupBy("_code").agg(F.collect_list("_set").alias("_sets"))
+    united = each.join(broadcast_if_small(cut_lineage(lists)), "_code").groupBy(ORD).agg(
+        F.array_distinct(F.flatten(F.collect_list("_sets"))).alias("_sets")
+    )
+    counts = united.select(F.explode("_sets").alias("_set")).groupBy("_set").agg(F.count(F.lit(1)).alias("hits"))
+    order = [F.desc("_weight"), F.asc(ORD)]
+    of_word = top_rows(each, ["_code"], order, shown, "_rank").drop("_rank")
+    of_set = found.words.join(of_word, "_code").select("_set", "_weight", ORD).distinct()
+    first = top_rows(of_set, ["_set"], order, shown, "rank")
+    return found.sets.join(first.join(counts, "_set"), "_set").select("question_id", "hits", "rank", ORD)
 
 
 def keyword_hits(questions: DataFrame, df: DataFrame, shown: int = 5) -> DataFrame:
     """Per question the number of texts with at least one hit and the first of them.
 
     Gives (question_id, hits, rank, _ord) for the ``shown`` most severe texts; a question without
-    a hit has no row. The texts of a prefix are kept as bitmaps of 32,768 rows per severity. A
-    question unites the bitmaps of its prefixes, which counts each text once; no table of
-    question-text pairs arises, however common a word is.
+    a hit has no row.
     """
-    asked = question_prefixes(questions)
-    postings = text_prefixes(asked, df).groupBy(
-        "prefix", "_weight", F.shiftright(ORD, BLOCK_BITS).alias("_block")
-    ).agg(F.bitmap_construct_agg(F.col(ORD).bitwiseAND((1 << BLOCK_BITS) - 1)).alias("_bits"))
-    # Questions with the same words share one answer, filed under a digest of the words.
-    sets = asked.groupBy("question_id").agg(F.sort_array(F.collect_set("prefix")).alias("_words"))
-    sets = sets.withColumn("_set", F.sha1(F.array_join("_words", " ")))
-    words = sets.dropDuplicates(["_set"]).select("_set", F.explode("_words").alias("prefix"))
-    united = words.join(postings, "prefix").groupBy("_set", "_weight", "_block").agg(
-        F.bitmap_or_agg("_bits").alias("_bits")
-    )
-    # Every block holds at least one text, so the first texts lie in the first blocks.
-    totals = Window.partitionBy("_set")
-    blocks = united.select(
-        "_set", "_weight", "_block", "_bits",
-        F.sum(F.bitmap_count("_bits")).over(totals).alias("hits"),
-        F.row_number().over(totals.orderBy(F.desc("_weight"), F.asc("_block"))).alias("_rank"),
-    ).where(F.col("_rank") <= shown)
-    texts = blocks.select(
-        "_set", "hits", "_weight", F.explode(_first_bits(F.col("_bits"), shown)).alias("_bit"), "_block"
-    ).withColumn(ORD, F.shiftleft("_block", BLOCK_BITS) + F.col("_bit"))
-    first = top_rows(texts, ["_set"], [F.desc("_weight"), F.asc(ORD)], shown, "rank")
-    return sets.select("question_id", "_set").join(first, "_set").select(
-        "question_id", "hits", "rank", ORD
-    )
+    return _hits(search(questions, df), shown)
 
 
-def _first_bits(bits: Column, k: int) -> Column:
-    """Positions of the first ``k`` set bits of a bitmap, lowest bit of the first byte first."""
-    size = (1 << BLOCK_BITS) // 8
+# --- reports and lists -------------------------------------------------------------------------
 
-    def byte(i: Column) -> Column:
-        return F.substring(bits, i + 1, 1)
+def _first_rows(df: DataFrame, k: int = LISTED) -> DataFrame:
+    """The first ``k`` rows of every list an answer may show: (_list, _key, _weight, _ord).
 
-    def places(i: Column) -> Column:
-        value = F.conv(F.hex(byte(i)), 16, 10).cast("int")
-        eight = F.sequence(i * 8, i * 8 + 7)
-        return F.filter(eight, lambda p: F.call_function("shiftright", value, p - i * 8).bitwiseAND(1) == 1)
+    One narrow pass: complaints by place and all rows by category, the high-severity, negative
+    and positive rows. The last are in source order, the others by severity.
+    """
+    weight, place = _weight(df), F.col("location")
+
+    def entry(name: str, key: Column, when: Column, rank: Column = weight) -> Column:
+        return F.when(when, F.struct(F.lit(name).alias("_list"), key.alias("_key"), rank.alias("_weight")))
+
+    none = F.lit("")
+    if is_analyzed(df):
+        sentiment, category = F.col("sentiment"), F.col("category")
+        lists = [
+            entry("location", place, place.isNotNull() & sentiment.isin(COMPLAINT_SENTIMENTS)),
+            entry("category", category, category.isNotNull()),
+            entry("high_severity", none, F.col("severity") == "High"),
+            entry("negative_digest", none, sentiment == "Negative"),
+            entry("positive", none, sentiment == "Positive", F.lit(0).cast("long")),
+        ]
+    else:
+        lists = [entry("location", place, place.isNotNull())]
+    listed = df.select(ORD, F.inline(F.array_compact(F.array(*lists))))
+    return top_rows(listed, ["_list", "_key"], [F.desc("_weight"), F.asc(ORD)], k, "_rank").drop("_rank")
 
-    filled = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: byte(i) != F.lit(b"\x00"))
-    return F.slice(F.flatten(F.transform(F.slice(filled, 1, k), places)), 1, k)
 
+def _best(mentions: DataFrame, rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """(question_id, rank, _ord): groups do not overlap, so their first rows hold those of the union."""
+    named = rows.where(F.col("_list") == key).select(F.col("_key").alias(key), "_weight", ORD)
+    met = mentions.join(named, key)
+    return top_rows(met, ["question_id"], [F.desc("_weight"), F.asc(ORD)], limit, "rank").select(
+        "question_id", "rank", ORD
+    )
 
-# --- reports and lists -------------------------------------------------------------------------
 
-def _first_rows(df: DataFrame, key: str, k: int) -> DataFrame:
-    """The ``k`` most severe rows per key with their bullet lines."""
-    lines = _weighted(df).select(key, "_weight", ORD, bullet_line(df).alias("_line"))
-    return top_rows(lines, [key], [F.desc("_weight"), F.asc(ORD)], k, "_rank").drop("_rank")
+def _bullet_texts(df: DataFrame, best: DataFrame, owner: str) -> DataFrame:
+    """The bullet lines of each owner's ranked rows as one text, from one scan of the records.
 
+    ``best`` is read twice, so it has to be a stored table. Each record is fetched once, however
+    many owners show it.
+    """
+    wanted = broadcast_if_small(best.select(ORD).distinct())
+    lines = df.select(ORD, bullet_line(df).alias("_line")).join(wanted, ORD)
+    ranked = [F.max(F.when(F.col("rank") == i, F.col("_line"))) for i in range(1, LISTED + 1)]
+    ids = [F.max(F.when(F.col("rank") == i, F.col(ORD))).cast("string") for i in range(1, LISTED + 1)]
+    return best.join(lines, ORD).groupBy(owner).agg(
+        F.concat_ws("\n", *ranked).alias("_bullets"), F.concat_ws(",", *ids).alias("row_ids")
+    )
 
-def _lines(k: int) -> Column:
-    """Bullet lines of a group ranked 1 to ``k``, and the count of the others."""
-    ranked = [F.max(F.when(F.col("rank") == i, F.col("_line"))) for i in range(1, k + 1)]
-    return F.concat_ws("\n", *ranked)
 
+def _more(total: Column, limit: int) -> Column:
+    return F.coalesce(F.concat(F.lit("\n"), more_line(total, limit)), F.lit(""))
 
-def _report(
-    mentions: DataFrame, groups: DataFrame, rows: DataFrame, key: str, limit: int
-) -> DataFrame:
-    """Add up the groups a question names and merge their first rows.
 
-    Groups do not overlap, so counts add and the first rows of the union are among the first of
-    the groups.
-    """
-    met = mentions.join(groups, key)
-    totals = met.groupBy("question_id").agg(
+def _totals(mentions: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """(question_id, names, reports, shown) of the groups each question names; counts add up."""
+    shown = F.lit(True)
+    if key == "location" and is_analyzed(counts):
+        shown = F.col("sentiment").isin(COMPLAINT_SENTIMENTS)
+    groups = counts.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.sum("_n").alias("reports"), F.sum(F.when(shown, F.col("_n")).otherwise(0)).alias("shown"),
+        F.min("_first").alias("first"),
+    )
+    return mentions.join(groups, key).groupBy("question_id").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("first", key))), lambda s: s[key]), ", "
         ).alias("names"),
         F.sum("reports").alias("reports"), F.sum("shown").alias("shown"),
     )
-    best = top_rows(
-        mentions.join(rows, key), ["question_id"], [F.desc("_weight"), F.asc(ORD)], limit, "rank"
-    )
-    listed = best.groupBy("question_id").agg(
-        _lines(limit).alias("_bullets"),
-        F.concat_ws(",", *[
-            F.max(F.when(F.col("rank") == i, F.col(ORD))).cast("string") for i in range(1, limit + 1)
-        ]).alias("row_ids"),
-    )
-    more = F.coalesce(F.concat(F.lit("\n"), more_line(F.col("shown"), limit)), F.lit(""))
-    return totals.join(listed, "question_id", "left").select(
+
+
+def _report(questions: DataFrame, df: DataFrame, key: str, limit: int) -> DataFrame:
+    counts = cut_lineage(label_counts(df))
+    named = mentioned_locations if key == "location" else mentioned_categories
+    mentions = cut_lineage(named(questions, counts))
+    best = cut_lineage(_best(mentions, _first_rows(df), key, limit))
+    listed = _bullet_texts(df, best, "question_id")
+    return _totals(mentions, counts, key).join(listed, "question_id", "left").select(
         "question_id", "names", "reports", "shown",
         F.coalesce("row_ids", F.lit("")).alias("row_ids"),
-        F.concat(F.coalesce("_bullets", F.lit("")), more).alias("bullets"),
+        F.concat(F.coalesce("_bullets", F.lit("")), _more(F.col("shown"), limit)).alias("bullets"),
     )
 
 
 def location_report(questions: DataFrame, df: DataFrame, limit: int = 5) -> DataFrame:
     """For questions that name places: their reports, how many complain, and the worst of these."""
-    complaint = F.col("sentiment").isin(COMPLAINT_SENTIMENTS) if is_analyzed(df) else F.lit(True)
-    groups = df.where(F.col("location").isNotNull()).groupBy("location").agg(
-        F.count(F.lit(1)).alias("reports"), F.count_if(complaint).alias("shown"), F.min(ORD).alias("first")
-    )
-    rows = _first_rows(complaints(df), "location", limit)
-    return _report(mentioned_locations(questions, df), groups, rows, "location", limit)
+    return _report(questions, df, "location", limit)
 
 
 def category_report(questions: DataFrame, df: DataFrame, limit: int = 5) -> DataFrame:
     """For questions that name categories: all their reports and the worst of these."""
-    groups = df.where(F.col("category").isNotNull()).groupBy("category").agg(
-        F.count(F.lit(1)).alias("reports"), F.count(F.lit(1)).alias("shown"), F.min(ORD).alias("first")
-    )
-    rows = _first_rows(df, "category", limit)
-    return _report(mentioned_categories(questions, df), groups, rows, "category", limit)
-
-
-def keyword_report(questions: DataFrame, df: DataFrame, limit: int = 5) -> DataFrame:
-    """For questions with keyword hits: their number and the worst of the texts."""
-    hits = keyword_hits(questions, df, limit)
-    if is_small(questions, BROADCAST_ROWS // limit):  # each question has ``limit`` hits at most
-        hits = F.broadcast(hits)
-    listed = df.select(ORD, bullet_line(df).alias("_line")).join(hits, ORD)
-    more = F.coalesce(F.concat(F.lit("\n"), more_line(F.col("reports"), limit)), F.lit(""))
-    return (
-        listed.groupBy("question_id").agg(F.max("hits").alias("reports"), _lines(limit).alias("_bullets"))
-        .select("question_id", "reports", F.concat("_bullets", more).alias("bullets"))
-    )
+    return _report(questions, df, "category", limit)
 
 
 def top_counts(df: DataFrame, column: str, k: int) -> DataFrame:
     """The ``k`` most frequent values as (rank, value, n)."""
     counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
-        F.count(F.lit(1)).alias("n")
+        _count(df).alias("n")
     )
     best = counted.orderBy(F.desc("n"), "value").limit(k)
     return best.withColumn("rank", F.expr("row_number() over (order by n desc, value)")).select(
@@ -288,13 +315,14 @@ def top_actions(df: DataFrame, k: int = 5) -> DataFrame:
 def negative_digest(df: DataFrame, k: int = 3) -> DataFrame:
     """Number of negative rows, their top categories and top places as (part, rank, value, n)."""
     negative = df.where(F.col("sentiment") == "Negative")
-    total = negative.agg(F.count(F.lit(1)).alias("n")).select(
+    total = negative.agg(_count(df).alias("n")).select(
         F.lit("total").alias("part"), F.lit(1).alias("rank"), F.lit("").alias("value"), "n"
     )
     pairs = F.array(*[
         F.struct(F.lit(c).alias("part"), F.col(c).alias("value")) for c in ("category", "location")
     ])
-    best = most_frequent(negative.select(F.inline(pairs)), ["part"], "value", k)
+    weights = ["_n"] if "_n" in df.columns else []
+    best = most_frequent(negative.select(*weights, F.inline(pairs)), ["part"], "value", k, _count(df))
     return total.unionByName(best.select("part", "rank", "value", "n"))
 
 
@@ -306,14 +334,14 @@ def count_report(df: DataFrame) -> DataFrame:
     """Total and sentiment counts, or total and number of places before analysis."""
     if not is_analyzed(df):
         return df.agg(
-            F.count(F.lit(1)).alias("total"), F.count_distinct("location").alias("locations")
+            _count(df).alias("total"), F.count_distinct("location").alias("locations")
         ).select(F.inline(F.array(
             F.struct(F.lit("total").alias("value"), F.col("total").alias("n")),
             F.struct(F.lit("locations").alias("value"), F.col("locations").alias("n")),
         )))
-    total = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("value"), "n")
+    total = df.agg(_count(df).alias("n")).select(F.lit("total").alias("value"), "n")
     sentiments = df.where(F.col("sentiment").isNotNull()).groupBy(F.col("sentiment").alias("value"))
-    return total.unionByName(sentiments.agg(F.count(F.lit(1)).alias("n")))
+    return total.unionByName(sentiments.agg(_count(df).alias("n")))
 
 
 # --- routing and answers -----------------------------------------------------------------------
@@ -325,24 +353,15 @@ def _flag(questions: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     )
 
 
-def route_questions(questions: DataFrame, df: DataFrame) -> DataFrame:
-    """Add the first intent that fits each question as ``intent``.
-
-    Words are matched as substrings, so "stop" contains "top".
-    """
+def _route(questions: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The first intent that fits each question, null where only its words can tell; and the mentions."""
     q = F.col("_q")
-    analyzed = is_analyzed(df)
-    yes = F.lit(analyzed)
-    routed = _flag(questions, mentioned_locations(questions, df), "_place")
-    routed = _flag(routed, mentioned_categories(questions, df), "_category") if analyzed else (
-        routed.withColumn("_category", F.lit(False))
-    )
-    asked = question_prefixes(questions)
-    occurring = text_prefixes(asked, df).select("prefix").distinct()
-    routed = _flag(routed, asked.join(occurring, "prefix", "left_semi"), "_hit")
-    ranked = F.lit(False)
-    if analyzed:
-        ranked = complaints(df).agg(F.count("category")).scalar() > 0
+    yes = F.lit(is_analyzed(counts))
+    places = cut_lineage(mentioned_locations(questions, counts))
+    categories = cut_lineage(mentioned_categories(questions, counts)) if is_analyzed(counts) else None
+    routed = _flag(questions, places, "_place")
+    routed = routed.withColumn("_category", F.lit(False)) if categories is None else _flag(routed, categories, "_category")
+    ranked = complaints(counts).agg(F.count("category")).scalar() > 0 if is_analyzed(counts) else F.lit(False)
     greeting = F.regexp_replace(q, r"[!?. ]+\z", "").isin(GREETINGS) | _has(q, GREETING_PHRASES)
     intent = (
         F.when(greeting, "greeting")
@@ -355,13 +374,28 @@ def route_questions(questions: DataFrame, df: DataFrame) -> DataFrame:
         .when(ranked & _has(q, CATEGORY_WORDS), "top_categories")
         .when(_has(q, COUNT_WORDS), "count")
         .when(F.col("_category"), "category")
-        .when(F.col("_hit"), "keyword")
-        .otherwise("none")
-    )
-    return (
-        routed.withColumn("_q", _folded(F.col("question"))).withColumn("intent", intent)
-        .drop("_q", "_place", "_category", "_hit")
     )
+    routed = routed.withColumn("_q", _folded(F.col("question"))).withColumn("intent", intent)
+    return cut_lineage(routed.drop("_q", "_place", "_category")), places, categories
+
+
+def _route_words(routed: DataFrame, found: Search) -> DataFrame:
+    """Settle the questions left by whether any of their words occurs in a text."""
+    occurring = found.texts.select(F.explode("_codes").alias("_code")).distinct()
+    answered = found.words.join(occurring, "_code", "left_semi").select("_set").distinct()
+    marked = _flag(routed, found.sets.join(answered, "_set", "left_semi"), "_hit")
+    last = F.when(F.col("_hit"), "keyword").otherwise("none")
+    return marked.withColumn("intent", F.coalesce("intent", last)).drop("_hit")
+
+
+def route_questions(questions: DataFrame, df: DataFrame) -> DataFrame:
+    """Add the first intent that fits each question as ``intent``.
+
+    Words are matched as substrings, so "stop" contains "top". Texts are searched only for the
+    questions that fit nothing else.
+    """
+    routed, _, _ = _route(questions, cut_lineage(label_counts(df)))
+    return _route_words(routed, search(routed.where(F.col("intent").isNull()), df))
 
 
 def _listing(first: int, last: int) -> Column:
@@ -374,37 +408,25 @@ def _of_rank(name: str, rank: int = 1) -> Column:
     return F.max(F.when(F.col("rank") == rank, F.col(name)))
 
 
-def _listed_rows(rows: DataFrame, limit: int, order: list[Column]) -> DataFrame:
-    """One row: ``total`` and the bullet text of the first rows."""
-    lines = _weighted(rows).select("_weight", ORD, bullet_line(rows).alias("_line"))
-    first = lines.orderBy(*order).limit(limit).agg(
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct(
-                (F.lit(0) if len(order) == 1 else -F.col("_weight")).alias("w"), F.col(ORD), F.col("_line")
-            ))), lambda s: s["_line"]), "\n").alias("_bullets"),
-    )
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    more = F.coalesce(F.concat(F.lit("\n"), more_line(F.col("total"), limit)), F.lit(""))
-    return first.withColumn("total", total).select("total", F.concat("_bullets", more).alias("bullets"))
-
-
 def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def fixed_answers(df: DataFrame) -> DataFrame:
-    """(intent, answer) for the intents whose answer depends on the data alone; one row each."""
-    analyzed = is_analyzed(df)
-    worst_first, in_order = [F.desc("_weight"), F.asc(ORD)], [F.asc(ORD)]
-    total = F.col("total")
+def fixed_answers(df: DataFrame, counts: DataFrame) -> DataFrame:
+    """(intent, head, more) for the intents whose answer depends on the data alone.
 
-    def row(intent: str, one: DataFrame, answer: Column) -> DataFrame:
-        return one.select(F.lit(intent).alias("intent"), answer.alias("answer"))
+    The lines of a list, if the intent has one, belong between ``head`` and ``more``. ``counts`` is
+    ``label_counts(df)``; the records themselves are read for the suggested actions only.
+    """
+    analyzed = is_analyzed(counts)
+    total, nothing = F.col("total"), F.lit("")
+
+    def row(intent: str, one: DataFrame, head: Column, more: Column = nothing) -> DataFrame:
+        return one.select(F.lit(intent).alias("intent"), head.alias("head"), more.alias("more"))
 
-    spark = df.sparkSession
     texts = [("greeting", GREETING_TEXT), ("none", NOT_ENOUGH_TEXT)]
     label = "negative/mixed reports" if analyzed else "reports"
-    places = top_locations(df, 3).agg(
+    places = top_locations(counts, 3).agg(
         _of_rank("value").alias("top"), _of_rank("n").alias("n"), _listing(2, 3).alias("next")
     )
     answers = [row(
@@ -415,11 +437,10 @@ def fixed_answers(df: DataFrame) -> DataFrame:
         ),
     )]
     if analyzed:
-        high = _listed_rows(df.where(F.col("severity") == "High"), 6, worst_first)
+        high = counts.where(F.col("severity") == "High").agg(_count(counts).alias("total"))
         answers.append(row("high_severity", high, F.when(total == 0, NO_HIGH_TEXT).otherwise(
-            _text(total, " report(s) are High severity:\n", F.col("bullets")))))
-        negative = df.where(F.col("sentiment") == "Negative")
-        parts = negative_digest(df, 3).agg(
+            _text(total, " report(s) are High severity:\n")), _more(total, 6)))
+        digest = negative_digest(counts, 3).agg(
             F.max(F.when(F.col("part") == "total", F.col("n"))).alias("total"),
             *[
                 F.concat_ws(", ", *[
@@ -430,21 +451,19 @@ def fixed_answers(df: DataFrame) -> DataFrame:
                 ]).alias(c) for c in ("category", "location")
             ],
         )
-        listed = _listed_rows(negative, 5, worst_first)
-        digest = parts.withColumn("bullets", listed.select("bullets").scalar())
         answers.append(row("negative_digest", digest, F.when(total == 0, NO_NEGATIVE_TEXT).otherwise(
             _text("There are ", total, " negative reports. Top categories: ", F.col("category"),
-                  ". Top locations: ", F.col("location"), ".\n", F.col("bullets")))))
-        positive = _listed_rows(df.where(F.col("sentiment") == "Positive"), 5, in_order)
+                  ". Top locations: ", F.col("location"), ".\n")), _more(total, 5)))
+        positive = counts.where(F.col("sentiment") == "Positive").agg(_count(counts).alias("total"))
         answers.append(row("positive", positive, F.when(total == 0, NO_POSITIVE_TEXT).otherwise(
-            _text("There are ", total, " positive reports:\n", F.col("bullets")))))
-        ranked = top_categories(df, 4).agg(
+            _text("There are ", total, " positive reports:\n")), _more(total, 5)))
+        ranked = top_categories(counts, 4).agg(
             _of_rank("value").alias("top"), _of_rank("n").alias("n"), _listing(2, 4).alias("next")
         )
         answers.append(row("top_categories", ranked, _text(
             "The most common problem category is **", F.col("top"), "** (", F.col("n"),
             " reports). Next: ", F.col("next"), ".")))
-        counted = count_report(df).agg(
+        counted = count_report(counts).agg(
             F.max(F.when(F.col("value") == "total", F.col("n"))).alias("total"),
             F.array_join(F.transform(
                 F.array_sort(F.collect_list(F.when(
@@ -455,7 +474,7 @@ def fixed_answers(df: DataFrame) -> DataFrame:
             "There are ", total, " feedback records: ", F.col("list"), ".")))
     else:
         texts.append(("negative_digest", NO_LABELS_YET_TEXT))
-        counted = df.agg(F.count(F.lit(1)).alias("total"), F.count_distinct("location").alias("places"))
+        counted = counts.agg(_count(counts).alias("total"), F.count_distinct("location").alias("places"))
         answers.append(row("count", counted, _text(
             "There are ", total, " feedback records across ", F.col("places"), " locations.")))
     if analyzed and "suggested_action" in df.columns:
@@ -465,42 +484,66 @@ def fixed_answers(df: DataFrame) -> DataFrame:
             _text("Commonly suggested improvements:\n", F.col("list")))))
     else:
         texts.append(("top_actions", NO_ACTIONS_YET_TEXT))
-    return reduce(
-        DataFrame.unionByName, answers, spark.createDataFrame(texts, "intent string, answer string")
-    )
+    plain = df.sparkSession.createDataFrame([(*t, "") for t in texts], "intent string, head string, more string")
+    return reduce(DataFrame.unionByName, answers, plain)
 
 
 def answer_questions(questions: DataFrame, df: DataFrame, error: str | None = None) -> DataFrame:
     """(question_id, intent, answer, mode, error), one row per question.
 
     ``error`` is the reason why no model answered; answers always come from the data, so the
-    mode is ``local``.
+    mode is ``local``. The records are scanned five times, however many questions there are: for
+    the counts, the words, the first rows of the lists, the actions, and the lines shown.
     """
     ending = [F.lit("local").alias("mode"), F.lit(error).cast("string").alias("error")]
-    if df.isEmpty():
+    counts = cut_lineage(label_counts(df))
+    if counts.isEmpty():
         return questions.select(
             "question_id", F.lit("none").alias("intent"), F.lit(NOT_ENOUGH_TEXT).alias("answer"), *ending
         )
-    analyzed = is_analyzed(df)
-    routed = cut_lineage(route_questions(questions, df))  # read by each of the reports below
-    by_intent = lambda name: routed.where(F.col("intent") == name).select("question_id", "question")
+    analyzed = is_analyzed(counts)
+    first, places, categories = _route(questions, counts)
+    found = search(first.where(F.col("intent").isNull()), df)
+    routed = cut_lineage(_route_words(first, found))
+    rows = cut_lineage(_first_rows(df))
+
+    def of(intent: str, mentions: DataFrame) -> DataFrame:
+        return mentions.join(routed.where(F.col("intent") == intent), "question_id", "left_semi")
+
     name, reports, shown = F.col("names"), F.col("reports"), F.col("shown")
     extra = _text(" (", shown, " negative/mixed)") if analyzed else F.lit("")
-    placed = location_report(by_intent("location"), df).select("question_id", F.when(
+    placed = of("location", places)
+    own = _totals(placed, counts, "location").select("question_id", F.when(
         F.lit(analyzed) & (shown == 0),
         _text("**", name, "** has ", reports, " report(s) and none of them are negative or mixed."),
-    ).otherwise(_text("**", name, "** has ", reports, " report(s)", extra, ":\n", F.col("bullets"))).alias("own"))
-    found = keyword_report(by_intent("keyword"), df).select(
-        "question_id", _text("Found ", reports, " related report(s):\n", F.col("bullets")).alias("own")
+    ).otherwise(_text("**", name, "** has ", reports, " report(s)", extra, ":\n")).alias("own"), _more(shown, 5).alias("own_more"))
+    hits = cut_lineage(_hits(found, 5))
+    own = own.unionByName(hits.where(F.col("rank") == 1).select(
+        "question_id", _text("Found ", F.col("hits"), " related report(s):\n").alias("own"),
+        _more(F.col("hits"), 5).alias("own_more"),
+    ))
+    best = [_best(placed, rows, "location", 5), hits.select("question_id", "rank", ORD)]
+    fixed_lists = rows.where(F.col("_list").isin("high_severity", "negative_digest", "positive"))
+    kept = top_rows(fixed_lists, ["_list"], [F.desc("_weight"), F.asc(ORD)], LISTED, "rank").where(
+        (F.col("_list") == "high_severity") | (F.col("rank") <= 5)
     )
-    own = placed.unionByName(found)
-    if analyzed:
-        sorted_out = category_report(by_intent("category"), df).select(
-            "question_id", _text(reports, " report(s) in **", name, "**:\n", F.col("bullets")).alias("own")
-        )
-        own = own.unionByName(sorted_out)
+    if categories is not None:
+        sorted_out = of("category", categories)
+        own = own.unionByName(_totals(sorted_out, counts, "category").select(
+            "question_id", _text(reports, " report(s) in **", name, "**:\n").alias("own"), _more(shown, 5).alias("own_more")
+        ))
+        best.append(_best(sorted_out, rows, "category", 5))
+    owned = [b.select(F.col("question_id").cast("string").alias("owner"), "rank", ORD) for b in best]
+    everything = reduce(DataFrame.unionByName, owned, kept.select(F.col("_list").alias("owner"), "rank", ORD))
+    bullets = cut_lineage(_bullet_texts(df, cut_lineage(everything), "owner")).drop("row_ids")
+    fixed = fixed_answers(df, counts).join(bullets.withColumnRenamed("owner", "intent"), "intent", "left").select(
+        "intent", F.concat("head", F.coalesce("_bullets", F.lit("")), "more").alias("answer")
+    )
+    listed = own.join(
+        bullets.select(F.col("owner").try_cast("long").alias("question_id"), "_bullets"), "question_id", "left"
+    ).select("question_id", F.concat("own", F.coalesce("_bullets", F.lit("")), "own_more").alias("own"))
     return (
-        routed.join(F.broadcast(fixed_answers(df)), "intent", "left")  # a dozen rows at most
-        .join(own, "question_id", "left")
+        routed.join(F.broadcast(fixed), "intent", "left")  # a dozen rows at most
+        .join(listed, "question_id", "left")
         .select("question_id", "intent", F.coalesce("own", "answer").alias("answer"), *ending)
     )

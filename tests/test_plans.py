@@ -1,5 +1,7 @@
 """What the plans must look like to hold at scale."""
 
+import re
+
 import pytest
 
 from murmur.plans.catalog import QUERIES
@@ -37,3 +39,22 @@ def test_headline_is_one_scan(spark):
     assert plan(spark, "headline_metrics").count("FileScan") == 1
     assert plan(spark, "priority_problems").count("FileScan") == 1
     assert plan(spark, "dataset_summary").count("FileScan") == 1
+
+
+def test_answers_take_few_scans_of_the_records(spark, monkeypatch):
+    """Counted over everything that runs while the answers are built, and the result itself."""
+    from murmur.operators import questions
+    from murmur.plans import bindings
+
+    seen = []
+
+    def note(df):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    for name in ("cut_lineage", "broadcast_if_small"):
+        original = getattr(questions, name)
+        monkeypatch.setattr(questions, name, lambda df, original=original: original(note(df)))
+    note(questions.answer_questions(bindings.questions(spark, SF), bindings.events_feedback(spark, SF)))
+    scans = [len(re.findall(r"FileScan parquet \[[^\]]*\b(?:event_id|event_type|user_id|ts)#", p)) for p in seen]
+    assert 0 < sum(scans) <= 6, scans
