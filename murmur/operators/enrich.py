@@ -10,15 +10,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.functions.text import text_key
+from murmur.functions.text import strip_spaces, text_key
 from murmur.operators.classify import classify, classify_as_result
 from murmur.operators.lexicon import Lexicon
-from murmur.operators.replies import parse_replies
+from murmur.operators.replies import numbered_entry, parse_numbered, parse_replies, with_fallback
 from murmur.schema import ORD, RESULT_FIELDS
 from murmur.session import cut_lineage
 
 # Texts in, one reply text per text out. A raised error sends the batch to the rule classifier.
 Scorer = Callable[[list[str]], list[str]]
+# Texts in, one reply out: a JSON array whose entries name their text by ``id``, from 1.
+BatchScorer = Callable[[list[str]], str]
 
 BATCH_SIZE = 10
 
@@ -49,15 +51,50 @@ def _ask(scorer: Scorer, batch_size: int):
     return run
 
 
+def _ask_numbered(scorer: BatchScorer, batch_size: int):
+    """Send a partition's texts in numbered batches; each row keeps the reply to its batch."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for start in range(0, len(frame), batch_size):
+                part = frame.iloc[start:start + batch_size]
+                try:
+                    reply, error = scorer(part["feedback"].tolist()), None
+                except Exception as problem:
+                    reply, error = None, f"API error: {problem}"
+                yield part.assign(item_no=range(1, len(part) + 1), reply=reply, error=error)
+
+    return run
+
+
+def score_numbered(
+    texts: DataFrame, lexicon: Lexicon, scorer: BatchScorer, batch_size: int = BATCH_SIZE
+) -> DataFrame:
+    """Results for a table of distinct texts (cache_key, feedback) from array replies.
+
+    What a reply skips is sent once more, alone; what stays without an entry goes to the rules, as
+    do the texts of a failed call. Blank texts are not sent. A reply travels with its rows, at most
+    ``batch_size`` times, so entries are picked without a join.
+    """
+    schema = "cache_key string, feedback string, item_no long, reply string, error string"
+    given = texts.select("cache_key", "feedback")
+    blank = strip_spaces(F.coalesce("feedback", F.lit(""))) == ""
+    first = cut_lineage(given.where(~blank).mapInPandas(_ask_numbered(scorer, batch_size), schema))
+    settled = F.col("error").isNotNull() | numbered_entry(F.col("reply"), F.col("item_no")).isNotNull()
+    skipped = first.where(~settled).select("cache_key", "feedback")
+    again = cut_lineage(skipped.mapInPandas(_ask_numbered(scorer, 1), schema))
+    nothing = {"item_no": F.lit(1).cast("long"), "reply": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}
+    replies = first.where(settled).unionByName(again).unionByName(given.where(blank).withColumns(nothing))
+    return parse_numbered(replies, lexicon).select("cache_key", "result")
+
+
 def score(
-    texts: DataFrame, lexicon: Lexicon, scorer: Scorer | None, batch_size: int = BATCH_SIZE
+    texts: DataFrame, lexicon: Lexicon, scorer: Scorer, batch_size: int = BATCH_SIZE
 ) -> DataFrame:
     """Results for a table of distinct texts (cache_key, feedback)."""
-    if scorer is None:
-        return classify_as_result(texts, lexicon).select("cache_key", "result")
     schema = "cache_key string, feedback string, reply string, error string"
     replies = texts.select("cache_key", "feedback").mapInPandas(_ask(scorer, batch_size), schema)
-    return cut_lineage(parse_replies(replies, lexicon).select("cache_key", "result"))
+    return parse_replies(replies, lexicon).select("cache_key", "result")
 
 
 def enrich(
@@ -66,23 +103,34 @@ def enrich(
     cache: DataFrame | None = None,
     scorer: Scorer | None = None,
     prompt: str = "",
+    batch_scorer: BatchScorer | None = None,
 ) -> Enriched:
     """Analyse every text of ``df`` that the cache does not know.
 
-    Equal texts meet in one partial aggregation before the shuffle, so a text that fills a third
-    of the table is sent once per task. On the way back to the rows Spark's adaptive join splits
-    such texts. Of several cached results for one key the smallest counts. The scorer's output is written to the checkpoint folder: it is paid for once although
-    it is used twice.
+    Without a scorer the rules rate each row where it lies. For a scorer equal texts meet in one
+    partial aggregation before the shuffle, so a text that fills a third of the table is sent once
+    per task. On the way back to the rows Spark's adaptive join splits such texts. The scorer's
+    output is written to the checkpoint folder: it is paid for once although it is used twice. Of
+    several cached results for one key the smallest counts.
     """
     keyed = df.withColumn("feedback", F.coalesce("feedback", F.lit(""))).withColumn(
         "cache_key", text_key(F.col("feedback"), prompt)
     )
-    texts = keyed.groupBy("cache_key").agg(F.first("feedback").alias("feedback"))
     known = None if cache is None else cache.groupBy("cache_key").agg(F.min("result").alias("result"))
-    pending = texts if known is None else texts.join(known, "cache_key", "left_anti")
-    fresh = score(pending, lexicon, scorer)
-    results = fresh if known is None else fresh.unionByName(known.select("cache_key", "result"))
-    rows = keyed.join(results, "cache_key", "left")
+    unknown = keyed if known is None else keyed.join(known, "cache_key", "left_anti")
+    pending = unknown.groupBy("cache_key").agg(F.first("feedback").alias("feedback"))
+    if scorer is None and batch_scorer is None:
+        fresh = classify_as_result(pending, lexicon).select("cache_key", "result")
+        if known is None:
+            rows = classify_as_result(keyed, lexicon)
+        else:
+            rated = keyed.join(known, "cache_key", "left")
+            rows = with_fallback(rated, lexicon, F.col("result").isNull(), F.lit(None).cast("string"))
+    else:
+        fresh = score(pending, lexicon, scorer) if scorer else score_numbered(pending, lexicon, batch_scorer)
+        fresh = cut_lineage(fresh)
+        results = fresh if known is None else fresh.unionByName(known.select("cache_key", "result"))
+        rows = keyed.join(results, "cache_key", "left")
     flat = rows.select(*df.columns, "cache_key", *[F.col(f"result.{n}").alias(n) for n in RESULT_FIELDS])
     return Enriched(flat, fresh.where(F.col("result.analysis_error").isNull()))
 

@@ -111,7 +111,9 @@ def with_fallback(df: DataFrame, lexicon: Lexicon, missing: Column, reason: Colu
     fields = [
         F.when(F.col("_missing"), F.col(n)).otherwise(given.getField(n)).alias(n) for n in names
     ]
-    return ruled.withColumn("result", F.struct(*fields, F.col("_reason").alias("analysis_error"))).drop(
+    return ruled.withColumn("result", F.struct(
+        *fields, F.coalesce("_reason", given.getField("analysis_error")).alias("analysis_error")
+    )).drop(
         *names, "_missing", "_reason", "_text_to_rate"
     )
 
@@ -146,6 +148,21 @@ def _entry_number(entry: Column) -> Column:
     )
 
 
+def numbered_entry(reply: Column, number: Column) -> Column:
+    """The first JSON object of an array reply that names the 1-based ``number``; null without one."""
+    listed = F.try_variant_get(extract_array(reply), "$", "array<variant>")
+    return F.try_element_at(F.filter(listed, lambda e: is_object(e) & (_entry_number(e) == number)), F.lit(1))
+
+
+def parse_numbered(df: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``feedback``, ``item_no``, ``reply`` and ``error`` give ``result``, row by row."""
+    blank = strip_spaces(F.coalesce("feedback", F.lit(""))) == ""
+    reason = F.when(blank, EMPTY_TEXT).otherwise(F.coalesce("error", F.lit(SKIPPED)))
+    picked = df.withColumn("_entry", numbered_entry(F.col("reply"), F.col("item_no")))
+    checked = picked.withColumn("result", sanitize(F.col("_entry")))
+    return with_fallback(checked, lexicon, F.col("result").isNull(), reason).drop("_entry")
+
+
 def parse_batch_replies(requests: DataFrame, replies: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Match the entries of array replies to the numbered texts that were sent.
 

@@ -18,7 +18,8 @@ from murmur.operators.priority import priority_problems
 from murmur.plans import bindings as b
 from murmur.plans.bindings import quoted, sql_hits, sql_list, sql_strip, with_bindings
 from murmur.schema import CATEGORIES, ORD, SENTIMENTS, SEVERITIES, FilterSpec
-from murmur.sources import append, feedback
+from murmur.session import shared_folder
+from murmur.sources import append, cache, feedback
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -659,6 +660,57 @@ def _(spark, sf):
     return rows.select(ORD, "sentiment", "category", "severity", "main_issue")
 
 
+def _probe_scorer():
+    """A scorer whose reply depends on the length of a text alone, nested so that it travels by value.
+
+    A text whose length divides by 7 is skipped among others, by 35 always.
+    """
+    def reply(texts: list[str]) -> str:
+        import json
+
+        entries = []
+        for number, text in enumerate(texts, 1):
+            n = len(text)
+            if n % 35 and (n % 7 or len(texts) == 1):
+                entries.append({
+                    "id": number, "sentiment": ["Positive", "Neutral", "Negative", "Mixed"][n % 4],
+                    "category": "Safety" if n % 3 else "Software", "severity": ["Low", "Medium", "High"][n % 3],
+                })
+        return "Result: " + json.dumps(entries)
+
+    return reply
+
+
+_SCORED = f"""select _ord, case when left_out then sentiment else ['Positive', 'Neutral', 'Negative', 'Mixed'][n % 4 + 1] end sentiment,
+    case when left_out then category when n % 3 = 0 then 'Software' else 'Safety' end category,
+    case when left_out then severity else ['Low', 'Medium', 'High'][n % 3 + 1] end severity,
+    case when blank then {quoted(replies.EMPTY_TEXT)} when left_out then {quoted(replies.SKIPPED)} end analysis_error
+    from (select *, length(feedback) n, {sql_strip("coalesce(feedback, '')")} = '' blank,
+                 blank or length(feedback) % 35 = 0 left_out from da)"""
+
+
+@register("enrich_scorer", with_bindings("da", _SCORED))
+def _(spark, sf):
+    rows = enrich.enrich(b.document_feedback(spark, sf), SAMPLE, batch_scorer=_probe_scorer()).rows
+    return rows.select(ORD, "sentiment", "category", "severity", "analysis_error")
+
+
+@register("cache_round_trip", with_bindings("da", f"""
+    , scored as ({_SCORED})
+    select scored._ord, scored.sentiment, scored.category, scored.severity,
+           case when analysis_error is null then 'scorer' else 'rules' end origin from scored"""))
+def _(spark, sf):
+    # Results that are stored and loaded again answer a second run; what failed goes to the rules.
+    documents = b.document_feedback(spark, sf)
+    path = shared_folder(spark, "cache")
+    cache.save_cache(enrich.enrich(documents, SAMPLE, batch_scorer=_probe_scorer()).fresh, path)
+    stored = cache.load_cache(spark, path)
+    rows = enrich.enrich(documents, SAMPLE, stored).rows
+    known = stored.select("cache_key", F.lit("scorer").alias("origin"))
+    return rows.join(known, "cache_key", "left").select(
+        ORD, "sentiment", "category", "severity", F.coalesce("origin", F.lit("rules")).alias("origin"))
+
+
 _FENCED = "regexp_replace(regexp_replace(reply, '(?s)<think>.*?</think>', '', 'g'), '(?m)^```(?:json)?|```$', '', 'g')"
 
 

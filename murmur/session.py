@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every operator relies on.  AQE coalesces small partitions, splits skewed join
@@ -58,6 +60,18 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if size <= limit else df
 
 
+def _checkpoint_dir(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return folder
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to reliable storage and read it back from there.
 
@@ -67,8 +81,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(_checkpoint_dir(spark))
     return df.checkpoint()

@@ -57,6 +57,27 @@ def test_cache_round_trip_and_prompt_in_the_key(spark, feedback, tmp_path):
     assert key("a") != key("b")
 
 
+def test_skipped_entries_are_asked_for_alone_and_then_left_to_the_rules(feedback):
+    def forgetful(texts):
+        # Forgets "the gate" in company and "great place" always; numbers may come as text.
+        entries = [
+            {"id": str(i), "sentiment": "Mixed"} for i, t in enumerate(texts, 1)
+            if t != "great place" and (t != "the gate" or len(texts) == 1)
+        ]
+        return "Here: " + str(entries).replace("'", '"')
+
+    rows = results(enrich(table(feedback), SAMPLE, batch_scorer=forgetful).rows)
+    assert [r[1] for r in rows] == ["Mixed", "Positive", "Mixed", "Neutral", "Mixed", "Positive", "Neutral", "Mixed"]
+    left = "The reply holds no usable entry for this text."
+    assert [r[4] for r in rows] == [None, left, None, "Empty feedback text.", None, left, "Empty feedback text.", None]
+
+
+def test_failing_batch_goes_to_the_rules(feedback):
+    out = enrich(table(feedback), SAMPLE, batch_scorer=lambda texts: 1 / 0)
+    assert {r[4] for r in results(out.rows)} == {"API error: division by zero", "Empty feedback text."}
+    assert out.fresh.count() == 0
+
+
 def test_failing_scorer_falls_back_with_the_reason(feedback):
     def broken(texts):
         raise RuntimeError("no credits")
