@@ -173,6 +173,27 @@ def _(spark, sf):
     return cleaning.parse_dates(b.raw_feedback(spark, sf)).select(ORD, "date", "location")
 
 
+_DAY = "DATE '2026-06-01' + cast(doc_id % 111 as int)"
+
+
+@register("parse_dates_formats", f"""
+    with d as (select doc_id, {_DAY} as day_read from documents)
+    select doc_id _ord, case doc_id % 4 when 2 then cast(day_read as timestamp) + interval 570 minute
+           else cast(day_read as timestamp) end date,
+           (select count(*) from d where doc_id % 4 = 3) unreadable
+    from d where doc_id % 4 <> 3""")
+def _(spark, sf):
+    # A quarter of the dates each: ISO, day first, with a time of day, and in a form nobody named.
+    forms = ["yyyy-MM-dd", "dd/MM/yyyy", "yyyy.MM.dd HH:mm", "'on' dd MM yyyy"]
+    moment = F.expr("timestamp_ntz '2026-06-01 09:30:00' + make_dt_interval(cast(doc_id % 111 as int))")
+    written = F.coalesce(*[
+        F.when(F.col("doc_id") % 4 == i, F.date_format(moment, form)) for i, form in enumerate(forms)
+    ])
+    raw = b.documents(spark, sf).select(F.col("doc_id").alias(ORD), written.alias("date"))
+    total = cleaning.unreadable_dates(raw, forms[1:3]).select("unreadable").scalar()
+    return cleaning.parse_dates(raw, forms[1:3]).withColumn("unreadable", total)
+
+
 @register("clean_feedback", _cleaning_sql(
     _NORMAL, _TEXTED, _FILLED, _BY_ID, _BY_TEXT, _TITLED,
     body=f"select _ord, feedback_id, {_SQL_DATE} date, location, feedback from titled "
