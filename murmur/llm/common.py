@@ -52,6 +52,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put before those that a column of ``df`` has already."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def held_out(doc_id: Column, parts: int) -> Column:
     """Whether crc32 of the id as text leaves remainder 0; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == 0, F.lit(False))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmur.llm.common import unused
+
 # What separates words, once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -131,9 +131,13 @@ def remove_documents(
 
     Rows are told apart by id and text; rows without an id are judged like others.
     """
-    found = report_keys(docs, benchmark, size, doc_id, text, item_id).where(F.col("n_hit") >= min_hit)
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_text"))
-    return docs.join(found.select("_id", "_text"), same, "left_anti")
+    own_id, own_text = unused(docs, "_id", "_text")
+    found = (
+        report_keys(docs, benchmark, size, doc_id, text, item_id).where(F.col("n_hit") >= min_hit)
+        .select(F.col("_id").alias(own_id), F.col("_text").alias(own_text))
+    )
+    same = F.col(doc_id).eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col(text)) == F.col(own_text))
+    return docs.join(found, same, "left_anti")
 
 
 def report_keys(docs, benchmark, size, doc_id, text, item_id) -> DataFrame:
@@ -157,22 +161,23 @@ def remove_spans(
     """
     rows = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_text"), F.col(text).alias("text"))
     found = hits(rows, item_windows(benchmark, size, item_id, text), ["_id", "_text"])
+    own_id, own_text, own_spans, own_hit = unused(docs, "_id", "_text", "_spans", "_hit")
     spans = (
         found.where(F.col("length") != MARK).groupBy("_id", "_text")
-        .agg(F.collect_set(F.struct("position", (F.col("position") + F.col("length")).alias("end"))).alias("_spans"))
+        .agg(F.collect_set(F.struct("position", (F.col("position") + F.col("length")).alias("end"))).alias("spans"))
+        .select(F.col("_id").alias(own_id), F.col("_text").alias(own_text), F.col("spans").alias(own_spans))
     )
     hit = F.array_distinct(F.flatten(F.transform(
-        "_spans", lambda s: F.sequence(s["position"], s["end"] - 1))))
+        F.col(own_spans), lambda s: F.sequence(s["position"], s["end"] - 1))))
     left = F.transform(
         F.filter(
             F.transform(words(F.col(text)), lambda w, i: F.struct(i.alias("i"), w.alias("w"))),
-            lambda x: ~F.array_contains("_hit", x["i"]),
+            lambda x: ~F.array_contains(F.col(own_hit), x["i"]),
         ),
         lambda x: x["w"],
     )
-    same = reduce(lambda a, b: a & b, [
-        F.col(doc_id).eqNullSafe(F.col("_id")), F.xxhash64(F.col(text)) == F.col("_text")])
-    joined = docs.join(spans, same, "left").withColumn("_hit", hit)
+    same = F.col(doc_id).eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col(text)) == F.col(own_text))
+    joined = docs.join(spans, same, "left").withColumn(own_hit, hit)
     return joined.withColumn(
-        text, F.when(F.col("_hit").isNull(), F.col(text)).otherwise(F.array_join(left, " "))
+        text, F.when(F.col(own_hit).isNull(), F.col(text)).otherwise(F.array_join(left, " "))
     ).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmur.llm.common import unused
+
 BROADCAST_SOURCES = 100_000
 BROADCAST_BYTES = 64 << 20
 DIGITS = 13  # hex digits of a digest that make a uniform number: 52 bits, exact in a double
@@ -80,17 +82,18 @@ def mix(
     size = F.coalesce(F.length(F.col(text)), F.lit(0)).cast("long")
     rates = source_rates(docs, weights, total, source, size)
     n, n_bytes = rates.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("source")), F.lit(0))).head()
-    table = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), distribution(F.col("rate")).alias("_cdf"))
+    own = docs.drop("copy", "rate", "shuffle_key")
+    source_, rate, cdf, drawn, repeats = unused(own, "_source", "_rate", "_cdf", "_u", "_count")
+    table = rates.select(F.col("source").alias(source_), F.col("rate").alias(rate), distribution(F.col("rate")).alias(cdf))
     if n <= BROADCAST_SOURCES and n_bytes <= BROADCAST_BYTES:
         table = F.broadcast(table)
-    own = docs.drop("copy", "rate", "shuffle_key")
     u = uniform(F.lit(seed), F.col(doc_id))
-    joined = own.join(table, F.col(source).eqNullSafe(F.col("_source"))).withColumn("_u", u)
-    count = F.size(F.filter("_cdf", lambda c: c < F.col("_u")))
-    counted = joined.withColumn("_count", count).where("_count > 0")
+    joined = own.join(table, F.col(source).eqNullSafe(F.col(source_))).withColumn(drawn, u)
+    count = F.size(F.filter(cdf, lambda c: c < F.col(drawn)))
+    counted = joined.withColumn(repeats, count).where(F.col(repeats) > 0)
     copies = counted.select(
-        *[F.col(f"`{c}`") for c in own.columns], F.col("_rate").alias("rate"),
-        F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("copy"),
+        *[F.col(f"`{c}`") for c in own.columns], F.col(rate).alias("rate"),
+        F.explode(F.sequence(F.lit(0), F.col(repeats) - 1)).alias("copy"),
     )
     key = F.xxhash64(F.lit(seed), F.col(doc_id), F.col("copy"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import bounded_batches, components, dealt_pairs, forest, stored
+from murmur.llm.common import bounded_batches, components, dealt_pairs, forest, stored, unused
 
 TILE = 512  # rows on each side of a tile pair: 2 MB of distances
 SEED = 42
@@ -178,6 +178,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, doc_id: str = "
     Of repeated rows with that id one stays. Rows without an id stand for themselves and stay.
     """
     groups = near_duplicates(docs, shingle, radius, doc_id, text)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col(doc_id).cast("long") == F.col("_kept"), "left_semi")
+    (own,) = unused(docs, "_kept")
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    named = docs.join(kept, F.col(doc_id).cast("long") == F.col(own), "left_semi")
     return named.dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))

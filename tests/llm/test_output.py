@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from murmur.llm import mixing, simhash, training_order
+from murmur.llm import decontaminate, mixing, simhash, training_order
 from murmur.llm.queries import QUERIES, TOKENIZERS, table, toxic_model
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
@@ -47,6 +47,25 @@ def test_sources_reach_their_weights(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+def test_columns_named_like_helper_columns_keep_their_values(spark):
+    names = ["_id", "_text", "_spans", "_hit", "_kept", "__kept", "_source", "_rate", "_cdf", "_u", "_COUNT"]
+    rows = [(1, "a b c d", "s"), (2, "k l m n o", "s"), (3, "k l m n o", "s")]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names)
+    own = tuple(n + "!" for n in names)
+    docs = spark.createDataFrame([(*r, *own) for r in rows], schema)
+    bench = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
+
+    def found(df):
+        assert df.columns[:3] == docs.columns[:3]
+        assert {tuple(r[n] for n in names) for r in df.collect()} <= {own}
+        return sorted((r["doc_id"], r["text"]) for r in df.collect())
+
+    assert found(simhash.keep_one(docs)) == [rows[0][:2], rows[1][:2]]
+    assert found(decontaminate.remove_documents(docs, bench, 4)) == [rows[1][:2], rows[2][:2]]
+    assert found(decontaminate.remove_spans(docs, bench, 4)) == [(1, ""), rows[1][:2], rows[2][:2]]
+    assert {r[0] for r in found(mixing.mix(docs, total=2000.0))} == {1, 2, 3}
+
+
 def test_counts_do_not_depend_on_the_reading_and_copies_are_numbered(spark):
     rows = [(i, "abc", "s", "") for i in range(400)] + [(7, "abc", "s", "")]
     docs = spark.createDataFrame(rows, DOCS)
