@@ -145,6 +145,44 @@ def test_scores_against_dictionaries(spark, monkeypatch, head_words, shard_token
         assert g[6] == pytest.approx(w[6], abs=0.03 * w[2])
 
 
+def slow_whole_scores(rows, learn, discount=0.75):
+    """As above, but every word learnt from is one of the model's, and all others are one unseen word."""
+    tokens = [[t.lower() for t in (text or "").split()] for _, text in rows]
+    c = Counter(t for ts, x in zip(tokens, learn, strict=True) if x for t in [*ts, None])
+    n, whole = sum(c.values()), sum(c.values()) + 0.1 * (len(c) + 1)
+    triples = [[*zip(["", "", *ts], ["", *ts], [*ts, None], strict=False)] for ts in tokens]
+    seen = [[tuple(t if t is None or t == "" or t in c else "?" for t in x) for x in row] for row in triples]
+    unigram = defaultdict(lambda: 0.1 / whole, {t: (k + 0.1) / whole for t, k in c.items()})
+    model = slow_model(Counter(t for row, x in zip(seen, learn, strict=True) if x for t in row), unigram, discount)
+    for (i, _), x, ts, row in zip(rows, learn, tokens, seen, strict=True):
+        base = sum(math.log10((c[t] + 0.1) / whole) for t in [*ts, None])
+        score = sum(math.log10(model(*t)) for t in row)
+        yield i, not x, len(ts) + 1, sum(c[t] > 0 for t in [*ts, None]), n, base, score
+
+
+@pytest.mark.parametrize(("looked_up", "shard_tokens"), [(lm.HEAD_WORDS, 10**6), (20, 10**6), (20, 200), (1, 60)])
+def test_every_word_learnt_from_has_its_place_in_the_model(spark, monkeypatch, looked_up, shard_tokens):
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(lm, "HEAD_WORDS", looked_up)
+    rows = [*texts(), (502, "w1 w0 " * 200), (504, "new0 new1 new0 w1 new1"), (508, "y" * 70 + " w1 " + "y" * 70)]
+    learn = [i % 4 != 0 for i, _ in rows]
+    docs = spark.createDataFrame([(*r, x) for r, x in zip(rows, learn, strict=True)], "doc_id long, text string, learn boolean")
+    found = lm.score_documents(docs, F.col("learn"), shard_tokens=shard_tokens)
+    got = sorted(map(tuple, found.collect()))
+    for g, w in zip(got, sorted(slow_whole_scores(rows, learn)), strict=True):
+        assert g[:5] == w[:5]
+        assert g[5] == pytest.approx(w[5], rel=1e-9)
+        assert g[6] == pytest.approx(w[6], abs=0.03 * w[2])
+
+
+def test_a_known_phrase_of_words_outside_the_head_beats_a_new_one(spark):
+    a, b, c, d = (x * 70 for x in "abcd")  # too long for the head
+    rows = [(i, f"{a} {b} {c} {d}") for i in range(40)] + [(100, f"{a} {b} {c} {d}"), (101, f"{c} {a} {d} {b}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, F.col("doc_id") < 100).collect()}
+    assert got[100] > got[101] + 1
+
+
 def test_model_beats_word_frequencies_on_held_out_texts(spark):
     rng = random.Random(8)
     follow = {w: [f"w{(w * 7 + k) % 40}" for k in range(3)] for w in range(40)}
