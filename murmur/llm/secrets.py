@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that adds spans.
 
-Tokens are runs without white space. The field tags each as the begin of a secret, its inside or
-outside, from the token's shape, its neighbours and features of the whole text.
+Tokens are runs without white space, long ones cut at marks. The field tags each as the begin of a
+secret, its inside or outside, from the token's shape, its neighbours and features of the whole text.
 """
 
 from __future__ import annotations
@@ -30,7 +30,10 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 OUT, BEGIN, INSIDE = 0, 1, 2
 TOKEN = re.compile(r"\S+")
 BITS = 14
-MEMO_TOKENS, MEMO_CHARS = 200_000, 64
+MEMO_TOKENS, TOKEN_CHARS = 200_000, 64
+_CUT = re.compile(  # up to the next mark between fields, else after the last mark within one, else anywhere
+    r"[^D]{1,N}(?![^D])|[^D]{0,M}[=:/.+_-]|[^D]{1,N}|[D]{1,N}"
+    .replace("D", r"&?;,|(){}<>\[\]").replace("N", str(TOKEN_CHARS)).replace("M", str(TOKEN_CHARS - 1)))
 
 
 def base_spans(text: str, tokens: list[str] | None = None) -> list[tuple[int, int, str]]:
@@ -50,6 +53,13 @@ def base_spans(text: str, tokens: list[str] | None = None) -> list[tuple[int, in
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def cut(words: list[str]) -> list[str]:
+    """The words, those over 64 characters in pieces of at most as many, so none of them is unseen."""
+    if max(map(len, words), default=0) <= TOKEN_CHARS:
+        return words
+    return [p for word in words for p in ([word] if len(word) <= TOKEN_CHARS else _CUT.findall(word))]
+
+
 class _Classes(dict):
     """Character classes: digit, upper and lower letter, some marks, all else."""
 
@@ -69,8 +79,8 @@ def look(token: str) -> tuple[str, str, str]:
 
     Few looks occur, however many different words there are.
     """
-    classes = token[:MEMO_CHARS].translate(_CLASSES)
-    low = token[:MEMO_CHARS].lower()
+    classes = token.translate(_CLASSES)
+    low = token.lower()
     name = re.sub(r"[^a-z_]", "", low)[:20] if _NAME.search(low) else ""
     last = token[-1]
     return classes, "a" if last.isalnum() else last, name
@@ -126,8 +136,7 @@ class Rows(dict):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             for part, names in enumerate(token_features(*key)):
                 self.table[row, part] = self.weights[[_slot(x) for x in names]].sum(axis=0)
-        if len(token) <= MEMO_CHARS:
-            self[token] = row
+        self[token] = row
         return row
 
     def renew(self) -> None:
@@ -201,7 +210,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(sequences: list[tuple[list[list[int]], np.ndarray]], epochs: int = 4, rate: float = 0.3, l2: float = 1e-4) -> Model:
+def fit(sequences: list[tuple[list[list[int]], np.ndarray]], epochs: int = 6, rate: float = 0.3, l2: float = 1e-4) -> Model:
     """Maximise the conditional likelihood by AdaGrad; gradients come from forward-backward.
 
     A sequence is the feature slots of each token and its tags. Without sequences all is outside.
@@ -247,12 +256,22 @@ def fit(sequences: list[tuple[list[list[int]], np.ndarray]], epochs: int = 4, ra
     return Model(w, m, f)
 
 
+def places(text: str, tokens: list[str]) -> list[tuple[int, int]]:
+    """Where each of a text's tokens starts and ends."""
+    out, at = [], 0
+    for token in tokens:
+        at = text.index(token, at)
+        out.append((at, at + len(token)))
+        at += len(token)
+    return out
+
+
 def tagged(text: str, window: int = 12) -> Iterator[tuple[list[list[int]], np.ndarray]]:
     """Stretches of tokens with tags: around what the patterns find, the longest others, the middle."""
-    tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
-    if not tokens:
+    words = cut(TOKEN.findall(text))
+    if not words:
         return
-    words = [text[a:b] for a, b in tokens]
+    tokens = places(text, words)
     own = [_slot(x) for x in file_features(text)]
     tags = np.zeros(len(tokens), np.int64)
     for start, end, _ in base_spans(text):
@@ -325,15 +344,9 @@ def added_spans(
     tags = decode(model.emissions(tokens, text, rows), model.moves, model.first)
     if not tags.any():
         return []
-    places = []
-    at = 0
-    for token in tokens:
-        at = text.index(token, at)
-        places.append((at, at + len(token)))
-        at += len(token)
     out: list[tuple[int, int, str]] = []
     previous = OUT
-    for (start, end), tag in zip(places, tags.tolist(), strict=True):
+    for (start, end), tag in zip(places(text, tokens), tags.tolist(), strict=True):
         if tag == BEGIN or (tag == INSIDE and previous == OUT):
             out.append((start, end, "crf"))
         elif tag == INSIDE:
@@ -360,7 +373,7 @@ def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "tex
                 text_ = data or ""
                 tokens = text_.split()
                 base = base_spans(text_, tokens)
-                every = base + added_spans(text_, tokens, model_, rows, base)
+                every = base + added_spans(text_, cut(tokens), model_, rows, base)
                 every.sort(key=lambda s: (s[0], KINDS.index(s[2])))
                 found.append([{"kind": k, "start": a, "end": b} for a, b, k in every])
             spans = pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))

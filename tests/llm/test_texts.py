@@ -138,6 +138,24 @@ def test_field_adds_spans_and_keeps_base_ones(spark):
     assert by_id[None] == by_id[1]
 
 
+def test_secrets_behind_the_64th_character_are_seen(spark):
+    model = secrets.train(docs_of(spark, secret_docs()), max_rows=60)
+    secret = "credential=7d602ad27cf5550de1c"
+    long = ["abcdefgh/" * 9 + "&", "{abcd:ef," + "gh:abcdefgh," * 8, "abcdefgh" * 9 + "?"]
+    rows = [(i, f"ab cd {x}{secret} ef gh") for i, x in enumerate(long)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(docs_of(spark, rows), model).collect()}
+    for i, text in rows:
+        at = text.index(secret)
+        assert ("crf", at, at + len(secret)) in [(s["kind"], s["start"], s["end"]) for s in got[i]]
+
+
+@pytest.mark.parametrize("word", ["a" * 64, "a" * 65, "&" * 200, "a=b&" * 50, "a/" * 300 + "b" * 200, "é" * 100 + "?x"])
+def test_long_tokens_are_cut_without_losing_characters(word):
+    pieces = secrets.cut(["ab", word])
+    assert "".join(pieces) == "ab" + word and max(map(len, pieces)) <= 64
+    assert (len(pieces) == 2) == (len(word) <= 64)
+
+
 def test_nothing_to_learn_secrets_from(spark):
     empty = spark.createDataFrame([], DOCS)
     model = secrets.train(empty)
