@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that adds spans.
 
 Tokens are runs without white space, long ones cut at marks. The field tags each as the begin of a
-secret, its inside or outside, from the token's shape, its neighbours and features of the whole text.
+secret, its inside or outside, from the token's shape, its neighbours' words and shapes and features
+of the whole text.
 """
 
 from __future__ import annotations
@@ -101,6 +102,17 @@ def _slot(feature: str) -> int:
     return int.from_bytes(hashlib.blake2b(feature.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % (1 << BITS)
 
 
+def word_ids(token: str) -> tuple[int, int]:
+    """The word itself, as a feature of the token after it and of the one before it.
+
+    Digests of 63 bits above the slots of all other features; marks around the word are left out.
+    """
+    word = token.lower().strip("\"'`=:,;.()[]{}<>*").encode("utf-8", "surrogatepass")
+    digest = hashlib.blake2b(word, digest_size=16).digest()
+    after, before = (int.from_bytes(part, "little") >> 1 | 1 << BITS for part in (digest[:8], digest[8:]))
+    return after, before
+
+
 def token_features(classes: str, tail: str, name: str) -> list[list[str]]:
     """Features of a token for itself, for the one after it and for the one before it."""
     short = shape(classes)
@@ -120,10 +132,15 @@ def file_features(text: str) -> list[str]:
 
 
 class Rows(dict):
-    """Rows of a table of three times three sums of weights: by token, and by its look."""
+    """Rows of a table of three times three sums of weights: by token, and by its look.
+
+    ``words`` gives each token the two rows of weights of the word itself, as one number.
+    """
 
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
+    def __init__(self, model: Model):
+        self.weights = model.weights
+        self.known = {int(x): (1 << BITS) + i for i, x in enumerate(model.words)}
+        self.words: dict[str, int] = {}
         self.table = np.zeros((1024, 3, 3), np.float64)
         self.looks: dict[tuple, int] = {}
 
@@ -136,6 +153,9 @@ class Rows(dict):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             for part, names in enumerate(token_features(*key)):
                 self.table[row, part] = self.weights[[_slot(x) for x in names]].sum(axis=0)
+        none = len(self.weights) - 1
+        after, before = (self.known.get(x, none) for x in word_ids(token))
+        self.words[token] = after * len(self.weights) + before
         self[token] = row
         return row
 
@@ -144,21 +164,30 @@ class Rows(dict):
         if len(self) > MEMO_TOKENS or len(self.looks) > MEMO_TOKENS:
             self.clear()
             self.looks.clear()
+            self.words.clear()
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights by hashed feature and tag, transitions between tags, and those at the begin."""
+    """Weights by feature and tag, transitions between tags, and those at the begin.
+
+    Rows of weights are the slots of hashed features, then ``words``, then zeros for all other words.
+    """
 
     weights: np.ndarray
     moves: np.ndarray
     first: np.ndarray
+    words: np.ndarray
 
     def emissions(self, tokens: list[str], text: str, rows: Rows) -> np.ndarray:
         at = np.fromiter(map(rows.__getitem__, tokens), np.int64, len(tokens))
         out = rows.table[at, 0]
         out[1:] += rows.table[at[:-1], 1]
         out[:-1] += rows.table[at[1:], 2]
+        after, before = np.divmod(
+            np.fromiter(map(rows.words.__getitem__, tokens), np.int64, len(tokens)), len(self.weights))
+        out[1:] += self.weights[after[:-1]]
+        out[:-1] += self.weights[before[1:]]
         return out + self.weights[[_slot(x) for x in file_features(text)]].sum(axis=0)
 
 
@@ -213,18 +242,24 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 def fit(sequences: list[tuple[list[list[int]], np.ndarray]], epochs: int = 6, rate: float = 0.3, l2: float = 1e-4) -> Model:
     """Maximise the conditional likelihood by AdaGrad; gradients come from forward-backward.
 
-    A sequence is the feature slots of each token and its tags. Without sequences all is outside.
+    A sequence is the feature slots and word digests of each token and its tags. Without sequences all
+    is outside.
     """
-    w, m, f = np.zeros((1 << BITS, 3)), np.zeros((3, 3)), np.zeros(3)
+    every = np.unique(np.fromiter((x for slots_, _ in sequences for one in slots_ for x in one), np.int64))
+    words = every[every >= 1 << BITS]
+    w, m, f = np.zeros(((1 << BITS) + words.size + 1, 3)), np.zeros((3, 3)), np.zeros(3)
     gw, gm, gf = np.full(w.shape, 1e-6), np.full(m.shape, 1e-6), np.full(f.shape, 1e-6)
     if not sequences:
         f[OUT] = m[:, OUT] = 50.0
-        return Model(w, m, f)
+        return Model(w, m, f, words)
+    # Single words learn slower: one that stands by chance beside one secret must not explain it.
+    rates = np.where(np.arange(len(w)) < 1 << BITS, rate, rate / 8)[:, None]
     eye = np.eye(3)
     for _ in range(epochs):
         for slots_, tags in sequences:
             n = len(tags)
-            flat = np.concatenate([np.asarray(s) for s in slots_])
+            flat = np.concatenate([np.asarray(s, np.int64) for s in slots_])
+            flat = np.where(flat < 1 << BITS, flat, (1 << BITS) + np.searchsorted(words, flat))
             owner = np.repeat(np.arange(n), [len(s) for s in slots_])
             e = np.zeros((n, 3))
             np.add.at(e, owner, w[flat])
@@ -247,13 +282,13 @@ def fit(sequences: list[tuple[list[list[int]], np.ndarray]], epochs: int = 6, ra
             np.add.at(dw, place, d[owner])
             dw += l2 * w[used]
             gw[used] += dw * dw
-            w[used] -= rate * dw / np.sqrt(gw[used])
+            w[used] -= rates[used] * dw / np.sqrt(gw[used])
             gm += dm * dm
             m -= rate * dm / np.sqrt(gm)
             df = d[0]
             gf += df * df
             f -= rate * df / np.sqrt(gf)
-    return Model(w, m, f)
+    return Model(w, m, f, words)
 
 
 def places(text: str, tokens: list[str]) -> list[tuple[int, int]]:
@@ -288,7 +323,8 @@ def tagged(text: str, window: int = 12) -> Iterator[tuple[list[list[int]], np.nd
             names = token_features(*look(words[i]))[0]
             names = names + (token_features(*look(words[i - 1]))[1] if i else [])
             names = names + (token_features(*look(words[i + 1]))[2] if i + 1 < len(words) else [])
-            slots_.append([_slot(x) for x in names] + own)
+            near = ([word_ids(words[i - 1])[0]] if i else []) + ([word_ids(words[i + 1])[1]] if i + 1 < len(words) else [])
+            slots_.append([_slot(x) for x in names] + near + own)
         yield slots_, tags[a:b]
 
 
@@ -325,19 +361,30 @@ def train(
                 for slots_, tags in tagged(data)
             ]
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
-                ("order", pa.int64()), ("slots", pa.list_(pa.list_(pa.int32()))), ("tags", pa.list_(pa.int32()))]))
+                ("order", pa.int64()), ("slots", pa.list_(pa.list_(pa.int64()))), ("tags", pa.list_(pa.int32()))]))
 
     bounded_batches(docs.sparkSession)
     taken = rows.where(chosen).select(order.alias("order"), F.col(text).cast("string").alias("text")).distinct()
-    sample = taken.mapInArrow(extract, "order long, slots array<array<int>>, tags array<int>").collect()
+    sample = taken.mapInArrow(extract, "order long, slots array<array<bigint>>, tags array<int>").collect()
     sample.sort(key=lambda r: (r["order"], r["slots"], r["tags"]))
     return fit([(r["slots"], np.array(r["tags"])) for r in sample])
 
 
+def beside(text: str, span: tuple[int, int, str], base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    """The parts of a span between the base ones, without the white space around them."""
+    start, end, kind = span
+    for a, b, _ in [*(s for s in base if s[0] < end and s[1] > start), (end, end, "")]:
+        part = text[start : max(start, a)]
+        if any(map(str.isalnum, part)):
+            at = start + len(part) - len(part.lstrip())
+            yield at, at + len(part.strip()), kind
+        start = max(start, b)
+
+
 def added_spans(
     text: str, tokens: list[str], model: Model, rows: Rows, base: list[tuple[int, int, str]]
 ) -> list[tuple[int, int, str]]:
-    """Spans the field finds beside the base ones; those that overlap a base span are left out."""
+    """Spans the field finds beside the base ones: what of them is outside, if it has a letter or digit."""
     if not tokens:
         return []
     rows.renew()
@@ -352,7 +399,7 @@ def added_spans(
         elif tag == INSIDE:
             out[-1] = (out[-1][0], end, "crf")
         previous = tag
-    return [s for s in out if not any(a < s[1] and s[0] < b for a, b, _ in base)]
+    return [rest for s in out for rest in beside(text, s, base)]
 
 
 def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -362,11 +409,11 @@ def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "tex
     none. Ids may be null and rows repeat; empty tables give empty tables; other columns are
     ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^14 rows of weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^14 rows of weights and those of words near the sample's
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model_ = shared.value
-        rows = Rows(model_.weights)
+        rows = Rows(model_)
         for batch in batches:
             found = []
             for data in batch.column(1).to_pylist():

@@ -156,6 +156,36 @@ def test_long_tokens_are_cut_without_losing_characters(word):
     assert (len(pieces) == 2) == (len(word) <= 64)
 
 
+def test_words_beside_a_secret_are_features():
+    rng = random.Random(5)
+    hidden = ["".join(rng.choice("abcdef") for _ in range(6)) for _ in range(60)]
+    sequences, words = [], ["bearer", "banana"]
+    for i, x in enumerate(hidden):  # only the word before tells a secret from others of its look
+        tokens = ["of", words[i % 2], x, "to"]
+        names = [secrets.token_features(*secrets.look(t)) for t in tokens]
+        slots = [[secrets._slot(f) for f in n[0]] for n in names]
+        for k in range(4):
+            slots[k] += [secrets.word_ids(tokens[k - 1])[0]] * (k > 0) + ([secrets.word_ids(tokens[k + 1])[1]] if k < 3 else [])
+        sequences.append((slots, np.array([0, 0, 1 - i % 2, 0])))
+    model = secrets.fit(sequences)
+    for word, spans in (("Bearer", [(10, 16, "crf")]), ("banana", []), ("unseen", None)):
+        text = f"of {word} badcef to"
+        tokens = text.split()
+        found = secrets.added_spans(text, tokens, model, secrets.Rows(model), [])
+        assert spans is None or found == spans
+
+
+@pytest.mark.parametrize(("text", "span", "base", "rest"), [
+    ('password="correcthorse!battery#staple"', (0, 38), [(0, 22)], [(22, 38)]),
+    ("token=0123456789,", (0, 17), [(0, 16)], []), ("a1 b2", (0, 5), [(0, 2)], [(3, 5)]),
+    ("x1:AAAA:y1:BBBB:z1", (0, 18), [(3, 7), (4, 6), (11, 15)], [(0, 3), (7, 11), (15, 18)]),
+    ("ab cd", (0, 5), [], [(0, 5)]), ("ab cd", (0, 2), [(3, 5)], [(0, 2)]),
+])
+def test_added_spans_keep_what_lies_beside_base_spans(text, span, base, rest):
+    got = secrets.beside(text, (*span, "crf"), [(*b, "assign") for b in base])
+    assert [s[:2] for s in got] == rest
+
+
 def test_nothing_to_learn_secrets_from(spark):
     empty = spark.createDataFrame([], DOCS)
     model = secrets.train(empty)
