@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm.common import bounded_batches, components, dealt_pairs, forest, stored, unused
@@ -40,19 +40,26 @@ def fingerprint(data: bytes | None, shingle: int) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row ``(doc_id, fp)`` per document, ``fp`` being the 64 bits as a signed long."""
+def fingerprints(
+    docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text", digest: Column | None = None
+) -> DataFrame:
+    """One row ``(doc_id, fp)`` per document, ``fp`` being the 64 bits as a signed long.
+
+    A ``digest`` of the row, if one is given, is carried along as a third column.
+    """
+    carried = [] if digest is None else [digest.alias("digest")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             bits = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(bits), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
     bounded_batches(docs.sparkSession)
     return (
-        docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        .mapInArrow(scan, "doc_id long, fp long")
+        docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carried)
+        .mapInArrow(scan, "doc_id long, fp long" + ", digest string" * len(carried))
     )
 
 
@@ -153,7 +160,14 @@ def near_duplicates(
     no row of its component has an id. An empty table gives an empty table; other columns are
     ignored.
     """
-    prints = stored(fingerprints(docs, shingle, doc_id, text), "fingerprints")
+    return _grouped(fingerprints(docs, shingle, doc_id, text), radius).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _grouped(prints: DataFrame, radius: int) -> DataFrame:
+    """The rows of ``prints`` with ``root``, which names their component, and its ``component_id``."""
+    prints = stored(prints, "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(near_links(distinct.select("fp"), radius))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
@@ -165,20 +179,29 @@ def near_duplicates(
     )
     known = (
         rooted.withColumn("root", label).join(groups, "root", "left")
-        .select("fp", F.coalesce("_least", "least").alias("component_id"))
-    )
-    return prints.join(known, "fp", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        .select("fp", "root", F.coalesce("_least", "least").alias("component_id"))
     )
+    return prints.join(known, "fp", "left")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group: the one with the smallest id, with all its columns.
 
-    Of repeated rows with that id one stays. Rows without an id stand for themselves and stay.
+    Rows are told apart by id and text, so an id may repeat with texts of several groups, and one row of
+    each stays. Of rows of a group with that id the one with the smallest digest of its text stays, of
+    those with the same text the one with the smallest hash of all its columns but maps. Rows without
+    an id stand for themselves and stay.
     """
-    groups = near_duplicates(docs, shingle, radius, doc_id, text)
-    (own,) = unused(docs, "_kept")
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
-    named = docs.join(kept, F.col(doc_id).cast("long") == F.col(own), "left_semi")
-    return named.dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
+    digest = F.coalesce(F.md5(F.col(text).cast("string")), F.lit(""))
+    groups = _grouped(fingerprints(docs, shingle, doc_id, text, digest), radius)
+    own, mark, row = unused(docs, "_kept", "_digest", "_row")
+    kept = (
+        groups.where("doc_id = component_id").groupBy("root")
+        .agg(F.min("component_id").alias(own), F.min("digest").alias(mark))
+    ).drop("root")
+    named = docs.join(kept, (F.col(doc_id).cast("long") == F.col(own)) & (digest == F.col(mark)), "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.xxhash64(*[c for c, (_, kind) in zip(columns, docs.dtypes, strict=True) if "map<" not in kind])
+    one = named.groupBy(F.col(doc_id).cast("long"), digest).agg(F.min_by(F.struct(*columns), order).alias(row))
+    one = one.select(*[F.col(row).getField(c).alias(c) for c in docs.columns])
+    return one.unionByName(docs.where(F.col(doc_id).isNull()))

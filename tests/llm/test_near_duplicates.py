@@ -122,6 +122,20 @@ def test_one_of_each_group_is_kept_with_its_columns(spark):
     assert kept == sorted([rows[1], rows[3], rows[4]], key=repr)
 
 
+def test_one_id_with_texts_of_several_groups(spark):
+    first, second, third = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [
+        (1, first, "a"), (1, second, "b"), (2, second, "c"), (2, third, "d"), (3, first, "e"), (1, first, "f"),
+        (4, third, "g"),
+    ]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string")
+        kept = sorted(map(tuple, simhash.keep_one(docs).collect()))
+        assert [(i, t) for i, t, _ in kept] == [(1, first), (1, second), (2, third)]
+        assert order is rows or kept == before
+        before = kept
+
+
 def test_simhash_of_an_empty_table(spark):
     empty = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(empty).collect() == []
