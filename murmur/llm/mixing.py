@@ -69,13 +69,14 @@ def mix(
     """Every document as often as its Poisson count says, in a globally shuffled order.
 
     The target weights are shares of characters. The count of a document inverts the Poisson
-    distribution with its source's rate at a uniform number seeded by ``seed`` and the id, so it
-    does not depend on where and when a row is read. The result has all columns of ``docs`` and
+    distribution with its source's rate at a uniform number seeded by ``seed`` and the id, or the
+    text's digest for a row without an id, so it does not depend on where and when a row is read. The result has all columns of ``docs`` and
     ``copy`` (from 0), ``rate``, ``shuffle_key``. Rows are dealt to partitions by the key
     and sorted by it within each: one global random order.
 
     A null source is a source of its own; a null text has no characters. A source without
-    characters or weight gets rate 0 and no rows. Repeated rows get the same count each. Empty
+    characters or weight gets rate 0 and no rows. Repeated rows, which without an id
+    means equal texts, get the same count each. Empty
     tables give empty results. Columns of ``docs`` named like one of the three new ones are
     replaced.
     """
@@ -87,7 +88,8 @@ def mix(
     table = rates.select(F.col("source").alias(source_), F.col("rate").alias(rate), distribution(F.col("rate")).alias(cdf))
     if n <= BROADCAST_SOURCES and n_bytes <= BROADCAST_BYTES:
         table = F.broadcast(table)
-    u = uniform(F.lit(seed), F.col(doc_id))
+    unnamed = F.concat(F.lit("text|"), F.coalesce(F.sha2(F.col(text).cast("string"), 256), F.lit("")))
+    u = uniform(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), unnamed))
     joined = own.join(table, F.col(source).eqNullSafe(F.col(source_))).withColumn(drawn, u)
     count = F.size(F.filter(cdf, lambda c: c < F.col(drawn)))
     counted = joined.withColumn(repeats, count).where(F.col(repeats) > 0)
@@ -95,6 +97,7 @@ def mix(
         *[F.col(f"`{c}`") for c in own.columns], F.col(rate).alias("rate"),
         F.explode(F.sequence(F.lit(0), F.col(repeats) - 1)).alias("copy"),
     )
-    key = F.xxhash64(F.lit(seed), F.col(doc_id), F.col("copy"))
+    key = F.when(F.col(doc_id).isNull(), F.xxhash64(F.lit(seed), unnamed, F.col("copy"))).otherwise(
+        F.xxhash64(F.lit(seed), F.col(doc_id), F.col("copy")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return copies.withColumn("shuffle_key", key).repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")

@@ -47,6 +47,15 @@ def test_sources_reach_their_weights(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+def test_rows_without_an_id_are_drawn_on_their_own(spark):
+    rows = [(None, f"{i:04}", "a", "") for i in range(1000)] + [(None, None, "a", "")]
+    mixed = mixing.mix(spark.createDataFrame(rows, DOCS), {"a": 1.0}, total=2000.0)  # every second, on average
+    got = mixed.select("text", "copy", "shuffle_key").collect()
+    drawn = {r["text"] for r in got if r["text"] is not None}
+    assert 300 < len(drawn) < 500  # 1 - 1/sqrt(e) of 1000, up to chance
+    assert len({r["shuffle_key"] for r in got}) == len(got)
+
+
 def test_columns_named_like_helper_columns_keep_their_values(spark):
     names = ["_id", "_text", "_spans", "_hit", "_kept", "__kept", "_source", "_rate", "_cdf", "_u", "_COUNT"]
     rows = [(1, "a b c d", "s"), (2, "k l m n o", "s"), (3, "k l m n o", "s")]
