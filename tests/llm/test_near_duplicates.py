@@ -222,6 +222,23 @@ def test_each_link_is_seen_in_the_home_cells_of_both_ends():
     assert len(present) < 400 * 12 / 2
 
 
+def test_registered_query_on_a_label_large_enough_for_cells(spark, monkeypatch, tmp_path):
+    from murmur.llm.queries import QUERIES
+
+    cells, fit = [], embeddings.spherical_kmeans
+    monkeypatch.setattr(embeddings, "spherical_kmeans", lambda x, k: cells.append(k) or fit(x, k))
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(5000, 16)).astype(np.float32)
+    v[4000:] = v[:1000] + rng.normal(scale=0.05, size=(1000, 16)).astype(np.float32)
+    rows = [(i, x, 1) for i, x in enumerate(v.tolist())]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: r["n_links"] for r in QUERIES["op8_embedding_dedup"].run(spark, str(tmp_path)).collect()}
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert cells == [2] and want.sum() > 1000
+    assert got == dict(enumerate(want.tolist()))
+
+
 def test_embeddings_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(empty).collect() == []
