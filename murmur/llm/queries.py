@@ -8,7 +8,21 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import decontaminate, embeddings, lm, mixing, secrets, simhash, token_counts, toxicity, training_order, urls
+from murmur.llm import (
+    decontaminate,
+    embeddings,
+    lm,
+    mixing,
+    periods,
+    pieces,
+    secrets,
+    simhash,
+    token_counts,
+    toxicity,
+    training_order,
+    urls,
+    whitening,
+)
 from murmur.llm.common import held_out
 
 TOKENIZERS = "/opt/tokenizers"
@@ -98,6 +112,49 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("shuffle_key")
 
 
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """The documents, those with crc32(id) % 10 = 0 ending in repeats of their own words.
+
+    With g = floor(crc32 / 10), the words from a = g % n on become copies of the first
+    p = 1 + floor((n - a) / (3 + g % 8)) of them.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    n = F.size("w")
+    a = (F.col("g") % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")
+    times = F.ceil((n - a) / p).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("w", a + 1, p), times)), F.lit(1), n - a)
+    text = F.array_join(F.concat(F.slice("w", F.lit(1), a), tail), " ")
+    return rows.select("doc_id", F.when(n > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(planted_runs(table(spark, sf_dir, "documents")), min_words=12)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.floor(F.lit(1000) * F.col("best.length") / -F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.read_model(f"{TOKENIZERS}/piece_bpe_32k.model")
+    found = pieces.round_trip(table(spark, sf_dir, "documents"), model)
+    return found.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 _LOW = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOW + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -166,4 +223,7 @@ QUERIES: dict[str, Query] = {
     "op8_embedding_dedup": Query(embedding_dedup, EMBEDDING_SQL),
     "op9_toxicity": Query(toxicity_scores),
     "op10_mixing": Query(source_mixing, MIXING_SQL),
+    "op11_embedding_whitening": Query(embedding_whitening),
+    "op12_periodic_runs": Query(periodic_runs),
+    "op13_sentencepiece": Query(piece_round_trip),
 }
