@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,8 @@ from murmur.llm.common import bounded_batches
 
 SPACE = "▁"  # how a model writes a space
 MAX_BYTES = 64 << 20  # of a model that is broadcast
-MEMO_CHUNKS, MEMO_CHARS = 400_000, 64
+MEMO_TEXTS, MEMO_CHARS = 600_000, 64  # some 120 MB in a worker
+FEW, NEVER = 32, float("inf")
 # Fixed values of the model format: field numbers and the numbers of piece types.
 PIECES, TRAINER, NORMALIZER, DENORMALIZER = 1, 2, 3, 5
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -50,6 +51,21 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class Memo(dict):
+    """Results of a function for short texts, remembered up to a bound."""
+
+    def __init__(self, function: Callable[[str], bytes]):
+        self.function = function
+
+    def __missing__(self, text: str) -> bytes:
+        result = self.function(text)
+        if len(text) <= MEMO_CHARS:
+            if len(self) >= MEMO_TEXTS:
+                self.clear()
+            self[text] = result
+        return result
+
+
 class Model:
     """A vocabulary of scored pieces and the rules a text is prepared by.
 
@@ -91,8 +107,13 @@ class Model:
         self.byte_ids = [written[f"<0x{b:02X}>"] for b in range(256)] if trainer.get(35) else None
         self.bytes = {i: bytes([int(p[3:5], 16)]) for p, i in written.items()}
         self.surface = [self._surface(i) for i in range(len(self.pieces))]
+        self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.marks = "".join({c for p in self.pairs for c in p if not c.isalnum() and c != SPACE})
         self.chunks = re.compile(self._pattern(), re.DOTALL).findall
-        self.memo: dict[str, bytes] = {}
+        self.control = np.array(self.kinds) == CONTROL
+        # Words behind one space and other stretches, the latter written with SPACE.
+        self.words, self.inner = Memo(self.word), Memo(self.merged)
+        self.single = self.prefix and not any(SPACE in p.lstrip(SPACE) for p in self.ids)
 
     def _surface(self, i: int) -> bytes:
         kind = self.kinds[i]
@@ -106,14 +127,32 @@ class Model:
         long = [p for p in self.ids if len(p) > 1]
         if any(SPACE in p.lstrip(SPACE) for p in long):
             return ".+"
-        inner = "".join(sorted(set("".join(long)) - {SPACE}))
+        inner = set("".join(long)) - {SPACE}
         if not inner:
-            return f"{SPACE}+|[^{SPACE}]+"
-        inner = re.escape(inner)
-        return f"{SPACE}*[{inner}]+|{SPACE}+|[^{inner}{SPACE}]+"
+            return f"{SPACE}+|[^{SPACE}]"
+        every = re.escape("".join(sorted(inner)))
+        return f"{SPACE}*[{every}]+|{SPACE}+|[^{every}{SPACE}]"
 
     def merge(self, chunk: str) -> list[str]:
         """The symbols left when no adjacent pair is a piece: best score first, then leftmost."""
+        return self._merge_few(chunk) if len(chunk) <= FEW else self._merge_many(chunk)
+
+    def _merge_few(self, chunk: str) -> list[str]:
+        """The agenda is the costs of the pairs in their places; few enough to look through."""
+        symbols, cost = list(chunk), self.costs.get
+        agenda = [cost(a + b, NEVER) for a, b in zip(symbols, chunk[1:], strict=False)]
+        while agenda and (best := min(agenda)) < NEVER:
+            i = agenda.index(best)
+            symbols[i] = pair = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = cost(pair + symbols[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = cost(symbols[i - 1] + pair, NEVER)
+        return symbols
+
+    def _merge_many(self, chunk: str) -> list[str]:
+        """The agenda is a heap of pairs by cost and place."""
         symbols: list[str | None] = list(chunk)
         n, costs = len(symbols), self.costs
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -141,30 +180,37 @@ class Model:
                     heappush(agenda, (cost, first, left, joined))
         return [s for s in symbols if s is not None]
 
-    def _ids(self, symbol: str) -> list[int]:
-        if (known := self.ids.get(symbol)) is not None:
-            return [known]
-        if self.byte_ids is None:
-            return [self.unknown]
-        return [self.byte_ids[b] for b in symbol.encode()]
-
-    def chunk_ids(self, chunk: str) -> bytes:
-        ids = chain.from_iterable(map(self._ids, self.merge(chunk)))
-        packed = np.fromiter(ids, "<u4").tobytes()
-        if len(chunk) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_CHUNKS:
-                self.memo.clear()
-            self.memo[chunk] = packed
-        return packed
+    def merged(self, chunk: str) -> bytes:
+        """The packed ids of a stretch that no merge reaches out of."""
+        symbols = self.merge(chunk)
+        ids = list(map(self.ids.get, symbols))
+        if None in ids:
+            ids = [x for s, known in zip(symbols, ids, strict=True) for x in ([known] if known is not None else self._spelt(s))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def word(self, word: str) -> bytes:
+        """The packed ids of a word behind one space."""
+        stem = word.rstrip(self.marks)
+        if 0 < len(stem) < len(word) and word[len(stem) - 1 : len(stem) + 1] not in self.pairs:
+            # No merge reaches from the stem to the marks behind it.
+            return self.words[stem] + self.inner[word[len(stem) :]]
+        first, *rest = self.chunks(SPACE + word)
+        if not rest:
+            return self.merged(first)
+        return self.words[first[1:]] + b"".join(map(self.inner.__getitem__, rest))
+
+    def _spelt(self, symbol: str) -> list[int]:
+        """The ids of a symbol without a piece."""
+        return [self.unknown] if self.byte_ids is None else [self.byte_ids[b] for b in symbol.encode()]
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text, between those of begin and end."""
-        known, parts = self.memo.get, []
-        if text:
+        parts: Iterable[bytes] = []
+        if text and self.single and "  " not in text and SPACE not in text and text[0] != " ":
+            parts = map(self.words.__getitem__, text.split(" "))
+        elif text:
             written = text.replace(" ", SPACE)
-            for chunk in self.chunks(SPACE + written if self.prefix else written):
-                ids = known(chunk)
-                parts.append(self.chunk_ids(chunk) if ids is None else ids)
+            parts = map(self.inner.__getitem__, self.chunks(SPACE + written if self.prefix else written))
         begin, end = struct.pack("<I", self.bos), struct.pack("<I", self.eos)
         ids = np.frombuffer(b"".join([begin, *parts, end]), "<u4")
         if self.byte_ids is None:  # unknown characters side by side are one unknown piece
@@ -174,18 +220,17 @@ class Model:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids; a byte that belongs to no character becomes U+FFFD."""
-        ids = ids.tolist()
-        shown = [x for x in ids if self.kinds[x] != CONTROL]
-        if self.prefix:  # the first piece that shows gives away the space put before the text
-            cut = bool(shown) and self.kinds[shown[0]] == NORMAL and self.pieces[shown[0]].startswith(SPACE)
+        hidden = self.control[ids]
+        shown = ids[~hidden].tolist()
+        # The first piece that shows gives away the space put before the text.
+        cut = self.prefix and bool(shown) and self.kinds[shown[0]] == NORMAL and self.pieces[shown[0]].startswith(SPACE)
+        if hidden[1:-1].any():  # bytes form no character across a control piece
+            text = self._decode_slowly(ids.tolist())
         else:
-            cut = False
-        try:
-            # Bytes form no character across a control piece, so it may only stand at an end.
-            between = len(shown) < len(ids) and any(self.kinds[x] == CONTROL for x in ids[1:-1])
-            text = self._decode_slowly(ids) if between else b"".join(map(self.surface.__getitem__, shown)).decode()
-        except UnicodeDecodeError:
-            text = self._decode_slowly(ids)
+            try:
+                text = b"".join(map(self.surface.__getitem__, shown)).decode()
+            except UnicodeDecodeError:
+                text = self._decode_slowly(shown)
         return text[1:] if cut else text
 
     def _decode_slowly(self, ids: list[int]) -> str:
@@ -234,10 +279,8 @@ def first_difference(library, texts: list[str], ids: list[np.ndarray], decoded:
     """The first text that the library encodes or decodes otherwise."""
     expected = library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
     back = library.decode(expected, num_threads=1)
-    for i, (a, b, c, d) in enumerate(zip(ids, expected, decoded, back, strict=True)):
-        if c != d or not np.array_equal(a, np.array(b, "<u4")):
-            return i
-    return None
+    rows = enumerate(zip(ids, expected, decoded, back, strict=True))
+    return next((i for i, (a, b, c, d) in rows if c != d or a.tolist() != b), None)
 
 
 def round_trip(
@@ -259,6 +302,7 @@ def round_trip(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, library = loaded(shared.value, check)
+        gc.disable()  # nothing here is cyclic, and the collector would walk the memo again and again
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = [model.encode(t) for t in texts]
@@ -269,6 +313,7 @@ def round_trip(
                 [batch.column(0), pa.array([x.size for x in ids], pa.int64()),
                  pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(decoded, pa.string())],
                 ["doc_id", "n_tokens", "ids", "decoded"])
+        gc.enable()
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
