@@ -12,6 +12,7 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_WINDOWS = 1_000_000  # some 100 bytes each with ten short words: 100 MB in an executor
 BROADCAST_BYTES = 64 << 20
+BLOCK = 128  # words of a text whose windows are made together
 MARK = -1  # window length of the row that stands for the document itself
 
 
@@ -50,35 +51,49 @@ def hits(docs: DataFrame, windows: DataFrame, keys: list[str], text: str = "text
         F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.array_join("words", " "))), F.lit(0)), F.collect_set("length")
     ).head()
     small = n_windows <= BROADCAST_WINDOWS and n_bytes <= BROADCAST_BYTES
-    own = F.struct(F.lit(0).alias("position"), F.lit(MARK).alias("length"), F.lit(0).cast("long").alias("hash"))
+    widest = max(lengths, default=1)
+    rows = docs.select(*keys, words(F.col(text)).alias("w"))
+    # A window's words travel beside its hash, so a text is cut into blocks first: whole texts
+    # beside each of their windows would be quadratic.
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(BLOCK))
+    blocks = F.transform(starts, lambda i: F.struct(i.alias("offset"), F.slice("w", i + 1, BLOCK + widest - 1).alias("w")))
+    rows = rows.select(*keys, F.size("w").cast("long").alias("n_words"), F.explode(blocks).alias("b"))
+    rows = rows.select(*keys, "n_words", "b.offset", "b.w")
+    none = F.array().cast("array<struct<position:int,length:int,hash:bigint>>")
+    own = F.array(F.struct(F.lit(0).alias("position"), F.lit(MARK).alias("length"), F.lit(0).cast("long").alias("hash")))
 
     def scan(length: int) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size("w") - length, F.lit(0)))
-        none = F.array().cast("array<struct<position:int,length:int,hash:bigint>>")
-        windows_ = F.transform(starts, lambda i: F.struct(
+        places = F.sequence(F.lit(0), F.greatest(F.least(F.size("w") - length, F.lit(BLOCK - 1)), F.lit(0)))
+        windows_ = F.transform(places, lambda i: F.struct(
             i.alias("position"), F.lit(length).alias("length"), F.xxhash64(F.slice("w", i + 1, length)).alias("hash")
         ))
         return F.when(F.size("w") >= length, windows_).otherwise(none)
 
-    scans = [F.array(own), *map(scan, sorted(lengths))]  # at most as many as a window has words
-    rows = docs.select(*keys, words(F.col(text)).alias("w"))
-    rows = rows.select(*keys, "w", F.size("w").cast("long").alias("n_words"), F.explode(F.concat(*scans)).alias("s"))
-    rows = rows.select(*keys, "n_words", "s.*", "w")
+    scans = [F.when(F.col("offset") == 0, own).otherwise(none) if small else none]
+    scans += map(scan, sorted(lengths))  # at most as many as a window has words
+    rows = rows.select(*keys, "n_words", "offset", "w", F.explode(F.concat(*scans)).alias("s"))
+    found = F.slice("w", F.col("s.position") + 1, F.greatest("s.length", F.lit(0)))
+    if not small:  # only the window goes through the shuffle
+        rows = rows.withColumn("w", found)
+    position = (F.col("offset") + F.col("s.position")).alias("position")
+    rows = rows.select(*keys, "n_words", position, "s.length", "s.hash", "w", F.col("s.position").alias("place"))
     itself = docs.sparkSession.range(1).select(
         F.lit(0).cast("long").alias("hash"), F.lit(MARK).alias("length"),
         F.array().cast("array<string>").alias("words"), F.array().cast("array<string>").alias("items"),
     )
-    known = itself.unionByName(windows).select("hash", "words", "items")
-    if not small:  # carry the window instead of the whole text through the shuffle
-        rows = rows.withColumn("w", F.slice("w", F.col("position") + 1, F.greatest("length", F.lit(0))))
-    found = F.slice("w", F.col("position") + 1, F.greatest("length", F.lit(0))) if small else F.col("w")
+    known = (itself.unionByName(windows) if small else windows).select("hash", "words", "items")
+    found = F.slice("w", F.col("place") + 1, F.greatest("length", F.lit(0))) if small else F.col("w")
     # Written as two comparisons, the check is made for rows whose hash was found; an equality
     # would become part of the join key and be computed for every window of every text.
     same = (found >= F.col("words")) & (found <= F.col("words"))
-    return (
-        rows.join(F.broadcast(known) if small else known, "hash").where(same)
-        .select(*keys, "n_words", "position", "length", "items")
-    )
+    met = rows.join(F.broadcast(known) if small else known, "hash").where(same)
+    met = met.select(*keys, "n_words", "position", "length", "items")
+    if small:
+        return met
+    # One shuffled key for all documents would be hot: here they stand for themselves.
+    own = docs.select(*keys, F.size(words(F.col(text))).cast("long").alias("n_words"))
+    return met.unionByName(own.select(
+        "*", F.lit(0).alias("position"), F.lit(MARK).alias("length"), F.array().cast("array<string>").alias("items")))
 
 
 def covered(spans: Column) -> Column:

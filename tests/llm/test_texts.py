@@ -70,6 +70,23 @@ def test_documents_and_spans_are_removed(spark, contaminated):
     assert cut[102] == "x" and cut[100] is None and cut[101] == ""
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_windows_across_the_blocks_of_a_long_text(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    block, text = decontaminate.BLOCK, [f"w{i}" for i in range(5 * decontaminate.BLOCK + 3)]
+    starts = [0, block - 9, block - 1, block, 2 * block - 5, 3 * block + 1, len(text) - 10]
+    items = [(i, " ".join(text[s : s + 10])) for i, s in enumerate(starts)] + [(90, f"w{block - 1} w{block}"), (91, "w3 w5")]
+    rows = [(1, " ".join(text)), (2, " ".join(text[: block + 1])), (3, ""), (4, None)]
+    got = decontaminate.report(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string"), 10)
+    got = {r["doc_id"]: r for r in got.collect()}
+    spans = sorted({(s, s + 10) for s in starts} | {(block - 1, block + 1)})
+    assert [tuple(s) for s in got[1]["spans"]] == spans
+    assert got[1]["n_words"] == len(text) and got[1]["n_hit"] == len({p for a, b in spans for p in range(a, b)})
+    assert [tuple(s) for s in got[2]["spans"]] == [(0, 10), (block - 9, block + 1), (block - 1, block + 1)]
+    assert got[3]["n_words"] == got[4]["n_words"] == 0 and not got[3]["spans"]
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     bench = spark.createDataFrame([], "item_id long, text string")
