@@ -205,11 +205,11 @@ r as (select source, case when size > 0
 c as (select source, rate, 0 k, -rate lg, exp(-rate) cdf from r where rate > 0
   union all select source, rate, k + 1, lg + ln(rate / (k + 1)), cdf + exp(lg + ln(rate / (k + 1)))
   from c where k + 1 <= ceil(rate + 12 * sqrt(rate) + 30)),
-u as (select *, (('0x' || substr(md5('42|' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5)
-  / 4503599627370496.0 u from documents),
-n as (select u.doc_id, u.source, c.rate, count(*) n
-  from u join c on u.source = c.source and c.cdf < u.u group by all)
-select d.*, n.rate, cast(unnest(range(n.n)) as int) copy from documents d join n using (doc_id)
+t as (select source, any_value(rate) rate, list(cdf) cdfs from c group by source),
+u as (select *, (('0x' || substr(md5('42|' || coalesce(doc_id::varchar, 'text|' || coalesce(sha256(text), ''))), 1, 13))
+  ::bigint::double + 0.5) / 4503599627370496.0 u from documents)
+select u.* exclude (u), t.rate, unnest(range(len(list_filter(t.cdfs, lambda x: x < u.u)))) as copy
+from u join t on u.source is not distinct from t.source
 """
 
 QUERIES: dict[str, Query] = {

@@ -56,6 +56,68 @@ def test_rows_without_an_id_are_drawn_on_their_own(spark):
     assert len({r["shuffle_key"] for r in got}) == len(got)
 
 
+def test_a_rare_source_in_a_million_rows(spark):
+    rare = F.when(F.col("id") == 5, "rare").otherwise("common")
+    docs = spark.range(1_000_000, numPartitions=8).select(F.col("id").alias("doc_id"), F.lit("x" * 10).alias("text"), rare.alias("source"))
+    got = {r["source"]: r for r in mixing.mix(docs).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("copy").alias("copies"), F.max("copy").alias("last")).collect()}
+    assert abs(got["rare"]["n"] - 500_000) < 5000 and got["rare"]["copies"] == got["rare"]["n"] == got["rare"]["last"] + 1
+    assert abs(got["common"]["n"] - 500_000) < 5000
+
+
+def test_terms_around_a_large_rate_add_up(spark):
+    rates = spark.createDataFrame([("a", 1500.0), ("b", 40_000.5), (None, 1e9)], "source string, rate double")
+    rows = {r["rate"]: r for r in mixing.cells(rates).collect()}
+    for rate in (1500.0, 40_000.5):
+        r = rows[rate]
+        ks = range(r["first"], r["first"] + mixing.CELLS * r["width"])
+        exact = np.cumsum([math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in ks])[r["width"] - 1 :: r["width"]]
+        assert np.abs(np.array(r["cells"]) - exact).max() < 1e-9
+    assert all(abs(r["mass"] - 1) < 1e-9 for r in rows.values()) and len(rows) == 3
+
+
+def test_counts_of_very_large_rates(spark):
+    docs = table(spark, SF, "documents")
+    rows, rate, n, large = mixing.counted(docs, total=1e15)
+    z = (F.col(n) - F.col(rate)) / F.sqrt(F.col(rate))
+    got = rows.agg(F.count(F.lit(1)).alias("rows"), F.avg(z).alias("mean"), F.stddev(z).alias("apart"), F.sum(n).alias("n"), F.sum(rate).alias("r")).first()
+    assert large and got["rows"] == docs.count()
+    assert abs(got["mean"]) < 0.25 and abs(got["apart"] - 1) < 0.2 and abs(got["n"] / got["r"] - 1) < 1e-5
+    with pytest.raises(ValueError):
+        mixing.counted(docs, total=1e20)
+
+
+@pytest.mark.parametrize("rate", [900.0, 1100.0, 30_000.0])
+def test_counts_at_the_change_of_method_invert_the_same_distribution(spark, rate):
+    sums = np.cumsum([math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(int(rate + 12 * rate**0.5))])
+    docs = spark.createDataFrame([(i, "x", "s", "") for i in range(300)], DOCS)
+    rows, _, n, _ = mixing.counted(docs, total=300 * rate)
+    u = mixing.uniform(F.lit(42), F.col("doc_id").cast("string"))
+    for r in rows.select(F.col(n).alias("n"), u.alias("u")).collect():
+        assert r["n"] == int((sums < r["u"]).sum())
+
+
+def test_blocks_of_copies_hold_every_number_once(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 7)
+    rows = spark.createDataFrame([(1, 0, [1]), (2, 7, [1]), (3, 8, [1]), (4, 49, None), (5, 50, [1]), (6, 700, [1]), (6, 700, [1])],
+                                 "id long, n long, tags array<int>")
+    got = Counter((r["id"], r["copy"]) for r in mixing.repeated(rows, "n", "copy", True).collect())
+    expected = Counter((i, c) for i, n in ((2, 7), (3, 8), (4, 49), (5, 50), (6, 700), (6, 700)) for c in range(n))
+    assert got == expected
+
+
+def test_sql_of_mixing_holds_for_null_and_repeated_ids(spark, tmp_path):
+    from check_oracle import compare, connect
+
+    rows = [(i % 40 if i % 3 else None, f"text {i % 50} é" if i % 7 else None, ["a", "b", None, "empty"][i % 4] if i % 7 else "empty")
+            for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    connection = connect(SF)
+    connection.execute(f"create or replace view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    good, note = compare(spark, connection, "op10_mixing", QUERIES["op10_mixing"].run, QUERIES["op10_mixing"].sql, str(tmp_path))
+    assert good, note
+
+
 def test_columns_named_like_helper_columns_keep_their_values(spark):
     names = ["_id", "_text", "_spans", "_hit", "_kept", "__kept", "_source", "_rate", "_cdf", "_u", "_COUNT"]
     rows = [(1, "a b c d", "s"), (2, "k l m n o", "s"), (3, "k l m n o", "s")]
