@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmur.functions.ordering import top_rows
+from murmur.functions.ordering import number_rows, top_rows
 from murmur.functions.text import grams, prefixes, query_words, search_form, strip_spaces
 from murmur.operators.joins import broadcast_if_small
 from murmur.operators.ranking import bullet_line, more_line
@@ -166,18 +166,22 @@ def search(questions: DataFrame, df: DataFrame) -> Search:
 def _hits(found: Search, shown: int) -> DataFrame:
     """(question_id, hits, rank, _ord) of the ``shown`` most severe texts of each question.
 
-    The sets a text answers are united within the row of that text and counted in its task. The
-    first texts of a set are among the first of its words, so no set-text pairs are ranked.
+    The texts are numbered, and each word gets one bitmap of fixed size (4 KB) for every block of
+    32,768 texts it occurs in. The texts of a set are the bitmaps of its words, united before
+    the shuffle as well, so a word of many texts and many questions costs bits, never
+    text-question pairs or lists of either. The first texts of a set are among the first of its words.
     """
     each = found.texts.select(ORD, "_weight", F.explode("_codes").alias("_code"))
-    lists = found.words.groupBy("_code").agg(F.collect_list("_set").alias("_sets"))
-    united = each.join(broadcast_if_small(cut_lineage(lists)), "_code").groupBy(ORD).agg(
-        F.array_distinct(F.flatten(F.collect_list("_sets"))).alias("_sets")
-    )
-    counts = united.select(F.explode("_sets").alias("_set")).groupBy("_set").agg(F.count(F.lit(1)).alias("hits"))
+    numbers = number_rows(found.texts.select(ORD), "_number")
+    blocks = numbers.select(
+        ORD, F.bitmap_bucket_number("_number").alias("_block"), F.bitmap_bit_position("_number").alias("_bit"))
+    of_block = each.join(blocks, ORD).groupBy("_code", "_block").agg(F.bitmap_construct_agg("_bit").alias("_texts"))
+    words = broadcast_if_small(found.words)
+    united = of_block.join(words, "_code").groupBy("_set", "_block").agg(F.bitmap_or_agg("_texts").alias("_texts"))
+    counts = united.groupBy("_set").agg(F.sum(F.bitmap_count("_texts")).alias("hits"))
     order = [F.desc("_weight"), F.asc(ORD)]
     of_word = top_rows(each, ["_code"], order, shown, "_rank").drop("_rank")
-    of_set = found.words.join(of_word, "_code").select("_set", "_weight", ORD).distinct()
+    of_set = of_word.join(words, "_code").select("_set", "_weight", ORD).distinct()
     first = top_rows(of_set, ["_set"], order, shown, "rank")
     return found.sets.join(first.join(counts, "_set"), "_set").select("question_id", "hits", "rank", ORD)
 
