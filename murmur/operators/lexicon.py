@@ -18,7 +18,8 @@ from murmur.schema import ValidationError
 
 GROUPS = ["negative", "positive", "neutral", "contrast", "both_ways", "high", "low", "mild", "stop"]
 TABLE_SCHEMA = "group string, label string, term string, priority int, action string"
-MAX_TERMS = 20_000
+MAX_TERMS = 100_000
+MAX_BYTES = 16 << 20  # of all terms, as they become part of the plan
 
 # Words that never become keywords, and the label when no category term occurs.
 KEYWORD_STOP_WORDS = (
@@ -49,6 +50,8 @@ class Lexicon:
         rows = table.select("group", "label", "term", "priority", "action").limit(MAX_TERMS + 1).collect()
         if len(rows) > MAX_TERMS:
             raise ValidationError(f"a lexicon may hold {MAX_TERMS} terms at most")
+        if sum(len((r["term"] or "").encode()) for r in rows) > MAX_BYTES:
+            raise ValidationError(f"the terms of a lexicon may take {MAX_BYTES} bytes at most")
         unknown = {r["group"] for r in rows} - set(GROUPS) - {"category"}
         if unknown:
             raise ValidationError(f"unknown lexicon group(s): {sorted(map(str, unknown))}")

@@ -66,3 +66,49 @@ def test_analysis_needs_no_python_worker_and_no_shuffle(spark):
 def test_keywords_flatten(spark):
     df = spark.createDataFrame([("noisy lobby and noisy stairs",)], "feedback string")
     assert flatten_keywords(classify(df, SAMPLE)).first()["keywords"] == "noisy, lobby, stairs"
+
+
+def test_looked_up_terms_mean_the_same_as_terms_sought_one_by_one(spark, monkeypatch):
+    import dataclasses
+    import random
+
+    from murmur.operators import classify as c
+    from murmur.operators.lexicon import SAMPLE
+
+    rng = random.Random(7)
+    own = ["ab", "a b", "of the", " in ", "@", "", "x", "ab", "über", "日本語の本", "a  b", "no good at", "abcabc", "  "]
+    made = ["".join(rng.choice("abc ") for _ in range(rng.randrange(1, 9))) for _ in range(120)]
+    lexicon = dataclasses.replace(
+        SAMPLE, negative=SAMPLE.negative + own + made[::3], positive=SAMPLE.positive + made[1::3], high=SAMPLE.high + made[2::3] + own)
+    texts = ["", None, " ", "ab", "Of  the\tcab", "ÜBER 日本語の本", "x@y", "no good at all", "abc" * 40, "a b " * 30]
+    texts += ["".join(rng.choice("abc  \n.") for _ in range(rng.randrange(120))) for _ in range(150)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_ord long, feedback string")
+
+    def rows():
+        counted = c.with_hits(c.with_classifier_text(df), lexicon).select("_ord", "_neg", "_pos", "_neu", "_category_hits").collect()
+        return counted, c.classify(df, lexicon).collect()
+
+    assert c.Matcher(lexicon).looked_up["negative"] == []
+    expected = rows()
+    assert sum(r["_neg"] > 5 for r in expected[0]) > 50
+    for few in (150, 10, 0):  # terms without a whole stem one by one, then looked up as well
+        monkeypatch.setattr(c, "FEW_TERMS", few)
+        assert any(c.Matcher(lexicon).looked_up.values())
+        assert rows() == expected
+
+
+def test_fifty_thousand_terms(spark):
+    import time
+
+    from murmur.operators import classify as c
+    from murmur.operators.lexicon import Lexicon
+
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{i:05}" for i in range(50_000)]
+    table = spark.createDataFrame([("negative" if i % 2 else "positive", None, w, None, None) for i, w in enumerate(words)],
+                                  "group string, label string, term string, priority int, action string")
+    lexicon = Lexicon.from_table(table)
+    df = spark.createDataFrame([(i, " ".join(words[i : i + 3])) for i in range(0, 50_000, 1000)], "_ord long, feedback string")
+    start = time.perf_counter()
+    got = c.with_hits(c.with_classifier_text(df), lexicon).select("_ord", "_neg", "_pos").collect()
+    assert [(r["_neg"], r["_pos"]) for r in got] == [(1, 2)] * 50
+    assert time.perf_counter() - start < 60
