@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.functions import text as tx
-from murmur.operators import charts, classify, cleaning, enrich, filters, quality, questions, ranking
+from murmur.operators import charts, classify, cleaning, context, enrich, filters, quality, questions, ranking
 from murmur.operators import replies, summaries
 from murmur.operators.lexicon import SAMPLE
 from murmur.operators.priority import priority_problems
@@ -1010,6 +1010,17 @@ def _(spark, sf):
     return ranking.context_lines(b.events_feedback(spark, sf), CONTEXT_QUESTION)
 
 
+@register("context_batch", with_bindings("e q", f"""
+    , asked as (select question_id, {_words_sql('question')} words from q),
+    texts as (select *, {_search_sql('feedback')} || ' ' || {_search_sql('location')} _search, {_WEIGHT} weight from e),
+    scored as (select question_id, _ord, case when (select count(*) from e) > 150
+        then len(list_filter(words, lambda w: contains(_search, w))) * 10 + weight else 0 end::bigint score from asked, texts),
+    best as (select *, row_number() over (partition by question_id order by score desc, _ord)::int rank from scored)
+    select question_id, rank, _ord, score, {_LINE} line from best join e using (_ord) where rank <= 150"""))
+def _(spark, sf):
+    return context.context_batch(b.questions(spark, sf), b.events_feedback(spark, sf))
+
+
 # --- quality -----------------------------------------------------------------------------------
 
 _DOMAINS = {"category": [*b.EVENT_TYPES, "refund"], "sentiment": SENTIMENTS, "severity": SEVERITIES}

@@ -181,3 +181,31 @@ def test_texts_are_counted_across_blocks(spark, feedback):
     asked = spark.createDataFrame([(1, "alpha"), (2, "thing alpha"), (3, "other alpha"), (4, "nowhere")], "question_id long, question string")
     got = {r["question_id"]: (r["hits"], r["_ord"]) for r in q.keyword_hits(asked, df, 1).collect()}
     assert got == {1: (n // 2, 0), 2: (n, 0), 3: (n, 0)}
+
+
+def test_context_of_a_table_of_questions_is_that_of_each_question(spark, feedback, monkeypatch):
+    import random
+
+    from murmur.operators import context
+
+    rng = random.Random(3)
+    words = ["heating", "broken", "window", "library", "slow", "printer", "a-b", "cafeteria", "é"]
+    rows = [{"feedback": rng.choice([None, ""]) if i % 29 == 0 else " ".join(rng.choice(words) for _ in range(rng.randrange(1, 6))),
+             "location": rng.choice(["Hall", "Printer room", None]), "severity": rng.choice(["Low", "Medium", "High"])} for i in range(400)]
+    asked = {1: "Is the heating broken?", 2: "printer printer window", 3: "", 4: "nothing here", 5: "slowly library cafeteria heating",
+             6: None, 7: "broken broken broken slow"}
+    questions = spark.createDataFrame([*asked.items(), (1, asked[1])][:-1], "question_id long, question string")
+    for df in (feedback(rows), feedback(rows, analyzed=False).drop("severity")):
+        expected = {q: [(x["_ord"], x["score"]) for x in r.relevance_topk(df, text or "", k=20).collect()] for q, text in asked.items()}
+        for size in (4096, 3):
+            monkeypatch.setattr(context, "QUESTIONS_AT_ONCE", size)
+            got = {q: [] for q in asked}
+            for x in sorted(context.relevance_batch(questions, df, 20).collect(), key=lambda x: x["rank"]):
+                got[x["question_id"]].append((x["_ord"], x["score"]))
+            assert got == expected
+    df = feedback(rows[:15])
+    got = context.context_batch(questions, df, 20).collect()
+    lines = {x["_ord"]: x["line"] for x in df.select("_ord", r.record_line(df).alias("line")).collect()}
+    assert len(got) == 7 * 15 and all(x["line"] == lines[x["_ord"]] and x["score"] == 0 and x["rank"] == x["_ord"] + 1 for x in got)
+    assert context.context_batch(questions, df.limit(0), 20).collect() == []
+    assert context.relevance_batch(questions.limit(0), feedback(rows), 20).collect() == []
