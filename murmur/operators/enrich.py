@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions.text import strip_spaces, text_key
 from murmur.operators.classify import classify, classify_as_result
+from murmur.operators.joins import broadcast_if_small
 from murmur.operators.lexicon import Lexicon
 from murmur.operators.replies import numbered_entry, parse_numbered, parse_replies, with_fallback
 from murmur.schema import ORD, RESULT_FIELDS
@@ -23,6 +24,8 @@ Scorer = Callable[[list[str]], list[str]]
 BatchScorer = Callable[[list[str]], str]
 
 BATCH_SIZE = 10
+BATCH_BYTES = 8 << 20  # of texts in one call; a longer text goes alone
+ARROW_BYTES = 16 << 20  # of a batch that Spark hands to a worker
 
 
 @dataclass
@@ -31,13 +34,30 @@ class Enriched:
     fresh: DataFrame  # (cache_key, result) of the texts analysed now, for ``save_cache``
 
 
+def batches(frame: pd.DataFrame, rows: int, size: int = BATCH_BYTES) -> Iterator[pd.DataFrame]:
+    """The frame in order, cut by number of rows and by bytes of text."""
+    start = used = 0
+    for i, text in enumerate(frame["feedback"]):
+        own = len(text.encode()) if text else 0
+        if i > start and (i - start >= rows or used + own > size):
+            yield frame.iloc[start:i]
+            start, used = i, 0
+        used += own
+    if start < len(frame):
+        yield frame.iloc[start:]
+
+
+def small_arrow_batches(df: DataFrame) -> None:
+    """Have Spark cut what it hands to Python workers by bytes; by rows alone texts could be any size."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def _ask(scorer: Scorer, batch_size: int):
     """Feed a partition's texts to the scorer in small batches."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                part = frame.iloc[start:start + batch_size]
+            for part in batches(frame, batch_size):
                 texts = part["feedback"].tolist()
                 try:
                     replies, error = list(scorer(texts)), None
@@ -56,8 +76,7 @@ def _ask_numbered(scorer: BatchScorer, batch_size: int):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                part = frame.iloc[start:start + batch_size]
+            for part in batches(frame, batch_size):
                 try:
                     reply, error = scorer(part["feedback"].tolist()), None
                 except Exception as problem:
@@ -77,6 +96,7 @@ def score_numbered(
     ``batch_size`` times, so entries are picked without a join.
     """
     schema = "cache_key string, feedback string, item_no long, reply string, error string"
+    small_arrow_batches(texts)
     given = texts.select("cache_key", "feedback")
     blank = strip_spaces(F.coalesce("feedback", F.lit(""))) == ""
     first = cut_lineage(given.where(~blank).mapInPandas(_ask_numbered(scorer, batch_size), schema))
@@ -93,10 +113,23 @@ def score(
 ) -> DataFrame:
     """Results for a table of distinct texts (cache_key, feedback)."""
     schema = "cache_key string, feedback string, reply string, error string"
+    small_arrow_batches(texts)
     replies = texts.select("cache_key", "feedback").mapInPandas(_ask(scorer, batch_size), schema)
     return parse_replies(replies, lexicon).select("cache_key", "result")
 
 
+def first_texts(keyed: DataFrame, unknown: DataFrame) -> DataFrame:
+    """(cache_key, feedback) once for each key of ``unknown``, from the key's first row in source order.
+
+    Keys and row numbers are aggregated, texts are not: they are picked up by the numbers of the
+    rows that were chosen, which are broadcast if they are few, or cut the rows by Spark's runtime filter.
+    """
+    if ORD not in unknown.columns:
+        return unknown.groupBy("cache_key").agg(F.first("feedback").alias("feedback"))
+    chosen = cut_lineage(unknown.groupBy("cache_key").agg(F.min(ORD).alias(ORD)).select(ORD))
+    return keyed.select(ORD, "cache_key", "feedback").join(broadcast_if_small(chosen), ORD, "left_semi").drop(ORD)
+
+
 def enrich(
     df: DataFrame,
     lexicon: Lexicon,
@@ -107,9 +140,9 @@ def enrich(
 ) -> Enriched:
     """Analyse every text of ``df`` that the cache does not know.
 
-    Without a scorer the rules rate each row where it lies. For a scorer equal texts meet in one
-    partial aggregation before the shuffle, so a text that fills a third of the table is sent once
-    per task. On the way back to the rows Spark's adaptive join splits such texts. The scorer's
+    Without a scorer the rules rate each row where it lies. For a scorer the keys of equal texts meet in one
+    partial aggregation before the shuffle, so a text that fills a third of the table costs one key
+    per task, and only the first row's text is moved. On the way back to the rows Spark's adaptive join splits such texts. The scorer's
     output is written to the checkpoint folder: it is paid for once although it is used twice. Of
     several cached results for one key the smallest counts.
     """
@@ -118,7 +151,7 @@ def enrich(
     )
     known = None if cache is None else cache.groupBy("cache_key").agg(F.min("result").alias("result"))
     unknown = keyed if known is None else keyed.join(known, "cache_key", "left_anti")
-    pending = unknown.groupBy("cache_key").agg(F.first("feedback").alias("feedback"))
+    pending = first_texts(keyed, unknown)
     if scorer is None and batch_scorer is None:
         fresh = classify_as_result(pending, lexicon).select("cache_key", "result")
         if known is None:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from murmur.functions.ordering import with_ordinal
@@ -53,6 +57,52 @@ def load_feedback(
     )
 
 
+@dataclass
+class Loaded:
+    rows: DataFrame  # as ``load_feedback`` gives them
+    rejected: DataFrame  # (path, record, cells): lines that do not have the header's number of cells
+    n_rejected: int
+
+
+def load_checked(
+    spark: SparkSession, path: str, quarantine: str, null_tokens: list[str] = NULL_TOKENS, multi_line: bool = False
+) -> Loaded:
+    """Read a CSV table and set aside the lines that do not fit its header.
+
+    A line with too few or too many cells, as bad quotes make them, would be padded or cut silently. Here
+    such lines are written as they stand to the Parquet table ``quarantine`` (appended), with the file they are
+    from, and counted. The other rows keep their order.
+    """
+    names = load_feedback(spark, path, multi_line=multi_line, null_tokens=null_tokens).drop(ORD).columns
+    (bad,) = _unused(names, "_corrupt_record")
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, bad]])
+    read = (
+        spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("quote", '"')
+        .option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad)
+        .option("columnPruning", False)  # a parser that skips unused cells does not count them
+        .csv(path)
+    )
+    numbered = with_ordinal(read)
+    target = f"{quarantine.rstrip('/')}/load={uuid.uuid4().hex}"
+    faulty = read.where(F.col(f"`{bad}`").isNotNull())
+    faulty.select(
+        F.col("_metadata.file_path").alias("path"), F.col(f"`{bad}`").alias("record"), F.array(*[F.col(f"`{n}`") for n in names]).alias("cells"),
+    ).write.parquet(target)
+    rejected = spark.read.schema("path string, record string, cells array<string>").parquet(target)
+    cells = [F.when(~F.col(f"`{c}`").isin(null_tokens), F.col(f"`{c}`")).alias(c) for c in names]
+    # Spark refuses a query on the faults alone, such as a count; the second condition always holds.
+    looked_at = F.coalesce(F.length(F.col(f"`{names[0]}`")) >= 0, F.lit(True))
+    rows = numbered.where(F.col(f"`{bad}`").isNull() & looked_at).select(*cells, ORD)
+    return Loaded(rows, rejected, rejected.count())
+
+
+def _unused(taken: list[str], name: str) -> list[str]:
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return [name]
+
+
 def validate_columns(df: DataFrame) -> DataFrame:
     """Reject a table without the required columns; looks at the schema only."""
     missing = [c for c in REQUIRED_COLUMNS if c not in df.columns]
@@ -100,8 +150,14 @@ def file_slug(name: str) -> str:
     return name.lower().replace(" ", "_").replace("(", "").replace(")", "")
 
 
-def export_csv(df: DataFrame, folder: str, name: str) -> str:
-    """Write a dataset as a folder of CSV parts, each with a header; returns its path."""
+def export_csv(df: DataFrame, folder: str, name: str, order: str = ORD) -> str:
+    """Write a dataset as a folder of CSV parts, each with a header; returns its path.
+
+    A table with its row order (``order``) is cut into ranges of it, sorted within: read by
+    name, the parts give the rows in order, and no task holds more than its range.
+    """
+    if order in df.columns:
+        df = df.repartitionByRange(order).sortWithinPartitions(order)
     target = f"{folder.rstrip('/')}/{file_slug(name)}"
     flat = [
         F.array_join(F.col(f"`{f.name}`"), ", ").alias(f.name)

@@ -106,3 +106,51 @@ def test_scorer_sees_each_text_once_in_small_batches(feedback, tmp_path):
     calls = [json.loads(p.read_text()) for p in log.iterdir()]
     assert sorted(t for call in calls for t in call) == sorted(set(texts))
     assert max(map(len, calls)) <= 10
+
+
+def test_texts_for_a_scorer_are_picked_by_row_number(spark, feedback, monkeypatch):
+    from murmur.operators import enrich as e
+    from murmur.operators.lexicon import SAMPLE
+
+    df = feedback([{"feedback": t} for t in ["same"] * 30 + ["other", None, "", "same"]], analyzed=False)
+    keyed = df.withColumn("cache_key", e.text_key(df["feedback"])).fillna("", ["feedback"])
+    pending = e.first_texts(keyed, keyed)
+    assert sorted(r["feedback"] for r in pending.collect()) == ["", "other", "same"]
+    plan = pending._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Aggregate" not in plan.split("Scan")[0].replace("HashAggregate", "")
+    rows = e.enrich(df, SAMPLE, scorer=lambda texts: ["not json"] * len(texts)).rows
+    assert rows.count() == 34
+
+
+def test_batches_are_cut_by_rows_and_bytes():
+    import pandas as pd
+
+    from murmur.operators.enrich import batches
+
+    frame = pd.DataFrame({"feedback": ["a" * n for n in (5, 5, 20, 1, 1, 1, 1, 1)] + [None, "é" * 5]})
+    got = [part["feedback"].map(lambda t: len(t.encode()) if t else 0).tolist() for part in batches(frame, 3, 10)]
+    assert got == [[5, 5], [20], [1, 1, 1], [1, 1, 0], [10]]
+    assert list(batches(frame.iloc[:0], 3)) == []
+
+
+def test_long_texts_reach_a_scorer_in_bounded_batches(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from murmur.operators import enrich as e
+    from murmur.operators.lexicon import SAMPLE
+
+    path = str(tmp_path / "long")
+    spark.range(0, 200, 1, 1).select(
+        F.col("id").cast("string").alias("cache_key"), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" word ")), 100_000).alias("feedback"),
+    ).write.parquet(path)
+
+    seen = str(tmp_path / "seen")
+
+    def scorer(texts):
+        with open(seen, "a") as file:
+            file.write(f"{len(texts)} {sum(map(len, texts))}\n")
+        return ["{}"] * len(texts)
+
+    assert e.score(spark.read.parquet(path), SAMPLE, scorer, 1000).count() == 200
+    calls = [tuple(map(int, line.split())) for line in open(seen)]
+    assert sum(n for n, _ in calls) == 200 and max(size for _, size in calls) <= e.BATCH_BYTES

@@ -98,3 +98,70 @@ def test_append_skips_known_texts_and_numbers_on(spark):
     assert rows == [("FB0003", "b"), ("FB0009", "new"), ("FB0007", " known "), ("FB0008", "new"), ("FB0010", " known ")]
     again = append_new(existing, incoming.limit(0))
     assert again.count() == 2
+
+
+def test_lines_that_do_not_fit_the_header_are_set_aside(spark, tmp_path):
+    from murmur.sources.feedback import load_checked
+
+    lines = ["2026-06-01,FB1,Hall,fine,x", "2026-06-01,FB2,Hall", '2026-06-01,FB3,Hall,"a" b",c",y,z', "2026-06-01,FB4,nan,also fine,",
+             "2026-06-01,FB5,Hall,a,b,c,d", '2026-06-01,FB6,Hall,"quoted, fine",x']
+    path = write(tmp_path, HEAD + "\n".join(lines) + "\n")
+    loaded = load_checked(spark, path, str(tmp_path / "quarantine"))
+    rows = loaded.rows.orderBy("_ord").collect()
+    assert [r["feedback_id"] for r in rows] == ["FB1", "FB4", "FB6"]
+    assert rows[1]["location"] is None and rows[2]["feedback"] == "quoted, fine"
+    assert loaded.n_rejected == 3 and {r["record"] for r in loaded.rejected.collect()} == {lines[1], lines[2], lines[4]}
+    assert all(r["path"].endswith("in.csv") for r in loaded.rejected.collect())
+    again = load_checked(spark, path, str(tmp_path / "quarantine"))
+    assert again.n_rejected == 3 and spark.read.parquet(str(tmp_path / "quarantine")).count() == 6
+    clean = load_checked(spark, write(tmp_path, HEAD + lines[0] + "\n"), str(tmp_path / "q2"))
+    assert clean.n_rejected == 0 and clean.rejected.count() == 0 and clean.rows.count() == 1
+
+
+def test_exported_parts_read_by_name_keep_the_row_order(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    df = spark.range(5000).select(
+        F.col("id").alias("_ord"), F.concat(F.lit("t"), "id").alias("feedback"), F.col("id").alias("n")).orderBy(F.rand(1))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = export_csv(df, str(tmp_path), "Feedback (Full)")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    import pathlib
+
+    parts = sorted(pathlib.Path(path).glob("part-*.csv"))
+    numbers = [int(line.split(",")[0]) for part in parts for line in part.read_text().splitlines()[1:]]
+    assert numbers == list(range(5000)) and len(parts) > 1
+
+
+def test_a_damaged_cache_file_costs_its_results_only(spark, tmp_path):
+    import pathlib
+
+    from pyspark.sql import functions as F
+
+    from murmur.schema import RESULT_SCHEMA
+    from murmur.sources import cache as c
+
+    def results(first, last, mark):
+        fields = [F.lit(mark if f.dataType.typeName() == "string" and f.name != "analysis_error" else None).cast(f.dataType).alias(f.name)
+                  for f in RESULT_SCHEMA.fields]
+        return spark.range(first, last, 1, 1).select(F.sha1(F.col("id").cast("string")).alias("cache_key"), F.struct(*fields).alias("result"))
+
+    path = str(tmp_path / "cache")
+    assert c.load_cache(spark, path).collect() == [] and c.unreadable_files(spark, path) == 0
+    assert c.save_cache(results(0, 40, "b"), path) and c.save_cache(results(20, 60, "a"), path)
+    assert c.load_cache(spark, path).count() == 80 and c.unreadable_files(spark, path) == 0
+    files = sorted(pathlib.Path(path).rglob("part-*.parquet"))
+    victim = files[3]
+    lost = spark.read.parquet(str(victim)).count()
+    victim.write_bytes(victim.read_bytes()[: victim.stat().st_size // 2])
+    assert c.load_cache(spark, path).count() == 80 - lost and c.unreadable_files(spark, path) == 1
+    small = c.compact_cache(spark, path, str(tmp_path / "small"))
+    by_key = {r["cache_key"]: r["result"]["summary"] for r in small.collect()}
+    assert small.count() == len(by_key) == c.load_cache(spark, path).select("cache_key").distinct().count()
+    assert set(by_key.values()) == {"a", "b"}
+    keys = results(20, 21, "x").select("cache_key")
+    some = c.load_cache(spark, str(tmp_path / "small"), keys)
+    assert keys.first()[0] in {r["cache_key"] for r in some.collect()} and some.count() < small.count()
+    assert "PartitionFilters: [(isnull(key_prefix" in some._jdf.queryExecution().executedPlan().toString()
