@@ -15,9 +15,11 @@ from murmur.session import cut_lineage
 LARGEST_ID = (1 << 63) - (1 << 40)
 
 
-def new_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+def new_rows(existing: DataFrame, incoming: DataFrame, last: int | None = None) -> DataFrame:
     """Incoming rows whose text is not in ``existing`` yet, with ids following its largest one.
 
+    Who knows that largest number passes it as ``last``, and the stored ids are not read.
+
     Stored texts are compared stripped, incoming ones as they are, and incoming rows are not
     compared with each other. Texts meet as digests, and Spark's adaptive join splits a text that
     fills a large part of the incoming table. An id too large for 64 bits is an error. Which rows are new is decided once and kept as row
@@ -32,7 +34,7 @@ def new_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     keyed = incoming.select(ORD, digest.alias("_text"))
     fresh = keyed.join(known, "_text", "left_anti")
     numbers = number_rows(cut_lineage(fresh.select(ORD)), "_number")
-    number = F.col("_number") + F.lit(last_number(existing))
+    number = F.col("_number") + F.lit(last_number(existing) if last is None else last)
     return incoming.join(numbers, ORD).select(
         F.format_string("FB%04d", number).alias("feedback_id"),
         "date", "location", "feedback",
