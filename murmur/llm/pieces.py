@@ -18,7 +18,7 @@ from murmur.llm.common import bounded_batches
 
 SPACE = "▁"  # how a model writes a space
 MAX_BYTES = 64 << 20  # of a model that is broadcast
-MEMO_TEXTS, MEMO_CHARS = 600_000, 64  # some 120 MB in a worker
+MEMO_TEXTS, MEMO_CHARS = 800_000, 64  # some 160 MB in a worker
 FEW, NEVER = 32, float("inf")
 # Fixed values of the model format: field numbers and the numbers of piece types.
 PIECES, TRAINER, NORMALIZER, DENORMALIZER = 1, 2, 3, 5
@@ -52,14 +52,18 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Memo(dict):
-    """Results of a function for short texts, remembered up to a bound."""
+    """Results of a function for short texts, remembered up to a bound.
 
-    def __init__(self, function: Callable[[str], bytes]):
+    The function also says whether a result is worth it: what is put together from remembered
+    parts would only take the room of others.
+    """
+
+    def __init__(self, function: Callable[[str], tuple[bytes, bool]]):
         self.function = function
 
     def __missing__(self, text: str) -> bytes:
-        result = self.function(text)
-        if len(text) <= MEMO_CHARS:
+        result, whole = self.function(text)
+        if whole and len(text) <= MEMO_CHARS:
             if len(self) >= MEMO_TEXTS:
                 self.clear()
             self[text] = result
@@ -180,24 +184,24 @@ class Model:
                     heappush(agenda, (cost, first, left, joined))
         return [s for s in symbols if s is not None]
 
-    def merged(self, chunk: str) -> bytes:
+    def merged(self, chunk: str) -> tuple[bytes, bool]:
         """The packed ids of a stretch that no merge reaches out of."""
         symbols = self.merge(chunk)
         ids = list(map(self.ids.get, symbols))
         if None in ids:
             ids = [x for s, known in zip(symbols, ids, strict=True) for x in ([known] if known is not None else self._spelt(s))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return struct.pack(f"<{len(ids)}I", *ids), True
 
-    def word(self, word: str) -> bytes:
+    def word(self, word: str) -> tuple[bytes, bool]:
         """The packed ids of a word behind one space."""
         stem = word.rstrip(self.marks)
         if 0 < len(stem) < len(word) and word[len(stem) - 1 : len(stem) + 1] not in self.pairs:
             # No merge reaches from the stem to the marks behind it.
-            return self.words[stem] + self.inner[word[len(stem) :]]
+            return self.words[stem] + self.inner[word[len(stem) :]], False
         first, *rest = self.chunks(SPACE + word)
         if not rest:
             return self.merged(first)
-        return self.words[first[1:]] + b"".join(map(self.inner.__getitem__, rest))
+        return self.words[first[1:]] + b"".join(map(self.inner.__getitem__, rest)), False
 
     def _spelt(self, symbol: str) -> list[int]:
         """The ids of a symbol without a piece."""
