@@ -18,7 +18,7 @@ from murmur.llm.common import bounded_batches
 
 SPACE = "▁"  # how a model writes a space
 MAX_BYTES = 64 << 20  # of a model that is broadcast
-MEMO_TEXTS, MEMO_CHARS = 800_000, 64  # some 160 MB in a worker
+MEMO_TEXTS, MEMO_CHARS = 2_000_000, 64  # some 400 MB in a worker
 FEW, NEVER = 32, float("inf")
 # Fixed values of the model format: field numbers and the numbers of piece types.
 PIECES, TRAINER, NORMALIZER, DENORMALIZER = 1, 2, 3, 5
