@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 
 from murmur.llm.common import bounded_batches, stored
 
-# A chunk is white space and the word after it, so no token reaches over its end.
-_CHUNK = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
+# What Unicode calls white space, which is what ``\s`` of the pattern means.
+_SPACE = "\\t\\n\\v\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+# A chunk is white space and the word after it: no piece of the pattern goes on from a word into white
+# space, and none looks back, so a text's tokens are those of its chunks.
+_CHUNK = re.compile("[S]*[^S]+|[S]+".replace("S", _SPACE))
 # A fixed value: how byte-level vocabularies of this kind cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MEMO_WORDS, MEMO_CHARS = 300_000, 64

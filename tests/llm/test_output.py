@@ -167,6 +167,20 @@ def test_slots_are_a_keyed_permutation(n):
 TEXTS = [(1, "Hello  wörld\n\n 日本 it's"), (2, None), (3, ""), (4, " \t "), (None, "a b"), (1, "again"), (6, "word " * 700)]
 
 
+def test_chunks_have_the_tokens_of_the_whole_text():
+    """Blanks of all kinds, lone or in runs, before and after words, marks and apostrophes."""
+    encode = ENCODER()
+    rng = np.random.default_rng(5)
+    alphabet = list(" \t\n\v\f\r\x1c\x1f\x85\xa0\u1680\u2003\u2028\u202f\u3000\u200b \u00a0aZ\u00e9\u4e2d1\u00bd'.,!_") + ["'s", "'ll", " 's", "  "]
+    texts = ["\n  \xa0 \xa0  1's", "", " ", "\xa0", "a\xa0", "\xa0 a", "a \x1c b"]
+    texts += ["".join(rng.choice(alphabet, rng.integers(1, 25))) for _ in range(20_000)]
+    chunks = training_order.Chunks(encode)
+    for text in texts:
+        parts = training_order._CHUNK.findall(text)
+        assert "".join(parts) == text
+        assert b"".join(map(chunks.__getitem__, parts)) == np.array(encode(text), "<u2").tobytes(), repr(text)
+
+
 @pytest.fixture
 def shards(spark):
     docs = spark.createDataFrame([(*t, "s", "") for t in TEXTS], DOCS)
