@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -114,26 +115,47 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
         yield links(np.concatenate(rest))
 
 
-def near_links(prints: DataFrame, radius: int = 3, bucket_rows: int = 1024) -> DataFrame:
+def block_count(n: int, radius: int, bucket_rows: int = 1024) -> int:
+    """How many blocks make ``n`` fingerprints cheapest to compare.
+
+    With ``b`` blocks each row is in as many buckets as there are choices of ``b - radius`` blocks, and a
+    bucket is told by the bits of those blocks: more blocks mean more buckets a row, but smaller ones.
+    """
+    def compared(blocks: int) -> float:
+        bits = (64 // blocks) * (blocks - radius)
+        return math.comb(blocks, radius) * max(bucket_rows, n / 2**bits)
+
+    return min(range(radius + 1, min(64, 2 * radius + 2) + 1), key=compared)
+
+
+def near_links(prints: DataFrame, radius: int = 3, bucket_rows: int = 1024, blocks: int | None = None) -> DataFrame:
     """Links ``(a, b)`` that connect all distinct ``fp`` within ``radius`` bits of each other.
 
-    The 64 bits are cut into ``radius + 1`` blocks. Two fingerprints within the radius agree in
-    at least one block, so only rows with the same leading bits of a block meet; the number of
-    bits is chosen so that a bucket holds about ``bucket_rows``. Buckets far above that are cut
+    The 64 bits are cut into ``blocks``, more than ``radius``. Two fingerprints within the radius
+    differ in at most ``radius`` blocks, so they agree in all others, and for each choice of that
+    many blocks the rows with the same leading bits of them meet. The number of bits is chosen so
+    that a bucket holds about ``bucket_rows``, the number of blocks by ``block_count``: as few as
+    possible while their bits are enough, more beyond some 10**8 rows. Buckets far above that are cut
     into chunks, and each pair of chunks is compared on its own. A task returns a spanning
     forest of what it linked, never the pairs.
     """
     if not 0 <= radius < 64:
         raise ValueError("the radius must be between 0 and 63 bits")
-    blocks = radius + 1
-    width = 64 // blocks
     n = prints.count()
-    bits = min(width, max(0, math.ceil(math.log2(max(1, n / bucket_rows)))), 48)
-    buckets = [
-        F.lit(b).cast("long") * (1 << bits)
-        + F.shiftrightunsigned("fp", b * width).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-        for b in range(blocks)
-    ]
+    blocks = block_count(n, radius, bucket_rows) if blocks is None else blocks
+    if not radius < blocks <= 64:
+        raise ValueError("there must be more blocks than the radius, and 64 at most")
+    width = 64 // blocks
+    wanted = min(48, max(0, math.ceil(math.log2(max(1, n / bucket_rows)))))
+    buckets = []
+    for number, chosen in enumerate(combinations(range(blocks), blocks - radius)):
+        bucket, left = F.lit(number).cast("long"), wanted
+        for b in chosen:
+            bits = min(width, left)
+            bucket = bucket * (1 << bits) + F.shiftrightunsigned("fp", b * width).bitwiseAND(
+                F.lit((1 << bits) - 1).cast("long"))
+            left -= bits
+        buckets.append(bucket)
     rows = prints.select("fp", F.explode(F.array(*buckets)).alias("bucket"))
     dealt = dealt_pairs(rows, ["bucket"], F.col("fp"), 4 * bucket_rows, 2 * bucket_rows)
     other = F.sequence(F.lit(0), F.col("_chunks") - 1)

@@ -1,6 +1,7 @@
 """SimHash and embedding near-duplicates against brute force on small tables."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -90,6 +91,37 @@ def test_near_links_connect_what_brute_force_connects(spark, bucket_rows):
         assert (got[a] == got[b]) == (want[a] == want[b])
 
 
+@pytest.mark.parametrize(("radius", "blocks"), [(3, 4), (3, 5), (3, 6), (2, 5), (1, 4)])
+def test_blocks_and_choices_of_them_find_every_link(spark, radius, blocks):
+    """So many rows for a bucket of one that a bucket is told by bits of two blocks or more."""
+    rng = np.random.default_rng(radius * 10 + blocks)
+    fps = rng.integers(0, 2**64, 5000, np.uint64)
+    for i in range(1, 1000):  # near ones, some just outside of the radius
+        flips = rng.choice(64, int(rng.integers(1, radius + 3)), replace=False)
+        fps[i] = fps[rng.integers(0, i)] ^ np.uint64(sum(1 << int(b) for b in flips))
+    fps = np.unique(fps)
+    near = [np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= radius) + i + 1 for i in range(fps.size)]
+    want = joined(fps.size, [(i, int(j)) for i, js in enumerate(near) for j in js])
+    assert sum(map(len, near)) > 300
+    signed = fps.view(np.int64).tolist()
+    prints = spark.createDataFrame([(f,) for f in signed], "fp long")
+    found = simhash.near_links(prints, radius, 1, blocks)
+    roots = {r["node"]: r["root"] for r in components(found).collect()}
+    got = [roots.get(f, f) for f in signed]
+    first = {}
+    assert len({first.setdefault(w, g) for w, g in zip(want, got, strict=True)}) == len(set(got)) == len(set(want))
+    assert all(first[w] == g for w, g in zip(want, got, strict=True))
+
+
+def test_blocks_grow_with_the_rows():
+    counts = [simhash.block_count(n, 3) for n in (0, 10**6, 6 * 10**7, 10**9, 10**10, 10**12)]
+    assert counts[:3] == [4, 4, 4] and counts == sorted(counts) and counts[-1] == 6
+    assert simhash.block_count(0, 0) == 1 and simhash.block_count(10**6, 63) == 64
+    for n in (10**9, 10**11):  # comparisons of a row stay within some buckets of it
+        blocks = simhash.block_count(n, 3)
+        assert math.comb(blocks, 3) * max(1024, n / 2 ** (64 // blocks * (blocks - 3))) <= 20 * 1024
+
+
 def test_documents_against_brute_force(spark):
     rng = random.Random(7)
     rows = []
