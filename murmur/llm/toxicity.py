@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +12,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm.common import bounded_batches
+from murmur.llm.common import bounded_batches, unused
 
 BITS = 20  # size of the feature space: a dense weight table is 4 MB
 MEMO_WORDS = 200_000
+EPOCHS = 3  # times that each row is learnt from
 # Letters, digits and everything beyond ASCII make words; A-Z are lower-cased.
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -59,11 +61,11 @@ class Model:
         return table
 
 
-def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 2.0, beta: float = 1.0,
-        l1: float = 4.0, l2: float = 0.1, epochs: int = 3) -> Model:
+def fit(rows: Iterable[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 2.0, beta: float = 1.0,
+        l1: float = 4.0, l2: float = 0.1, epochs: int = EPOCHS) -> Model:
     """FTRL-proximal: each coordinate has its own learning rate, and L1 keeps small ones at zero.
 
-    The last coordinate is the bias, which is not held down by L1. No rows give a model
+    With one epoch ``rows`` may be a stream, of which only the row at hand is held. The last coordinate is the bias, which is not held down by L1. No rows give a model
     that scores everything 0.5.
     """
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
@@ -78,14 +80,13 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 2.0
             -(value - np.sign(value) * shrink[i]) / ((beta + np.sqrt(n[i])) / alpha + l2),
         )
 
-    for _ in range(epochs):
-        for active, label in rows:
-            i = np.append(active, bias)
-            w = weights(i)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
-            sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
-            z[i] += g - sigma * w
-            n[i] += g * g
+    for active, label in chain.from_iterable(repeat(rows, epochs)):
+        i = np.append(active, bias)
+        w = weights(i)
+        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+        sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
+        z[i] += g - sigma * w
+        n[i] += g * g
     every = weights(np.arange(z.size))
     index = np.flatnonzero(every[:-1])
     return Model(index.astype(np.int32), every[index].astype(np.float32), float(every[-1]), bits)
@@ -98,8 +99,9 @@ def train(
     """Fit on at most ``max_rows`` labelled documents, those with the smallest hash of their id.
 
     Only rows for which ``learn`` (a condition on the id column) holds are used. The texts stay
-    in the executors: one task takes the features of the bounded sample and returns the weights
-    that are not zero. Rows with a null id, text or label are not learnt from; an
+    in the executors: one task reads the features of the bounded sample, once for each epoch in a sort that
+    Spark spills if need be, and returns the weights that are not zero. It holds the tables of the
+    fit and one batch, at most 4 MB a row, however long the texts are. Rows with a null id, text or label are not learnt from; an
     id with labels that contradict each other is learnt from as toxic.
     """
     spark = docs.sparkSession
@@ -124,12 +126,11 @@ def train(
                 [batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["_id", "label", "active"])
 
     def learn_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = [
+        model = fit((
             (np.frombuffer(active, np.int32), label)
             for batch in batches
             for active, label in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True)
-        ]
-        model = fit(sample)
+        ), epochs=1)
         yield pa.RecordBatch.from_arrays(
             [pa.array([model.index.tobytes()]), pa.array([model.weight.tobytes()]), pa.array([model.bias])],
             ["index", "weight", "bias"])
@@ -137,8 +138,9 @@ def train(
     bounded_batches(spark)
     id_type = dict(rows.dtypes)["_id"]
     found = rows.select("_id", "text", "label").mapInArrow(extract, f"_id {id_type}, label int, active binary")
+    epochs = F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))).alias("epoch")  # after the shuffle, which moves each row once
     fitted = (
-        found.repartition(1).sortWithinPartitions(F.xxhash64(key), key).select("label", "active")
+        found.repartition(1).select("*", epochs).sortWithinPartitions("epoch", F.xxhash64(key), key).select("label", "active")
         .mapInArrow(learn_all, "index binary, weight binary, bias double").collect()
     )
     if not fitted:
@@ -165,14 +167,19 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], [*names, "score"])
 
     bounded_batches(spark)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), *(keep or []), F.col(text).cast("string").alias("_scored"))
+    [own] = unused(docs, "_scored")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *(keep or []), F.col(text).cast("string").alias(own))
     names = rows.columns[:-1]
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1])
     return rows.mapInArrow(scan, f"{schema}, score double")
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """The documents scored below the threshold, with all their columns."""
+    """The documents scored below the threshold, with all their columns, whatever their names.
+
+    A null or blank text is judged by the bias alone. Rows may repeat and ids be null: each row is judged
+    by its own text. An empty table gives an empty table.
+    """
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     place = docs.columns.index(text)

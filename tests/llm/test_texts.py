@@ -1,11 +1,14 @@
 """Decontamination, secrets, URLs, toxicity and token counts against plain versions."""
 
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from murmur.llm import decontaminate, secrets, token_counts, toxicity, urls
 from murmur.llm.queries import URL_RULES
@@ -263,8 +266,6 @@ def test_held_out_accuracy_and_edge_rows(spark):
     truth = {i: t for i, t, _ in labels}
     docs = docs_of(spark, rows)
     table = spark.createDataFrame([*labels, (None, 1, 0.1), (9999, None, 0.2)], "doc_id long, toxic int, score double")
-    from pyspark.sql import functions as F
-
     model = toxicity.train(docs, table, F.crc32(F.col("_id").cast("string")) % 5 != 0)
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
     unseen = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
@@ -291,6 +292,84 @@ def test_features_are_words_pairs_and_skips():
     assert toxicity.features(b"a b c", memo).size == 3 + 2 + 1
 
 
+def slow_features(text, bits=toxicity.BITS):
+    """Features by plain numbers: each word, pair and pair with a word skipped, mixed in 64 bits."""
+    kept = "".join(c.lower() if c.isascii() and c.isupper() else c if c.isalnum() or ord(c) > 127 else " " for c in text)
+    h = [xxhash.xxh32_intdigest(w.encode()) for w in kept.split(" ") if w]
+    every = [x * 0x165667B1 for x in h]
+    every += [a * 0x9E3779B1 + b * 0x85EBCA77 + 1 for a, b in zip(h, h[1:], strict=False)]
+    every += [a * 0xC2B2AE3D + b * 0x27D4EB2F + 2 for a, b in zip(h, h[2:], strict=False)]
+    return sorted({(x % 2**64 ^ x % 2**64 >> 29) % 2**bits for x in every})
+
+
+def slow_fit(rows, alpha=2.0, beta=1.0, l1=4.0, l2=0.1, epochs=3):
+    """The same learning rule with one dictionary entry for each coordinate."""
+    z, n = {}, {}
+
+    def weight(i):
+        hold = 0.0 if i == "bias" else l1
+        if abs(z.get(i, 0.0)) <= hold:
+            return 0.0
+        return -(z[i] - math.copysign(hold, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for active, label in rows:
+            w = {i: weight(i) for i in [*active, "bias"]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i, old in w.items():
+                before = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / alpha * old
+                n[i] = before + g * g
+    every = {i: weight(i) for i in z}
+    return {i: w for i, w in every.items() if w or i == "bias"}
+
+
+@pytest.mark.parametrize("text", ["", "a", "One two", "It's ÉTÉ, l'été - x1 Y2\tz\n3", "a b a b a b", "é😀 ß"])
+def test_features_against_plain_numbers(text):
+    assert toxicity.features(text.encode(), toxicity.WordHashes()).tolist() == slow_features(text)
+
+
+def test_fit_against_dictionaries(spark):
+    rows, labels = toxic_rows(200)
+    truth = {i: t for i, t, _ in labels}
+    order = spark.createDataFrame(rows, "_id long, text string").orderBy(F.xxhash64("_id"), "_id").collect()
+    want = slow_fit([(slow_features(r["text"]), truth[r["_id"]]) for r in order])
+    model = toxicity.train(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int, score double"))
+    assert model.bias == pytest.approx(want.pop("bias"))
+    got = dict(zip(model.index.tolist(), model.weight.tolist(), strict=True))
+    assert len(want) > 5 and got == pytest.approx(want, rel=1e-5)
+
+
+def test_the_fitting_task_reads_a_stream():
+    """Rows are taken one at a time, so a sample of any size is learnt from without being held."""
+    rows = [(np.array([i % 7, 7 + i % 5], np.int32), int(i % 7 == 3)) for i in range(400)]
+    alive, most = [0], [0]
+
+    class Row(tuple):
+        def __new__(cls, *values):
+            alive[0] += 1
+            most[0] = max(most[0], alive[0])
+            return super().__new__(cls, values)
+
+        def __del__(self):
+            alive[0] -= 1
+
+    streamed = toxicity.fit((Row(*r) for _ in range(toxicity.EPOCHS) for r in rows), bits=8, epochs=1)
+    whole = toxicity.fit(rows, bits=8)
+    assert most[0] <= 2
+    assert streamed.index.tolist() == whole.index.tolist() and streamed.weight.tolist() == whole.weight.tolist()
+    assert streamed.bias == whole.bias
+
+
+def test_scored_tables_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a", "x"), (None, None, "y")], "doc_id long, text string, _scored string")
+    model = toxicity.fit([])
+    got = toxicity.score(docs, model, keep=["_scored"]).collect()
+    assert sorted((r["_scored"], r["score"]) for r in got) == [("x", 0.5), ("y", 0.5)]
+    assert toxicity.reject(docs, model, threshold=0.6).count() == 2
+    assert toxicity.reject(docs.limit(0), model).columns == docs.columns
+
+
 # --- token counts ------------------------------------------------------------------------------
 
 def slow_count(word, pieces):
