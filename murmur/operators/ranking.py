@@ -8,11 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.text import prefixes, query_words, search_form
-from murmur.operators.summaries import (
-    DATASET_NAMES, DIMENSIONS, basic_location_table, datasets_to_text, measures, rollup_measures, summary_table,
-)
+from murmur.operators.summaries import basic_location_table, datasets_to_text, label_tables
 from murmur.schema import ORD, is_analyzed, severity_weight
-from murmur.session import cut_lineage
 
 # Rows given as context, and the headings above them.
 MAX_CONTEXT_ROWS = 150
@@ -146,8 +143,7 @@ def context_lines(df: DataFrame, question: str, k: int = MAX_CONTEXT_ROWS) -> Da
     ).select("position", record_line(df).alias("line"))
     blocks = [block(opening, 0, "records"), block(records, 2, "records")]
     if is_analyzed(df):
-        rolled = cut_lineage(rollup_measures(measures(df)))
-        tables = {name: summary_table(rolled, by) for name, by in zip(DATASET_NAMES[1:], DIMENSIONS)}
+        tables = label_tables(df)
     else:
         tables = {"By Location": basic_location_table(df)}
         note = df.limit(1).select(F.lit(0).alias("position"), F.lit(NOT_ANALYZED_NOTE).alias("line"))

@@ -33,7 +33,7 @@ HEADINGS = {
 }
 ORDERS = {"sentiment": SENTIMENTS, "severity": SEVERITY_ORDER}
 DIMENSIONS = ["location", "category", "sentiment", "severity"]
-_KEYS = [*DIMENSIONS, "issue"]
+PREFIX = 16  # characters of an issue that go with its digest and settle most ties
 
 
 def with_headings(table: DataFrame) -> DataFrame:
@@ -58,13 +58,43 @@ def measures(df: DataFrame) -> DataFrame:
 
 
 def rollup_measures(measured: DataFrame) -> DataFrame:
-    """Add up rows that agree in all keys; all four tables can be built from the result."""
-    return measured.groupBy(*_KEYS).agg(
+    """Add up rows that agree in all labels: one row for each combination, whatever the texts say."""
+    return measured.groupBy(*DIMENSIONS).agg(
         F.sum("n").alias("n"), F.sum("weight").alias("weight"),
         F.min("first").alias("first"), F.max("last").alias("last"),
     )
 
 
+def leading_issues(measured: DataFrame, k: int = 3) -> DataFrame:
+    """The ``k`` most frequent issues of each value of each label: (dimension, value, rank, issue, n).
+
+    Issues are counted by digest, so no text is shuffled with the counts. In each group the k-th
+    pair of count and prefix is a bound that no better issue can miss; only issues that reach it are
+    looked up in the records, and their texts settle what the prefix leaves open. Issues that tie in
+    both stay until then, as rows of a join, so no group is held by one task.
+    """
+    digest = F.unhex(F.md5("issue")).alias("digest")
+    named = measured.where(F.col("issue").isNotNull())
+    labels = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in DIMENSIONS])
+    groups = ["dimension", "value"]
+    counted = (
+        named.select(F.inline(labels), digest, F.substring("issue", 1, PREFIX).alias("prefix"), "n")
+        .where(F.col("value").isNotNull())
+        .groupBy(*groups, "digest", "prefix").agg(F.sum("n").alias("n"))
+    )
+    bounds = (
+        top_rows(counted, groups, [F.desc("n"), F.asc("prefix")], k, "rank").where(F.col("rank") == k)
+        .select(*groups, F.col("n").alias("_n"), F.col("prefix").alias("_prefix"))
+    )
+    reached = (F.col("n") > F.col("_n")) | ((F.col("n") == F.col("_n")) & (F.col("prefix") <= F.col("_prefix")))
+    rivals = cut_lineage(
+        counted.join(bounds, groups, "left").where(F.col("_n").isNull() | reached).select(*groups, "digest", "n")
+    )
+    texts = named.select(digest, "issue").join(rivals.select("digest"), "digest", "left_semi").distinct()
+    ranked = top_rows(rivals.join(texts, "digest"), groups, [F.desc("n"), F.asc("issue")], k, "rank")
+    return ranked.select(*groups, "rank", "issue", "n")
+
+
 def most_frequent(
     df: DataFrame, keys: list[str], value: str, k: int, count: Column | None = None
 ) -> DataFrame:
@@ -101,14 +131,14 @@ def _joined_issues(k: int, also: Column | None = None) -> Column:
     return F.concat_ws("; ", *ranked).alias("top_issues")
 
 
-def summary_table(df: DataFrame, by: str) -> DataFrame:
-    """One row per value of ``by`` from an analyzed table or from its rolled-up measures.
+def summary_table(df: DataFrame, by: str, issues: DataFrame | None = None) -> DataFrame:
+    """One row per value of ``by`` from an analyzed table, or from its rolled-up measures and leading ``issues``.
 
     Null groups have no row but count in the total that percentages refer to.
     """
-    measured = df if {"n", "weight", "issue"} <= set(df.columns) else measures(df)
+    measured = measures(df) if issues is None else df
     total = measured.agg(F.sum("n")).scalar()
-    rivals = [c for c in ("category", "location") if c != by] + ["issue"]
+    rivals = [c for c in ("category", "location") if c != by] + (["issue"] if issues is None else [])
     sums = {"n": F.sum("n"), "weight": F.sum("weight"), "first": F.min("first"), "last": F.max("last")}
     if by != "sentiment":
         sums |= {s.lower(): F.sum(F.when(F.col("sentiment") == s, F.col("n")).otherwise(0)) for s in SENTIMENTS}
@@ -128,6 +158,7 @@ def summary_table(df: DataFrame, by: str) -> DataFrame:
     value = F.coalesce(*[F.col(f"_{c}") for c in rivals])
     competing = grouped.where((F.col("_set") == whole) | value.isNotNull()).withColumn("issue", value)
     ranked = top_rows(competing, [f"_{by}", "_set"], [F.desc("n"), F.asc("issue")], 3, "rank")
+    own_issues = [] if issues is not None else [_joined_issues(3, F.col("_set") == set_of["issue"])]
 
     def of_group(column: str) -> Column:
         return F.max(F.when(F.col("_set") == whole, F.col(column)))
@@ -138,16 +169,18 @@ def summary_table(df: DataFrame, by: str) -> DataFrame:
 
     per_group = ranked.groupBy(F.col(f"_{by}").alias(by)).agg(
         *[of_group(n).alias(n) for n in sums],
-        *[winner(c).alias(f"top_{c}") for c in rivals if c != "issue"],
-        _joined_issues(3, F.col("_set") == set_of["issue"]),
+        *[winner(c).alias(f"top_{c}") for c in rivals if c != "issue"], *own_issues,
     ).withColumn("_total", total)
-    issues = F.when(F.col("top_issues") == "", "-").otherwise(F.col("top_issues"))
+    if issues is not None:
+        named = issues.where(F.col("dimension") == by).groupBy(F.col("value").alias(by)).agg(_joined_issues(3))
+        per_group = per_group.join(named, by, "left")
+    found = F.coalesce("top_issues", F.lit(""))
     table = per_group.select(
         by, F.col("n").alias("reports"), percent(F.col("n"), F.col("_total")).alias("pct_of_total"),
         *[n for n in sums if n not in ("n", "weight", "first", "last")],
         mean2(F.col("weight"), F.col("n")).alias("avg_severity"),
         *[f"top_{c}" for c in rivals if c != "issue"],
-        issues.alias("top_issues"),
+        F.when(found == "", "-").otherwise(found).alias("top_issues"),
         day_text(F.col("first")).alias("first_report"), day_text(F.col("last")).alias("latest_report"),
     )
     return table.orderBy(*display_order(by))
@@ -192,8 +225,7 @@ def full_dataset(df: DataFrame) -> DataFrame:
 def build_datasets(df: DataFrame) -> dict[str, DataFrame]:
     """The named datasets; a name is missing while its table cannot be built.
 
-    The measures are added up over all keys once and written to the checkpoint folder; the four
-    summaries then read that small table instead of the records.
+    Four summaries come from ``label_tables``.
     """
     if df.isEmpty():
         return {}
@@ -201,10 +233,19 @@ def build_datasets(df: DataFrame) -> dict[str, DataFrame]:
     if not is_analyzed(df):
         datasets["By Location"] = basic_location_table(df)
         return datasets
-    rolled = cut_lineage(rollup_measures(measures(df)))
-    for name, by in zip(DATASET_NAMES[1:], DIMENSIONS):
-        datasets[name] = summary_table(rolled, by)
-    return datasets
+    return datasets | label_tables(df)
+
+
+def label_tables(df: DataFrame) -> dict[str, DataFrame]:
+    """The four summary tables of an analyzed table.
+
+    The measures are added up over all labels, and the leading issues found, once; both are written to
+    the checkpoint folder, and the tables read these small results instead of the records.
+    """
+    measured = measures(df)
+    rolled = cut_lineage(rollup_measures(measured))
+    issues = cut_lineage(leading_issues(measured))
+    return {name: summary_table(rolled, by, issues) for name, by in zip(DATASET_NAMES[1:], DIMENSIONS)}
 
 
 def csv_lines(table: DataFrame, name: str) -> DataFrame:

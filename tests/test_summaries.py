@@ -55,6 +55,40 @@ def test_bundle_tables_equal_the_single_tables(feedback):
     assert s.build_datasets(df.limit(0)) == {}
 
 
+def test_bundle_issues_with_ties_long_common_starts_and_a_hot_one(feedback):
+    """All tables of the bundle against the single ones, which count whole texts."""
+    rng = random.Random(4)
+    start = "the same sixteen characters and more "
+    issues = [start + x for x in "dcba"] + ["z", "Z", "é", "e", " z ", "None", None, ""]
+    rows = [{
+        "location": rng.choice(["A", "B", None, "C"]), "category": rng.choice(["x", "y", None]),
+        "sentiment": rng.choice(["Positive", "Negative", None]), "severity": rng.choice(["Low", "High", None]),
+        "main_issue": rng.choice(issues),
+    } for _ in range(250)]
+    rows += [{"location": "hot", "main_issue": start + "hot"}] * 150
+    rows += [{"location": "apart", "main_issue": f"{start}{i:03}"} for i in range(40)]
+    df = feedback(rows)
+    bundle = s.label_tables(df)
+    for name, by in zip(s.DATASET_NAMES[1:], s.DIMENSIONS):
+        assert bundle[name].collect() == s.summary_table(df, by).collect()
+    apart = [r["top_issues"] for r in bundle["By Location"].collect() if r["location"] == "apart"]
+    assert apart == ["; ".join(f"{start}{i:03}" for i in range(3))]
+
+
+def test_rollup_does_not_grow_with_the_issues(feedback, monkeypatch):
+    """All issues distinct: one row for each combination of labels, and few issues kept for the last step."""
+    written = []
+    cut = s.cut_lineage
+    monkeypatch.setattr(s, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    df = feedback([{"location": "AB"[i % 2], "category": "xyz"[i % 3], "main_issue": f"{i:05} is broken"} for i in range(600)])
+    tables = s.label_tables(df)
+    rolled, rivals, leading = written
+    assert rolled.count() == 6 and "issue" not in rolled.columns
+    assert "issue" not in rivals.columns and rivals.count() == 3 * (2 + 3 + 1 + 1) == leading.count()
+    top = {r["category"]: r["top_issues"] for r in tables["By Category"].collect()}
+    assert top["y"] == "00001 is broken; 00004 is broken; 00007 is broken"
+
+
 def test_csv_lines_quote_and_carry_headings(feedback):
     df = feedback([{"location": 'Hall, "B"'}, {"location": "Attic"}, {"location": "Attic", "severity": "High"}])
     text = s.datasets_to_text(s.build_datasets(df)).orderBy("dataset_no", "part", "row_no").collect()
