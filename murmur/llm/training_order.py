@@ -27,7 +27,7 @@ _SPACE = "\\t\\n\\v\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\
 _CHUNK = re.compile("[S]*[^S]+|[S]+".replace("S", _SPACE))
 # A fixed value: how byte-level vocabularies of this kind cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO_WORDS, MEMO_CHARS = 300_000, 64
+MEMO_WORDS, MEMO_CHARS = 1_000_000, 64
 ROUNDS = 6
 HEADER = np.dtype([("doc_id", "<i8"), ("number", "<i4"), ("n_tokens", "<i4")])
 NO_ID = -(1 << 63)  # doc_id in the header of a record whose document has none

@@ -172,7 +172,7 @@ def test_chunks_have_the_tokens_of_the_whole_text():
     encode = ENCODER()
     rng = np.random.default_rng(5)
     alphabet = list(" \t\n\v\f\r\x1c\x1f\x85\xa0\u1680\u2003\u2028\u202f\u3000\u200b \u00a0aZ\u00e9\u4e2d1\u00bd'.,!_") + ["'s", "'ll", " 's", "  "]
-    texts = ["\n  \xa0 \xa0  1's", "", " ", "\xa0", "a\xa0", "\xa0 a", "a \x1c b"]
+    texts = ["\n  \xa0 \xa0  1's", "", " ", "\xa0", "a\xa0", "\xa0 a", "a \x1c b", "a \x1c\x1d b é"]
     texts += ["".join(rng.choice(alphabet, rng.integers(1, 25))) for _ in range(20_000)]
     chunks = training_order.Chunks(encode)
     for text in texts:
