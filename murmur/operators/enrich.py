@@ -16,7 +16,7 @@ from murmur.operators.joins import broadcast_if_small
 from murmur.operators.lexicon import Lexicon
 from murmur.operators.replies import numbered_entry, parse_numbered, parse_replies, with_fallback
 from murmur.schema import ORD, RESULT_FIELDS
-from murmur.session import cut_lineage
+from murmur.session import cut_lineage, small_arrow_batches
 
 # Texts in, one reply text per text out. A raised error sends the batch to the rule classifier.
 Scorer = Callable[[list[str]], list[str]]
@@ -25,7 +25,6 @@ BatchScorer = Callable[[list[str]], str]
 
 BATCH_SIZE = 10
 BATCH_BYTES = 8 << 20  # of texts in one call; a longer text goes alone
-ARROW_BYTES = 16 << 20  # of a batch that Spark hands to a worker
 
 
 @dataclass
@@ -47,11 +46,6 @@ def batches(frame: pd.DataFrame, rows: int, size: int = BATCH_BYTES) -> Iterator
         yield frame.iloc[start:]
 
 
-def small_arrow_batches(df: DataFrame) -> None:
-    """Have Spark cut what it hands to Python workers by bytes; by rows alone texts could be any size."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-
-
 def _ask(scorer: Scorer, batch_size: int):
     """Feed a partition's texts to the scorer in small batches."""
 

@@ -7,19 +7,22 @@ aggregates per place, category and word, never from question-record pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmur.functions.ordering import number_rows, top_rows
+from murmur.functions.ordering import top_rows
 from murmur.functions.text import grams, prefixes, query_words, search_form, strip_spaces
 from murmur.operators.joins import broadcast_if_small
 from murmur.operators.ranking import bullet_line, more_line
 from murmur.operators.summaries import most_frequent
 from murmur.schema import ANALYSIS_COLUMNS, COMPLAINT_SENTIMENTS, ORD, complaints, is_analyzed, severity_weight
-from murmur.session import cut_lineage
+from murmur.session import cut_lineage, small_arrow_batches
 
 # Routing words, words that do not name a place, actions that are none, and texts.
 GREETINGS = ["hi", "hello", "hey", "help"]
@@ -57,6 +60,13 @@ TERM_LETTERS = 5  # a term is looked up by this many first letters at most
 PREFIX_MIN = 4  # search words have at least this many
 LISTED = 6  # rows of the longest list
 
+TEXT_GROUPS = 64  # of which each meets all questions
+TEXTS_AT_ONCE = 4096  # bits of a word in a block
+SETS_AT_ONCE = 8192  # with a block's bits 4 MB
+SETS_IN_MEMORY = 500_000  # some 200 MB of a task, with twenty words each
+NO_ORD = -(1 << 63)
+_FIRST = pa.list_(pa.struct([("lack", pa.int64()), ("ord", pa.int64())]))
+
 
 def _folded(question: Column) -> Column:
     return strip_spaces(F.lower(question))
@@ -155,7 +165,9 @@ def search(questions: DataFrame, df: DataFrame) -> Search:
     sets = by_question.join(grouped, "_words").select("question_id", "_set")
     stem = F.substring("prefix", 1, PREFIX_MIN).alias("_stem")
     wanted = cut_lineage(asked.select("prefix", "_code").distinct().select("prefix", "_code", stem))
-    runs = F.array_distinct(grams(search_form(F.col("feedback")), [(PREFIX_MIN, TERM_LETTERS)]))
+    # Runs lie within words, so a word that a text repeats is cut into them once.
+    spoken = F.array_join(F.array_distinct(F.split(search_form(F.col("feedback")), " ")), " ")
+    runs = F.array_distinct(grams(spoken, [(PREFIX_MIN, TERM_LETTERS)]))
     found = df.select(ORD, _weight(df).alias("_weight"), F.explode(runs).alias("_run"))
     keyed = found.withColumn("_stem", F.substring("_run", 1, PREFIX_MIN))
     met = keyed.join(broadcast_if_small(wanted), "_stem").where(F.startswith("_run", "prefix"))
@@ -163,27 +175,135 @@ def search(questions: DataFrame, df: DataFrame) -> Search:
     return Search(cut_lineage(sets), words, cut_lineage(texts))
 
 
+class Unions:
+    """How many texts each set of words hits, and the first of them, met block by block in their order.
+
+    A word of a block of texts is a row of bits; those of a set are united and counted. Memory holds
+    one block and the sets, never text-question pairs.
+    """
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, shown: int):
+        order = np.argsort(-sizes, kind="stable")  # so the sets that have an i-th word come first
+        self.ids, self.sizes, self.starts = ids[order], sizes[order], (np.cumsum(sizes) - sizes)[order]
+        self.codes, words = np.unique(codes, return_inverse=True)
+        self.words = words.astype(np.int32)
+        self.hits = np.zeros(ids.size, np.int64)
+        self.have = np.zeros(ids.size, np.int64)
+        self.best = np.zeros((ids.size, shown, 2), np.int64)
+
+    def add(self, ords: np.ndarray, weights: np.ndarray, owner: np.ndarray, codes: np.ndarray) -> None:
+        """Texts of one block by number and weight; ``codes`` are the words of the texts ``owner``."""
+        if not (self.codes.size and codes.size):
+            return
+        word = np.minimum(np.searchsorted(self.codes, codes), self.codes.size - 1)
+        known = self.codes[word] == codes
+        word, owner = word[known], owner[known]
+        line = np.zeros(self.codes.size, np.int64)  # line 0 has no bits
+        present = np.unique(word)
+        line[present] = np.arange(1, present.size + 1)
+        bits = np.zeros((present.size + 1, TEXTS_AT_ONCE // 8), np.uint8)
+        np.bitwise_or.at(bits.reshape(-1), line[word] * bits.shape[1] + (owner >> 3), np.right_shift(128, owner & 7).astype(np.uint8))
+        bits = bits.view(np.uint64)
+        lines = line[self.words]
+        for start in range(0, self.ids.size, SETS_AT_ONCE):
+            own = slice(start, start + SETS_AT_ONCE)
+            sizes, starts = self.sizes[own], self.starts[own]
+            united = bits[lines[starts]]
+            for i in range(1, int(sizes[0])):
+                n = int(np.searchsorted(-sizes, -i))  # the sets of more than i words
+                united[:n] |= bits[lines[starts[:n] + i]]
+            counts = np.bitwise_count(united).sum(axis=1, dtype=np.int64)
+            self.hits[own] += counts
+            self._first(start + np.flatnonzero((counts > 0) & (self.have[own] < self.best.shape[1])), united, start, ords, weights)
+
+    def _first(self, sets: np.ndarray, united: np.ndarray, start: int, ords: np.ndarray, weights: np.ndarray) -> None:
+        """Append the first texts of this block to the lists that are not full."""
+        if not sets.size:
+            return
+        open_ = np.unpackbits(united[sets - start].view(np.uint8), axis=1).view(bool)
+        for _ in range(self.best.shape[1]):
+            at = open_.argmax(axis=1)
+            on = np.flatnonzero(open_[np.arange(at.size), at] & (self.have[sets] < self.best.shape[1]))
+            at, who = at[on], sets[on]
+            self.best[who, self.have[who]] = np.stack([weights[at], ords[at]], axis=1)
+            self.have[who] += 1
+            open_[on, at] = False
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for part in np.array_split(np.flatnonzero(self.hits), -(-self.ids.size // SETS_AT_ONCE) or 1):
+            first = [[{"lack": -w, "ord": o} for w, o in self.best[i, : self.have[i]].tolist()] for i in part.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(self.ids[part]), pa.array(self.hits[part]), pa.array(first, _FIRST)], ["_set", "hits", "first"])
+
+
+def _count_cells(shown: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A cell holds sets of words, then texts, most severe first; cells follow one another in a task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sets, unions = None, [], None
+        for batch in batches:
+            cells, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(kinds) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells)], strict=True):
+                if cells[a] != cell:
+                    if unions is not None:
+                        yield from unions.rows()
+                    cell, sets, unions = cells[a], [], None
+                part = batch.slice(a, b - a)
+                if kinds[a] == 0:
+                    codes = part.column(4)
+                    sets.append((part.column(2).to_numpy(), codes.value_lengths().to_numpy().astype(np.int64), codes.flatten().to_numpy()))
+                    continue
+                if unions is None:
+                    columns = zip(*sets, strict=True) if sets else [[np.zeros(0, np.int64)]] * 3
+                    unions = Unions(*map(np.concatenate, columns), shown)
+                for start in range(0, part.num_rows, TEXTS_AT_ONCE):
+                    texts = part.slice(start, TEXTS_AT_ONCE)
+                    codes = texts.column(4)
+                    owner = np.repeat(np.arange(texts.num_rows), codes.value_lengths().to_numpy())
+                    unions.add(texts.column(2).to_numpy(), texts.column(3).to_numpy(), owner, codes.flatten().to_numpy())
+        if unions is not None:
+            yield from unions.rows()
+
+    return work
+
+
 def _hits(found: Search, shown: int) -> DataFrame:
     """(question_id, hits, rank, _ord) of the ``shown`` most severe texts of each question.
 
-    The texts are numbered, and each word gets one bitmap of fixed size (4 KB) for every block of
-    32,768 texts it occurs in. The texts of a set are the bitmaps of its words, united before
-    the shuffle as well, so a word of many texts and many questions costs bits, never
-    text-question pairs or lists of either. The first texts of a set are among the first of its words.
+    Texts are dealt to a fixed number of groups, and each group meets all sets, in parts if there are very many:
+    a cell of both is counted in one task, which reads the texts in their order. A group gives
+    one row for a set, so what is shuffled grows with texts and questions, not with their product; the product
+    is bits, united in memory. A null ``_ord`` comes first.
     """
-    each = found.texts.select(ORD, "_weight", F.explode("_codes").alias("_code"))
-    numbers = number_rows(found.texts.select(ORD), "_number")
-    blocks = numbers.select(
-        ORD, F.bitmap_bucket_number("_number").alias("_block"), F.bitmap_bit_position("_number").alias("_bit"))
-    of_block = each.join(blocks, ORD).groupBy("_code", "_block").agg(F.bitmap_construct_agg("_bit").alias("_texts"))
-    words = broadcast_if_small(found.words)
-    united = of_block.join(words, "_code").groupBy("_set", "_block").agg(F.bitmap_or_agg("_texts").alias("_texts"))
-    counts = united.groupBy("_set").agg(F.sum(F.bitmap_count("_texts")).alias("hits"))
-    order = [F.desc("_weight"), F.asc(ORD)]
-    of_word = top_rows(each, ["_code"], order, shown, "_rank").drop("_rank")
-    of_set = of_word.join(words, "_code").select("_set", "_weight", ORD).distinct()
-    first = top_rows(of_set, ["_set"], order, shown, "rank")
-    return found.sets.join(first.join(counts, "_set"), "_set").select("question_id", "hits", "rank", ORD)
+    spark = found.texts.sparkSession
+    groups = max(1, min(spark.sparkContext.defaultParallelism, TEXT_GROUPS))
+    parts = -(-found.sets.select("_set").distinct().count() // SETS_IN_MEMORY) or 1
+    small_arrow_batches(found.texts)
+
+    def dealt(column: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(n))
+
+    def cell(group: Column, part: Column) -> Column:
+        return (group * parts + part).cast("int")
+
+    every_group = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: cell(g, dealt("_set", parts)))
+    every_part = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: cell(dealt(ORD, groups), p))
+
+    sets = found.words.groupBy("_set").agg(F.collect_list("_code").alias("_codes")).select(
+        F.explode(every_group).alias("_cell"),
+        F.lit(0).alias("_kind"), F.col("_set").alias("_id"), F.lit(0).cast("long").alias("_weight"), "_codes")
+    texts = found.texts.select(
+        F.explode(every_part).alias("_cell"),
+        F.lit(1).alias("_kind"), F.coalesce(ORD, F.lit(NO_ORD)).alias("_id"), F.col("_weight").cast("long").alias("_weight"), "_codes")
+    cells = sets.unionByName(texts).repartitionById(groups * parts, "_cell")
+    ordered = cells.sortWithinPartitions("_cell", "_kind", F.desc("_weight"), "_id")
+    counted = ordered.mapInArrow(_count_cells(shown), "_set long, hits long, first array<struct<lack:long,ord:long>>")
+    first = F.slice(F.sort_array(F.flatten(F.collect_list("first"))), 1, shown)
+    merged = counted.groupBy("_set").agg(F.sum("hits").alias("hits"), first.alias("_first"))
+    listed = found.sets.join(merged, "_set").select("question_id", "hits", F.posexplode("_first").alias("_at", "_text"))
+    number = F.col("_text.ord")
+    return listed.select("question_id", "hits", (F.col("_at") + 1).alias("rank"), F.when(number != NO_ORD, number).alias(ORD))
 
 
 def keyword_hits(questions: DataFrame, df: DataFrame, shown: int = 5) -> DataFrame:

@@ -209,3 +209,29 @@ def test_context_of_a_table_of_questions_is_that_of_each_question(spark, feedbac
     assert len(got) == 7 * 15 and all(x["line"] == lines[x["_ord"]] and x["score"] == 0 and x["rank"] == x["_ord"] + 1 for x in got)
     assert context.context_batch(questions, df.limit(0), 20).collect() == []
     assert context.relevance_batch(questions.limit(0), feedback(rows), 20).collect() == []
+
+
+def test_hits_of_sets_in_parts_are_those_of_a_plain_search(spark, feedback, monkeypatch):
+    """Sets in several parts, texts in several groups and blocks, ids null and repeated; one row for a set and group."""
+    import random
+
+    from pyspark.sql import functions as F
+    from murmur.functions import text as tx
+
+    monkeypatch.setattr(q, "SETS_IN_MEMORY", 7)
+    monkeypatch.setattr(q, "SETS_AT_ONCE", 2)
+    monkeypatch.setattr(q, "TEXTS_AT_ONCE", 64)
+    rng = random.Random(5)
+    words = [f"{c}{c}word{i}" for i, c in enumerate("abcdefghij")]
+    texts = [" ".join(rng.sample(words, rng.randrange(4))) for _ in range(900)]
+    df = feedback([{"feedback": t, "severity": rng.choice(["Low", "Medium", "High"])} for t in texts])
+    df = df.withColumn("_ord", F.when(F.col("_ord") != 0, F.col("_ord"))).unionByName(df.where("_ord = 5"))
+    asked = [" ".join(rng.sample([*words, "nowhere"], rng.randrange(1, 5))) for _ in range(40)]
+    rows = [(r["_ord"], r["feedback"], {"Low": 1, "Medium": 2, "High": 3}[r["severity"]]) for r in df.distinct().collect()]
+    expected = {}
+    for i, question in enumerate(asked):
+        met = sorted((-w, -1 if o is None else o) for o, t, w in rows if any(x[:5] in t for x in question.split()))
+        expected |= {(i, k): (len(met), None if o < 0 else o) for k, (_, o) in enumerate(met[:5], 1)}
+    found = q.keyword_hits(ask(spark, *asked), df)
+    assert {(r["question_id"], r["rank"]): (r["hits"], r["_ord"]) for r in found.collect()} == expected
+    assert "bitmap" not in found._jdf.queryExecution().executedPlan().toString()
