@@ -290,7 +290,8 @@ def _hits(found: Search, shown: int) -> DataFrame:
     every_group = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: cell(g, dealt("_set", parts)))
     every_part = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: cell(dealt(ORD, groups), p))
 
-    sets = found.words.groupBy("_set").agg(F.collect_list("_code").alias("_codes")).select(
+    # Without an id a question is in no result.
+    sets = found.words.where(F.col("_set").isNotNull()).groupBy("_set").agg(F.collect_list("_code").alias("_codes")).select(
         F.explode(every_group).alias("_cell"),
         F.lit(0).alias("_kind"), F.col("_set").alias("_id"), F.lit(0).cast("long").alias("_weight"), "_codes")
     texts = found.texts.select(
