@@ -232,6 +232,31 @@ def test_hits_of_sets_in_parts_are_those_of_a_plain_search(spark, feedback, monk
     for i, question in enumerate(asked):
         met = sorted((-w, -1 if o is None else o) for o, t, w in rows if any(x[:5] in t for x in question.split()))
         expected |= {(i, k): (len(met), None if o < 0 else o) for k, (_, o) in enumerate(met[:5], 1)}
-    found = q.keyword_hits(ask(spark, *asked), df)
+    found = q.keyword_hits(ask(spark, *asked).unionByName(spark.createDataFrame([(None, "aaword bbword ccword ddword eeword ffword")], q.QUESTION_SCHEMA)), df)
     assert {(r["question_id"], r["rank"]): (r["hits"], r["_ord"]) for r in found.collect()} == expected
     assert "bitmap" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_context_scores_kinds_of_records_for_sets_of_words(spark, feedback, monkeypatch):
+    """However many records and questions there are, what is scored is k records of a kind for each set of words."""
+    from murmur.operators import context
+
+    texts = ["heating broken", "window noisy", "heating and window"]
+    df = feedback([{"feedback": texts[i % 3], "severity": "Low"} for i in range(400)])
+    asked = ask(spark, *[["nothing here", "the heating", f"heating xyzzy{i}", "window heating"][i % 4] for i in range(60)])
+    seen, scored = [], context._scored
+
+    def note(records, sets, ids, k, scale):
+        seen.append((records.count(), len(ids)))
+        return scored(records, sets, ids, k, scale)
+
+    monkeypatch.setattr(context, "_scored", note)
+    asked = asked.unionByName(spark.createDataFrame([(None, "heating")], "question_id long, question string"))
+    got = {}
+    for x in context.relevance_batch(asked, df, 10).collect():
+        got.setdefault(x["question_id"], {})[x["rank"]] = (x["_ord"], x["score"])
+    assert seen == [(30, 2)]
+    of_heating = [(i, 11) for i in range(400) if i % 3 != 1][:10]
+    expected = [[(i, 1) for i in range(10)], of_heating, of_heating, [(3 * i + 2, 21) for i in range(10)]]
+    assert [got[None][k] for k in range(1, 11)] == expected[0]
+    assert all([got[i][k] for k in range(1, 11)] == expected[i % 4] for i in range(60))
