@@ -23,6 +23,7 @@ NO_ACTION = "No action needed"
 EMPTY_SUMMARY = "Empty feedback."
 
 FEW_TERMS = 300  # up to this many are sought one by one
+HEAD = 600  # characters of a text that mostly hold its first keywords
 STEM = 4  # characters of a term that are looked up
 ENTRY, BUCKET, FIELD = "\x01", "\x02", "\x03"
 _FOUND = "_found"
@@ -193,9 +194,18 @@ def severity(lexicon: Lexicon) -> Column:
 
 
 def keywords(text: Column, stop: list[str], limit: int = 4) -> Column:
-    """The first distinct tokens of four or more characters that are not stop words."""
-    tokens = F.regexp_extract_all(text, F.lit(r"([a-z][a-z\-]{3,})"), F.lit(1))
-    return F.slice(F.array_except(tokens, string_array(stop)), 1, limit)  # distinct, in order
+    """The first distinct tokens of four or more characters that are not stop words.
+
+    They are sought in the begin of the text, in all of it only where that holds too few. A token of the
+    begin counts if another character follows, so none is cut.
+    """
+
+    def first(some: Column, pattern: str) -> Column:
+        tokens = F.regexp_extract_all(some, F.lit(pattern), F.lit(1))
+        return F.slice(F.array_except(tokens, string_array(stop)), 1, limit)  # distinct, in order
+
+    early = first(F.substring(text, 1, HEAD), r"([a-z][a-z\-]{3,}+)(?=[^a-z\-])")
+    return F.when(F.size(early) >= limit, early).otherwise(first(text, r"([a-z][a-z\-]{3,})"))
 
 
 def classify(df: DataFrame, lexicon: Lexicon, text: str = "feedback") -> DataFrame:

@@ -112,3 +112,19 @@ def test_fifty_thousand_terms(spark):
     got = c.with_hits(c.with_classifier_text(df), lexicon).select("_ord", "_neg", "_pos").collect()
     assert [(r["_neg"], r["_pos"]) for r in got] == [(1, 2)] * 50
     assert time.perf_counter() - start < 60
+
+
+def test_keywords_around_the_part_that_is_looked_at_first(spark):
+    """Words cut by its end count whole; where it has too few, all of the text is searched."""
+    import re
+
+    from pyspark.sql import functions as F
+    from murmur.operators import classify as c
+
+    texts = [" " * (c.HEAD - n) + "alpha alpha beta-x gamma stop-" + "d" * m + " omega zeta" for n in range(40) for m in (0, 1, 9)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", c.keywords(F.col("t"), ["gamma"]).alias("k"))
+    for r in got.collect():
+        words = [w for w in dict.fromkeys(re.findall(r"[a-z][a-z-]{3,}", texts[r["i"]])) if w != "gamma"]
+        assert r["k"] == words[:4]
+    assert "substring" in got._jdf.queryExecution().optimizedPlan().toString()
