@@ -81,6 +81,16 @@ def sanitize(entry: Column) -> Column:
     return F.when(is_object(entry), _allowed(entry))
 
 
+def sanitized(df: DataFrame) -> DataFrame:
+    """The rows whose ``reply`` holds a JSON object, with the checked ``result``.
+
+    The object is a column of its own before its fields are taken. As one expression it would be parsed
+    again for every mention.
+    """
+    parsed = df.withColumn("_entry", extract_object(F.col("reply"))).where(is_object(F.col("_entry")))
+    return parsed.withColumn("result", _allowed(F.col("_entry"))).drop("_entry")
+
+
 def _allowed(entry: Column) -> Column:
     listed = F.try_variant_get(entry, "$.keywords", "array<variant>")
     words = F.transform(listed, lambda k: strip_spaces(F.coalesce(_spoken(k), F.lit("None"))))
@@ -154,15 +164,24 @@ def numbered_entry(reply: Column, number: Column) -> Column:
     return F.try_element_at(F.filter(listed, lambda e: is_object(e) & (_entry_number(e) == number)), F.lit(1))
 
 
-def parse_numbered(df: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``feedback``, ``item_no``, ``reply`` and ``error`` give ``result``, row by row."""
+def with_numbered_entry(df: DataFrame) -> DataFrame:
+    """Add ``_entry``, what the row's ``reply`` says of its ``item_no``."""
+    return df.withColumn("_entry", numbered_entry(F.col("reply"), F.col("item_no")))
+
+
+def numbered_results(df: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``feedback``, ``_entry`` and ``error`` give ``result``; the text is looked at only without an entry."""
     blank = strip_spaces(F.coalesce("feedback", F.lit(""))) == ""
     reason = F.when(blank, EMPTY_TEXT).otherwise(F.coalesce("error", F.lit(SKIPPED)))
-    picked = df.withColumn("_entry", numbered_entry(F.col("reply"), F.col("item_no")))
-    checked = picked.withColumn("result", sanitize(F.col("_entry")))
+    checked = df.withColumn("result", sanitize(F.col("_entry")))
     return with_fallback(checked, lexicon, F.col("result").isNull(), reason).drop("_entry")
 
 
+def parse_numbered(df: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``feedback``, ``item_no``, ``reply`` and ``error`` give ``result``, row by row."""
+    return numbered_results(with_numbered_entry(df), lexicon)
+
+
 def parse_batch_replies(requests: DataFrame, replies: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Match the entries of array replies to the numbered texts that were sent.
 

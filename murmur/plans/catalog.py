@@ -794,8 +794,7 @@ def _(spark, sf):
     f"{_OBJECT}) then json({_OBJECT}) end j from rep) select _ord, " + ", ".join(
         f"{sql} {c}" for c, sql in _sql_sanitized().items()) + " from entries_of where j is not null"))
 def _(spark, sf):
-    entry = replies.sanitize(replies.extract_object(F.col("reply")))
-    clean = b.replies(spark, sf).select(ORD, entry.alias("result")).where(F.col("result").isNotNull())
+    clean = replies.sanitized(b.replies(spark, sf)).where(F.col("result").isNotNull())
     return clean.select(ORD, *[F.col(f"result.{c}").alias(c) for c in _RESULT]).withColumn(
         "keywords", F.array_join("keywords", ", "))
 

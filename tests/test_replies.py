@@ -66,3 +66,10 @@ def test_batch_entries_find_their_texts(spark):
     missing = r.SKIPPED
     assert got == [("one", None), ("two", None), ("three", None), ("great 4", missing), ("great 5", missing),
                    ("great 6", missing), ("heat in here", missing)]
+
+
+def test_replies_are_parsed_once_or_twice_not_for_each_field(spark):
+    from murmur.plans.catalog import QUERIES
+
+    plan = QUERIES["sanitize_results"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("lengthOfJsonArray") <= 2
