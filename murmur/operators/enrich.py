@@ -14,7 +14,7 @@ from murmur.functions.text import strip_spaces, text_key
 from murmur.operators.classify import classify, classify_as_result
 from murmur.operators.joins import broadcast_if_small
 from murmur.operators.lexicon import Lexicon
-from murmur.operators.replies import numbered_entry, parse_numbered, parse_replies, with_fallback
+from murmur.operators.replies import numbered_results, parse_replies, with_fallback, with_numbered_entry
 from murmur.schema import ORD, RESULT_FIELDS
 from murmur.session import cut_lineage, small_arrow_batches
 
@@ -93,13 +93,19 @@ def score_numbered(
     small_arrow_batches(texts)
     given = texts.select("cache_key", "feedback")
     blank = strip_spaces(F.coalesce("feedback", F.lit(""))) == ""
-    first = cut_lineage(given.where(~blank).mapInPandas(_ask_numbered(scorer, batch_size), schema))
-    settled = F.col("error").isNotNull() | numbered_entry(F.col("reply"), F.col("item_no")).isNotNull()
-    skipped = first.where(~settled).select("cache_key", "feedback")
-    again = cut_lineage(skipped.mapInPandas(_ask_numbered(scorer, 1), schema))
-    nothing = {"item_no": F.lit(1).cast("long"), "reply": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}
-    replies = first.where(settled).unionByName(again).unionByName(given.where(blank).withColumns(nothing))
-    return parse_numbered(replies, lexicon).select("cache_key", "result")
+
+    def sent(some: DataFrame, size: int) -> DataFrame:
+        """Each row's entry, looked for once; replies are not stored, texts only where there is no entry."""
+        found = with_numbered_entry(some.mapInPandas(_ask_numbered(scorer, size), schema))
+        left = F.when(F.col("_entry").isNull(), F.col("feedback")).alias("feedback")
+        return cut_lineage(found.select("cache_key", left, "_entry", "error"))
+
+    first = sent(given.where(~blank), batch_size)
+    settled = F.col("error").isNotNull() | F.col("_entry").isNotNull()
+    again = sent(first.where(~settled).select("cache_key", "feedback"), 1)
+    nothing = {"_entry": F.lit(None).cast("variant"), "error": F.lit(None).cast("string")}
+    entries = first.where(settled).unionByName(again).unionByName(given.where(blank).withColumns(nothing))
+    return numbered_results(entries, lexicon).select("cache_key", "result")
 
 
 def score(
@@ -112,16 +118,17 @@ def score(
     return parse_replies(replies, lexicon).select("cache_key", "result")
 
 
-def first_texts(keyed: DataFrame, unknown: DataFrame) -> DataFrame:
+def first_texts(keyed: DataFrame, unknown: DataFrame, at_once: bool = True) -> DataFrame:
     """(cache_key, feedback) once for each key of ``unknown``, from the key's first row in source order.
 
     Keys and row numbers are aggregated, texts are not: they are picked up by the numbers of the
-    rows that were chosen, which are broadcast if they are few, or cut the rows by Spark's runtime filter.
+    rows that were chosen, which are broadcast if they are few, or cut the rows by Spark's runtime filter. Nothing runs before the result is read unless ``at_once``.
     """
     if ORD not in unknown.columns:
         return unknown.groupBy("cache_key").agg(F.first("feedback").alias("feedback"))
-    chosen = cut_lineage(unknown.groupBy("cache_key").agg(F.min(ORD).alias(ORD)).select(ORD))
-    return keyed.select(ORD, "cache_key", "feedback").join(broadcast_if_small(chosen), ORD, "left_semi").drop(ORD)
+    chosen = unknown.groupBy("cache_key").agg(F.min(ORD).alias(ORD)).select(ORD)
+    chosen = broadcast_if_small(cut_lineage(chosen)) if at_once else chosen
+    return keyed.select(ORD, "cache_key", "feedback").join(chosen, ORD, "left_semi").drop(ORD)
 
 
 def enrich(
@@ -145,8 +152,9 @@ def enrich(
     )
     known = None if cache is None else cache.groupBy("cache_key").agg(F.min("result").alias("result"))
     unknown = keyed if known is None else keyed.join(known, "cache_key", "left_anti")
-    pending = first_texts(keyed, unknown)
-    if scorer is None and batch_scorer is None:
+    by_rules = scorer is None and batch_scorer is None
+    pending = first_texts(keyed, unknown, at_once=not by_rules)
+    if by_rules:
         fresh = classify_as_result(pending, lexicon).select("cache_key", "result")
         if known is None:
             rows = classify_as_result(keyed, lexicon)

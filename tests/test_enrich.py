@@ -154,3 +154,19 @@ def test_long_texts_reach_a_scorer_in_bounded_batches(spark, tmp_path):
     assert e.score(spark.read.parquet(path), SAMPLE, scorer, 1000).count() == 200
     calls = [tuple(map(int, line.split())) for line in open(seen)]
     assert sum(n for n, _ in calls) == 200 and max(size for _, size in calls) <= e.BATCH_BYTES
+
+
+def test_replies_and_settled_texts_are_not_stored(spark, monkeypatch):
+    from murmur.operators import enrich as e
+    from murmur.operators.lexicon import SAMPLE
+
+    def scorer(texts):
+        return '[{"id": 1, "sentiment": "Mixed"}]'
+
+    kept, cut = [], e.cut_lineage
+    monkeypatch.setattr(e, "cut_lineage", lambda df: kept.append(cut(df)) or kept[-1])
+    texts = spark.createDataFrame([(str(i), f"text {i}") for i in range(6)], "cache_key string, feedback string").coalesce(1)
+    got = {r["cache_key"]: r["result"]["sentiment"] for r in e.score_numbered(texts, SAMPLE, scorer, 3).collect()}
+    assert got == {str(i): "Mixed" for i in range(6)}
+    assert all("reply" not in df.columns for df in kept)
+    assert sorted(r["cache_key"] for r in kept[0].where("feedback is not null").collect()) == ["1", "2", "4", "5"]
