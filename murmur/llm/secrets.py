@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -80,7 +81,11 @@ def look(token: str) -> tuple[str, str, str]:
 
     Few looks occur, however many different words there are.
     """
-    classes = token.translate(_CLASSES)
+    # Most tokens are words of ASCII letters, whose class needs no look at each.
+    if token.isascii() and token.isalpha() and (token.islower() or token[1:].islower()):
+        classes = "l" * len(token) if token.islower() else "u" + "l" * (len(token) - 1)
+    else:
+        classes = token.translate(_CLASSES)
     low = token.lower()
     name = re.sub(r"[^a-z_]", "", low)[:20] if _NAME.search(low) else ""
     last = token[-1]
@@ -102,15 +107,17 @@ def _slot(feature: str) -> int:
     return int.from_bytes(hashlib.blake2b(feature.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % (1 << BITS)
 
 
+_PAIR = struct.Struct("<QQ")
+
+
 def word_ids(token: str) -> tuple[int, int]:
     """The word itself, as a feature of the token after it and of the one before it.
 
     Digests of 63 bits above the slots of all other features; marks around the word are left out.
     """
     word = token.lower().strip("\"'`=:,;.()[]{}<>*").encode("utf-8", "surrogatepass")
-    digest = hashlib.blake2b(word, digest_size=16).digest()
-    after, before = (int.from_bytes(part, "little") >> 1 | 1 << BITS for part in (digest[:8], digest[8:]))
-    return after, before
+    after, before = _PAIR.unpack(hashlib.blake2b(word, digest_size=16).digest())
+    return after >> 1 | 1 << BITS, before >> 1 | 1 << BITS
 
 
 def token_features(classes: str, tail: str, name: str) -> list[list[str]]:
@@ -140,6 +147,7 @@ class Rows(dict):
     def __init__(self, model: Model):
         self.weights = model.weights
         self.known = {int(x): (1 << BITS) + i for i, x in enumerate(model.words)}
+        self.unknown = (len(self.weights) - 1) * (len(self.weights) + 1)
         self.words: dict[str, int] = {}
         self.table = np.zeros((1024, 3, 3), np.float64)
         self.looks: dict[tuple, int] = {}
@@ -153,9 +161,13 @@ class Rows(dict):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             for part, names in enumerate(token_features(*key)):
                 self.table[row, part] = self.weights[[_slot(x) for x in names]].sum(axis=0)
-        none = len(self.weights) - 1
-        after, before = (self.known.get(x, none) for x in word_ids(token))
-        self.words[token] = after * len(self.weights) + before
+        after, before = word_ids(token)
+        # Most words are not near the sample's: they share one number.
+        if after in self.known or before in self.known:
+            none = len(self.weights) - 1
+            self.words[token] = self.known.get(after, none) * len(self.weights) + self.known.get(before, none)
+        else:
+            self.words[token] = self.unknown
         self[token] = row
         return row
 

@@ -405,3 +405,17 @@ def test_token_counts_with_a_public_vocabulary(spark):
                      else 5000 * slow_count(b" q1", known), len((text or "").encode())))
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert token_counts.count_tokens(docs_of(spark, rows).limit(0), pieces).collect() == []
+
+
+def test_classes_of_plain_words_and_numbers_of_unknown_ones():
+    """Short ways give what the long ones do; words far from the sample share one number."""
+    for token in ["abc", "Abc", "ABC", "aBc", "A", "a", "é", "Éa", "straße", "a1", "x=y", "Token:", "ǅa", "ªb", "aª"]:
+        assert secrets.look(token)[0] == token.translate(secrets._CLASSES)
+    after, before = secrets.word_ids("near,")
+    model = secrets.Model(np.zeros(((1 << secrets.BITS) + 2, 3)), np.zeros((3, 3)), np.zeros(3), np.array([after]))
+    rows = secrets.Rows(model)
+    for token in ("far", "off.", "near"):
+        rows[token]
+    none, known = len(model.weights) - 1, 1 << secrets.BITS
+    assert rows.words["far"] is rows.words["off."] and rows.words["far"] == none * len(model.weights) + none
+    assert rows.words["near"] == known * len(model.weights) + none
