@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions.ordering import top_rows
 from murmur.functions.text import grams, prefixes, query_words, search_form, strip_spaces
-from murmur.operators.joins import broadcast_if_small
+from murmur.operators.joins import broadcast_if_small, is_small
 from murmur.operators.ranking import bullet_line, more_line
 from murmur.operators.summaries import most_frequent
 from murmur.schema import ANALYSIS_COLUMNS, COMPLAINT_SENTIMENTS, ORD, complaints, is_analyzed, severity_weight
@@ -59,13 +59,19 @@ QUESTION_SCHEMA = "question_id long, question string"
 TERM_LETTERS = 5  # a term is looked up by this many first letters at most
 PREFIX_MIN = 4  # search words have at least this many
 LISTED = 6  # rows of the longest list
+FEW_KEYS = 200  # names that are sought one by one
+FEW_BYTES = 1 << 16
+FEW_ROWS = 1000  # that are fetched by their numbers
 
 TEXT_GROUPS = 64  # of which each meets all questions
 TEXTS_AT_ONCE = 4096  # bits of a word in a block
 SETS_AT_ONCE = 8192  # with a block's bits 4 MB
 SETS_IN_MEMORY = 500_000  # some 200 MB of a task, with twenty words each
+KINDS_AT_ONCE = 131_072  # texts, or rows of kinds, that a task sorts at a time
+SHOWN = 5
 NO_ORD = -(1 << 63)
 _FIRST = pa.list_(pa.struct([("lack", pa.int64()), ("ord", pa.int64())]))
+_TEXT_SCHEMA = f"{ORD} long, _weight long, _times long, _codes array<long>"
 
 
 def _folded(question: Column) -> Column:
@@ -96,17 +102,31 @@ def _count(df: DataFrame) -> Column:
 
 # --- places and categories named in a question -------------------------------------------------
 
+def _naming(questions: DataFrame, text: Column, keys: DataFrame, name: str) -> DataFrame:
+    """(question_id, name) of the keys, a few, whose ``_run`` is in the text; they are sought one by one."""
+    rows = keys.collect()
+    if not rows:
+        return questions.select("question_id", F.lit("").alias(name)).limit(0)
+    few = F.array(*[F.struct(F.lit(r[name]).alias(name), F.lit(r["_run"]).alias("_run")) for r in rows])
+    # The text is named outside the lambda as well, or it would be made anew for each key.
+    met = F.when(F.col("_text").isNotNull(), F.filter(few, lambda k: F.contains(F.col("_text"), k["_run"])))
+    found = questions.select("question_id", text.alias("_text")).select("question_id", F.explode(met).alias("_key"))
+    return found.select("question_id", F.col(f"_key.{name}").alias(name)).distinct()
+
+
 def mentioned_locations(questions: DataFrame, df: DataFrame) -> DataFrame:
     """(question_id, location) for each place a question names.
 
     A place is named by any of its words of three or more letters, or by the first five letters
-    of a word of six or more. Both come to: the word's first five letters occur in the question,
-    so one equality join on runs of three to five characters is exact.
+    of a word of six or more. Both come to: the word's first five letters occur in the question.
+    Of more than a few words that is an equality join on runs of three to five characters.
     """
     places = df.where(F.col("location").isNotNull()).select("location").distinct()
     words = places.select("location", F.explode(F.split(search_form(F.col("location")), " ")).alias("_word"))
     named = words.where((F.length("_word") >= 3) & ~F.col("_word").isin(GENERIC_PLACE_WORDS))
     keys = cut_lineage(named.select("location", F.substring("_word", 1, TERM_LETTERS).alias("_run")).distinct())
+    if is_small(keys, FEW_KEYS, FEW_BYTES):
+        return _naming(questions, search_form(F.col("question")), keys, "location")
     asked = questions.select(
         "question_id",
         F.explode(F.array_distinct(grams(search_form(F.col("question")), [(3, 3), (4, 4), (5, 5)]))).alias("_run"),
@@ -117,13 +137,15 @@ def mentioned_locations(questions: DataFrame, df: DataFrame) -> DataFrame:
 def mentioned_categories(questions: DataFrame, df: DataFrame) -> DataFrame:
     """(question_id, category) for each category whose lower-cased name is in the question.
 
-    Names meet the questions by their first letters, five at most; whole names are compared for
-    the pairs left. The text is not carried along with its runs.
+    More than a few names meet the questions by their first letters, five at most; whole names are
+    compared for the pairs left. The text is not carried along with its runs.
     """
     names = df.where(F.col("category").isNotNull()).select("category").distinct()
     names = names.withColumn("_name", F.lower("category"))
     keys = cut_lineage(names.withColumn("_run", F.substring("_name", 1, TERM_LETTERS)))
     folded = _folded(F.col("question"))
+    if is_small(keys, FEW_KEYS, FEW_BYTES):
+        return _naming(questions, folded, keys.select("category", F.col("_name").alias("_run")), "category")
     runs = F.array_distinct(F.concat(grams(folded, [(n, n) for n in range(1, 6)], "."), F.array(F.lit(""))))
     asked = questions.select("question_id", F.explode(runs).alias("_run"))
     met = asked.join(broadcast_if_small(keys), "_run").select("question_id", "category", "_name")
@@ -138,9 +160,13 @@ def mentioned_categories(questions: DataFrame, df: DataFrame) -> DataFrame:
 class Search:
     """Questions and texts reduced to the words they share; all three are small tables on disk."""
 
-    sets: DataFrame   # (question_id, _set): questions with the same words share a set
-    words: DataFrame  # (_set, _code)
-    texts: DataFrame  # (_ord, _weight, _codes): the asked-for words of each text that has any
+    sets: DataFrame   # (question_id, _set): questions that share the same words with the texts share a set
+    words: DataFrame  # (_set, _codes): the words of a set that any text has, sorted
+    texts: DataFrame  # (_ord, _weight, _times, _codes): the first texts of each kind, see kinds()
+
+
+def _code(prefix: str) -> Column:
+    return F.conv(F.concat(F.lit("1"), F.col(prefix)), 36, 10).cast("long").alias("_code")
 
 
 def question_prefixes(questions: DataFrame) -> DataFrame:
@@ -149,91 +175,185 @@ def question_prefixes(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.explode(words).alias("prefix"))
 
 
-def search(questions: DataFrame, df: DataFrame) -> Search:
+def search(questions: DataFrame, df: DataFrame, shown: int = SHOWN) -> Search:
     """Find the words of the questions in the texts.
 
     Each text is taken apart where it lies: at every position the run of up to five characters is
     looked up by its first four among the distinct prefixes. A prefix is at most five letters and
     digits, so it is also a whole number, its ``_code``. A text is in one task as a whole, so its
-    words are gathered before the shuffle, which carries numbers only.
+    words are gathered before the shuffle, which carries numbers only. Words that no text has hit
+    nothing; without them many questions are the same.
     """
-    code = F.conv(F.concat(F.lit("1"), F.col("prefix")), 36, 10).cast("long").alias("_code")
-    asked = question_prefixes(questions).select("question_id", "prefix", code)
-    by_question = asked.groupBy("question_id").agg(F.sort_array(F.collect_set("_code")).alias("_words"))
-    grouped = by_question.groupBy("_words").agg(F.min("question_id").alias("_set"))
-    words = cut_lineage(grouped.select("_set", F.explode("_words").alias("_code")))
-    sets = by_question.join(grouped, "_words").select("question_id", "_set")
-    stem = F.substring("prefix", 1, PREFIX_MIN).alias("_stem")
-    wanted = cut_lineage(asked.select("prefix", "_code").distinct().select("prefix", "_code", stem))
+    spark = df.sparkSession
+    asked = question_prefixes(questions).select("question_id", "prefix", _code("prefix"))
+    by_question = cut_lineage(asked.groupBy("question_id").agg(F.sort_array(F.collect_set("_code")).alias("_words")))
+    prefix = F.substring(F.lower(F.conv(F.col("_code").cast("string"), 10, 36)), 2, TERM_LETTERS)
+    codes = by_question.select(F.explode("_words").alias("_code")).distinct()
+    wanted = cut_lineage(codes.select("_code", prefix.alias("prefix")).withColumn("_stem", F.substring("prefix", 1, PREFIX_MIN)))
     # Runs lie within words, so a word that a text repeats is cut into them once.
     spoken = F.array_join(F.array_distinct(F.split(search_form(F.col("feedback")), " ")), " ")
     runs = F.array_distinct(grams(spoken, [(PREFIX_MIN, TERM_LETTERS)]))
     found = df.select(ORD, _weight(df).alias("_weight"), F.explode(runs).alias("_run"))
     keyed = found.withColumn("_stem", F.substring("_run", 1, PREFIX_MIN))
     met = keyed.join(broadcast_if_small(wanted), "_stem").where(F.startswith("_run", "prefix"))
-    texts = met.groupBy(ORD, "_weight").agg(F.collect_set("_code").alias("_codes"))
-    return Search(cut_lineage(sets), words, cut_lineage(texts))
+    whole = met.groupBy(ORD, "_weight").agg(F.sort_array(F.collect_set("_code")).alias("_codes"))
+    small_arrow_batches(df)
+    texts = cut_lineage(whole.select(
+        F.coalesce(ORD, F.lit(NO_ORD)).alias(ORD), F.col("_weight").cast("long").alias("_weight"),
+        F.lit(1).cast("long").alias("_times"), "_codes").mapInArrow(_first_of_kinds(shown), _TEXT_SCHEMA))
+    occurring = cut_lineage(texts.select(F.explode("_codes").alias("_code")).distinct())
+    # Without an id a question has no set of its own.
+    named = by_question.where(F.col("question_id").isNotNull())
+    shared = named.select("question_id", F.explode("_words").alias("_code")).join(broadcast_if_small(occurring), "_code", "left_semi")
+    own = cut_lineage(shared.groupBy("question_id").agg(F.sort_array(F.collect_list("_code")).alias("_codes")))
+    words = cut_lineage(own.groupBy("_codes").agg(F.min("question_id").alias("_set")).select("_set", "_codes"))
+    sets = own.join(words, "_codes").select("question_id", "_set")
+    # All questions without an id count as one, which has the set of another of the very same words.
+    nameless = by_question.where(F.col("question_id").isNull()).select("_words")  # a row at most
+    twin = named.join(F.broadcast(nameless), "_words").agg(F.min("question_id").alias("question_id"))
+    lent = sets.join(F.broadcast(twin), "question_id").select(F.lit(None).cast("long").alias("question_id"), "_set")
+    return Search(cut_lineage(sets.unionByName(lent)), words, texts)
+
+
+def kinds(rows: pa.Table, shown: int) -> pa.Table:
+    """Texts of the same words and weight are a kind: the first ``shown`` of each, of which the first counts for all.
+
+    No list shows others, so rows of kinds can take the place of the texts and be met with further ones.
+    """
+    if not rows.num_rows:
+        return rows
+    rows = rows.combine_chunks()
+    ids, weights, times = (rows.column(i).to_numpy() for i in range(3))
+    codes = rows.column(3).combine_chunks()
+    ends = np.ascontiguousarray(codes.offsets.to_numpy(), np.int64) * 8
+    whole = pa.Array.from_buffers(pa.large_binary(), rows.num_rows, [
+        None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(codes.values.to_numpy(), np.int64))])
+    same = whole.dictionary_encode().indices.to_numpy()
+    order = np.lexsort((ids, weights, same))
+    same, weights = same[order], weights[order]
+    starts = np.flatnonzero(np.concatenate([[True], (same[1:] != same[:-1]) | (weights[1:] != weights[:-1])]))
+    sizes = np.diff(starts, append=order.size)
+    counts = np.zeros(order.size, np.int64)
+    counts[starts] = np.add.reduceat(times[order], starts)
+    kept = np.arange(order.size) - np.repeat(starts, sizes) < shown
+    return rows.take(pa.array(order[kept])).set_column(2, rows.schema.field(2), pa.array(counts[kept]))
+
+
+def _first_of_kinds(shown: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each task's kinds; a task whose texts are nearly all of different kinds hands them on as they come."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= KINDS_AT_ONCE:
+                met = kinds(pa.Table.from_batches(held), shown)
+                if met.num_rows > KINDS_AT_ONCE // 2:
+                    yield from met.to_batches(max_chunksize=TEXTS_AT_ONCE)
+                    held, size = [], 0
+                else:
+                    held, size = met.to_batches(), met.num_rows
+        if held:
+            yield from kinds(pa.Table.from_batches(held), shown).to_batches(max_chunksize=TEXTS_AT_ONCE)
+
+    return work
 
 
 class Unions:
     """How many texts each set of words hits, and the first of them, met block by block in their order.
 
     A word of a block of texts is a row of bits; those of a set are united and counted. Memory holds
-    one block and the sets, never text-question pairs.
+    one block and the sets, never text-question pairs. Only sets with a word in the block are met, and for
+    those with one alone the word is counted, not the set.
     """
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, shown: int):
-        order = np.argsort(-sizes, kind="stable")  # so the sets that have an i-th word come first
-        self.ids, self.sizes, self.starts = ids[order], sizes[order], (np.cumsum(sizes) - sizes)[order]
+        self.ids, self.sets = ids, np.repeat(np.arange(ids.size), sizes)
         self.codes, words = np.unique(codes, return_inverse=True)
         self.words = words.astype(np.int32)
         self.hits = np.zeros(ids.size, np.int64)
         self.have = np.zeros(ids.size, np.int64)
         self.best = np.zeros((ids.size, shown, 2), np.int64)
 
-    def add(self, ords: np.ndarray, weights: np.ndarray, owner: np.ndarray, codes: np.ndarray) -> None:
-        """Texts of one block by number and weight; ``codes`` are the words of the texts ``owner``."""
+    def add(self, ords: np.ndarray, weights: np.ndarray, times: np.ndarray, owner: np.ndarray, codes: np.ndarray) -> None:
+        """Texts of one block by number and weight, with how many each stands for; ``codes`` are the words of the texts ``owner``."""
         if not (self.codes.size and codes.size):
             return
         word = np.minimum(np.searchsorted(self.codes, codes), self.codes.size - 1)
         known = self.codes[word] == codes
         word, owner = word[known], owner[known]
-        line = np.zeros(self.codes.size, np.int64)  # line 0 has no bits
         present = np.unique(word)
-        line[present] = np.arange(1, present.size + 1)
-        bits = np.zeros((present.size + 1, TEXTS_AT_ONCE // 8), np.uint8)
-        np.bitwise_or.at(bits.reshape(-1), line[word] * bits.shape[1] + (owner >> 3), np.right_shift(128, owner & 7).astype(np.uint8))
+        line = np.full(self.codes.size, -1, np.int32)
+        line[present] = np.arange(present.size)
+        bits = np.zeros((present.size, TEXTS_AT_ONCE // 8), np.uint8)
+        np.bitwise_or.at(bits.reshape(-1), line[word] * np.int64(bits.shape[1]) + (owner >> 3), np.right_shift(128, owner & 7).astype(np.uint8))
         bits = bits.view(np.uint64)
+        planes = _planes(times)
+        # The words that are in the block, set by set.
         lines = line[self.words]
-        for start in range(0, self.ids.size, SETS_AT_ONCE):
-            own = slice(start, start + SETS_AT_ONCE)
-            sizes, starts = self.sizes[own], self.starts[own]
-            united = bits[lines[starts]]
-            for i in range(1, int(sizes[0])):
-                n = int(np.searchsorted(-sizes, -i))  # the sets of more than i words
-                united[:n] |= bits[lines[starts[:n] + i]]
-            counts = np.bitwise_count(united).sum(axis=1, dtype=np.int64)
-            self.hits[own] += counts
-            self._first(start + np.flatnonzero((counts > 0) & (self.have[own] < self.best.shape[1])), united, start, ords, weights)
-
-    def _first(self, sets: np.ndarray, united: np.ndarray, start: int, ords: np.ndarray, weights: np.ndarray) -> None:
-        """Append the first texts of this block to the lists that are not full."""
-        if not sets.size:
-            return
-        open_ = np.unpackbits(united[sets - start].view(np.uint8), axis=1).view(bool)
-        for _ in range(self.best.shape[1]):
-            at = open_.argmax(axis=1)
-            on = np.flatnonzero(open_[np.arange(at.size), at] & (self.have[sets] < self.best.shape[1]))
-            at, who = at[on], sets[on]
-            self.best[who, self.have[who]] = np.stack([weights[at], ords[at]], axis=1)
-            self.have[who] += 1
-            open_[on, at] = False
+        met = np.flatnonzero(lines >= 0)
+        lines, sets = lines[met], self.sets[met]
+        starts = np.flatnonzero(np.diff(sets, prepend=-1))
+        sets, sizes = sets[starts], np.diff(starts, append=lines.size)
+        alone = sizes == 1
+        by_word = lines[starts[alone]]
+        counts = _counted(bits, planes)
+        self.hits[sets[alone]] += counts[by_word]
+        self._first(sets[alone], by_word, bits, ords, weights)
+        sets, starts, sizes = sets[~alone], starts[~alone], sizes[~alone]
+        order = np.argsort(-sizes, kind="stable")  # so the sets that have an i-th word come first
+        for begin in range(0, order.size, SETS_AT_ONCE):
+            some = order[begin : begin + SETS_AT_ONCE]
+            at, number = starts[some], sizes[some]
+            united = bits[lines[at]]
+            for i in range(1, int(number[0])):
+                n = int(np.searchsorted(-number, -i))  # the sets of more than i words
+                united[:n] |= bits[lines[at[:n] + i]]
+            self.hits[sets[some]] += _counted(united, planes)
+            self._first(sets[some], np.arange(some.size), united, ords, weights)
+
+    def _first(self, sets: np.ndarray, rows: np.ndarray, bits: np.ndarray, ords: np.ndarray, weights: np.ndarray) -> None:
+        """Append the first texts of this block, by their rows of bits, to the lists that are not full."""
+        short = self.have[sets] < self.best.shape[1]
+        sets, rows = sets[short], rows[short]
+        for begin in range(0, sets.size, SETS_AT_ONCE):
+            some = sets[begin : begin + SETS_AT_ONCE]
+            open_ = np.unpackbits(bits[rows[begin : begin + SETS_AT_ONCE]].view(np.uint8), axis=1).view(bool)
+            for _ in range(self.best.shape[1]):
+                at = open_.argmax(axis=1)
+                on = np.flatnonzero(open_[np.arange(at.size), at] & (self.have[some] < self.best.shape[1]))
+                at, who = at[on], some[on]
+                self.best[who, self.have[who]] = np.stack([-weights[at], ords[at]], axis=1)
+                self.have[who] += 1
+                open_[on, at] = False
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        for part in np.array_split(np.flatnonzero(self.hits), -(-self.ids.size // SETS_AT_ONCE) or 1):
-            first = [[{"lack": -w, "ord": o} for w, o in self.best[i, : self.have[i]].tolist()] for i in part.tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(self.ids[part]), pa.array(self.hits[part]), pa.array(first, _FIRST)], ["_set", "hits", "first"])
+        hit = np.flatnonzero(self.hits)
+        for begin in range(0, hit.size, SETS_AT_ONCE):
+            part = hit[begin : begin + SETS_AT_ONCE]
+            have = self.have[part]
+            best = self.best[part][np.arange(self.best.shape[1]) < have[:, None]]
+            texts = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(best[:, i])) for i in range(2)], fields=list(_FIRST.value_type))
+            first = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(have)]).astype(np.int32), texts)
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[part]), pa.array(self.hits[part]), first], ["_set", "hits", "first"])
+
+
+def _planes(times: np.ndarray) -> list[tuple[int, np.ndarray | None]]:
+    """The texts that count, by the binary digits of their numbers; None stands for all, once each."""
+    if (times == 1).all():
+        return [(0, None)]
+    full = np.zeros(TEXTS_AT_ONCE, np.int64)
+    full[: times.size] = times
+    digits = [(d, (full >> d & 1).astype(bool)) for d in range(int(times.max()).bit_length())]
+    return [(d, np.packbits(plane).view(np.uint64)) for d, plane in digits if plane.any()]
+
+
+def _counted(bits: np.ndarray, planes: list[tuple[int, np.ndarray | None]]) -> np.ndarray:
+    counts = np.zeros(len(bits), np.int64)
+    for digit, plane in planes:
+        counts += np.bitwise_count(bits if plane is None else bits & plane).sum(axis=1, dtype=np.int64) << digit
+    return counts
 
 
 def _count_cells(shown: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -242,16 +362,16 @@ def _count_cells(shown: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, sets, unions = None, [], None
         for batch in batches:
-            cells, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(kinds) != 0)) + 1
+            cells, which = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(which) != 0)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells)], strict=True):
                 if cells[a] != cell:
                     if unions is not None:
                         yield from unions.rows()
                     cell, sets, unions = cells[a], [], None
                 part = batch.slice(a, b - a)
-                if kinds[a] == 0:
-                    codes = part.column(4)
+                if which[a] == 0:
+                    codes = part.column(5)
                     sets.append((part.column(2).to_numpy(), codes.value_lengths().to_numpy().astype(np.int64), codes.flatten().to_numpy()))
                     continue
                 if unions is None:
@@ -259,26 +379,27 @@ def _count_cells(shown: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                     unions = Unions(*map(np.concatenate, columns), shown)
                 for start in range(0, part.num_rows, TEXTS_AT_ONCE):
                     texts = part.slice(start, TEXTS_AT_ONCE)
-                    codes = texts.column(4)
+                    codes = texts.column(5)
                     owner = np.repeat(np.arange(texts.num_rows), codes.value_lengths().to_numpy())
-                    unions.add(texts.column(2).to_numpy(), texts.column(3).to_numpy(), owner, codes.flatten().to_numpy())
+                    unions.add(*(texts.column(i).to_numpy() for i in (2, 3, 4)), owner, codes.flatten().to_numpy())
         if unions is not None:
             yield from unions.rows()
 
     return work
 
 
-def _hits(found: Search, shown: int) -> DataFrame:
-    """(question_id, hits, rank, _ord) of the ``shown`` most severe texts of each question.
+def _hits_of_sets(found: Search, shown: int) -> DataFrame:
+    """(_set, hits, _first) of each set of words that hits a text; ``_first`` are the ``shown`` most severe texts.
 
-    Texts are dealt to a fixed number of groups, and each group meets all sets, in parts if there are very many:
-    a cell of both is counted in one task, which reads the texts in their order. A group gives
+    Texts are dealt to a fixed number of groups, and each group meets all sets, in parts if there are very many
+    or the groups are fewer than the cores: a cell of both is counted in one task, which reads the texts in their order. A group gives
     one row for a set, so what is shuffled grows with texts and questions, not with their product; the product
-    is bits, united in memory. A null ``_ord`` comes first.
+    is bits, united in memory.
     """
-    spark = found.texts.sparkSession
-    groups = max(1, min(spark.sparkContext.defaultParallelism, TEXT_GROUPS))
-    parts = -(-found.sets.select("_set").distinct().count() // SETS_IN_MEMORY) or 1
+    cores = found.texts.sparkSession.sparkContext.defaultParallelism
+    number = found.words.count()
+    groups = max(1, min(cores, TEXT_GROUPS, -(-found.texts.count() // TEXTS_AT_ONCE)))
+    parts = max(1, -(-number // SETS_IN_MEMORY), min(cores // groups, -(-number // SETS_AT_ONCE)))
     small_arrow_batches(found.texts)
 
     def dealt(column: str, n: int) -> Column:
@@ -289,31 +410,34 @@ def _hits(found: Search, shown: int) -> DataFrame:
 
     every_group = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: cell(g, dealt("_set", parts)))
     every_part = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: cell(dealt(ORD, groups), p))
-
-    # Without an id a question is in no result.
-    sets = found.words.where(F.col("_set").isNotNull()).groupBy("_set").agg(F.collect_list("_code").alias("_codes")).select(
+    nothing = F.lit(0).cast("long")
+    sets = found.words.select(
         F.explode(every_group).alias("_cell"),
-        F.lit(0).alias("_kind"), F.col("_set").alias("_id"), F.lit(0).cast("long").alias("_weight"), "_codes")
+        F.lit(0).alias("_kind"), F.col("_set").alias("_id"), nothing.alias("_weight"), nothing.alias("_times"), "_codes")
     texts = found.texts.select(
-        F.explode(every_part).alias("_cell"),
-        F.lit(1).alias("_kind"), F.coalesce(ORD, F.lit(NO_ORD)).alias("_id"), F.col("_weight").cast("long").alias("_weight"), "_codes")
+        F.explode(every_part).alias("_cell"), F.lit(1).alias("_kind"), F.col(ORD).alias("_id"), "_weight", "_times", "_codes")
     cells = sets.unionByName(texts).repartitionById(groups * parts, "_cell")
     ordered = cells.sortWithinPartitions("_cell", "_kind", F.desc("_weight"), "_id")
     counted = ordered.mapInArrow(_count_cells(shown), "_set long, hits long, first array<struct<lack:long,ord:long>>")
     first = F.slice(F.sort_array(F.flatten(F.collect_list("first"))), 1, shown)
-    merged = counted.groupBy("_set").agg(F.sum("hits").alias("hits"), first.alias("_first"))
-    listed = found.sets.join(merged, "_set").select("question_id", "hits", F.posexplode("_first").alias("_at", "_text"))
+    return counted.groupBy("_set").agg(F.sum("hits").alias("hits"), first.alias("_first"))
+
+
+def _listed(hits: DataFrame, owner: str) -> DataFrame:
+    """(owner, hits, rank, _ord); a null ``_ord`` comes first."""
+    listed = hits.select(owner, "hits", F.posexplode("_first").alias("_at", "_text"))
     number = F.col("_text.ord")
-    return listed.select("question_id", "hits", (F.col("_at") + 1).alias("rank"), F.when(number != NO_ORD, number).alias(ORD))
+    return listed.select(owner, "hits", (F.col("_at") + 1).alias("rank"), F.when(number != NO_ORD, number).alias(ORD))
 
 
-def keyword_hits(questions: DataFrame, df: DataFrame, shown: int = 5) -> DataFrame:
+def keyword_hits(questions: DataFrame, df: DataFrame, shown: int = SHOWN) -> DataFrame:
     """Per question the number of texts with at least one hit and the first of them.
 
     Gives (question_id, hits, rank, _ord) for the ``shown`` most severe texts; a question without
     a hit has no row.
     """
-    return _hits(search(questions, df), shown)
+    found = search(questions, df, shown)
+    return _listed(found.sets.join(_hits_of_sets(found, shown), "_set"), "question_id")
 
 
 # --- reports and lists -------------------------------------------------------------------------
@@ -360,8 +484,12 @@ def _bullet_texts(df: DataFrame, best: DataFrame, owner: str) -> DataFrame:
     ``best`` is read twice, so it has to be a stored table. Each record is fetched once, however
     many owners show it.
     """
-    wanted = broadcast_if_small(best.select(ORD).distinct())
-    lines = df.select(ORD, bullet_line(df).alias("_line")).join(wanted, ORD)
+    wanted = best.select(ORD).distinct()
+    some = [r[0] for r in wanted.limit(FEW_ROWS + 1).collect()]
+    if len(some) <= FEW_ROWS:  # numbers in the plan reach the scan, before columns are made
+        lines = df.where(F.col(ORD).isin(some)).select(ORD, bullet_line(df).alias("_line"))
+    else:
+        lines = df.select(ORD, bullet_line(df).alias("_line")).join(broadcast_if_small(wanted), ORD)
     ranked = [F.max(F.when(F.col("rank") == i, F.col("_line"))) for i in range(1, LISTED + 1)]
     ids = [F.max(F.when(F.col("rank") == i, F.col(ORD))).cast("string") for i in range(1, LISTED + 1)]
     return best.join(lines, ORD).groupBy(owner).agg(
@@ -506,9 +634,7 @@ def _route(questions: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFram
 
 def _route_words(routed: DataFrame, found: Search) -> DataFrame:
     """Settle the questions left by whether any of their words occurs in a text."""
-    occurring = found.texts.select(F.explode("_codes").alias("_code")).distinct()
-    answered = found.words.join(occurring, "_code", "left_semi").select("_set").distinct()
-    marked = _flag(routed, found.sets.join(answered, "_set", "left_semi"), "_hit")
+    marked = _flag(routed, found.sets, "_hit")
     last = F.when(F.col("_hit"), "keyword").otherwise("none")
     return marked.withColumn("intent", F.coalesce("intent", last)).drop("_hit")
 
@@ -642,12 +768,8 @@ def answer_questions(questions: DataFrame, df: DataFrame, error: str | None = No
         F.lit(analyzed) & (shown == 0),
         _text("**", name, "** has ", reports, " report(s) and none of them are negative or mixed."),
     ).otherwise(_text("**", name, "** has ", reports, " report(s)", extra, ":\n")).alias("own"), _more(shown, 5).alias("own_more"))
-    hits = cut_lineage(_hits(found, 5))
-    own = own.unionByName(hits.where(F.col("rank") == 1).select(
-        "question_id", _text("Found ", F.col("hits"), " related report(s):\n").alias("own"),
-        _more(F.col("hits"), 5).alias("own_more"),
-    ))
-    best = [_best(placed, rows, "location", 5), hits.select("question_id", "rank", ORD)]
+    hits = cut_lineage(_hits_of_sets(found, SHOWN))
+    best = [_best(placed, rows, "location", 5)]
     fixed_lists = rows.where(F.col("_list").isin("high_severity", "negative_digest", "positive"))
     kept = top_rows(fixed_lists, ["_list"], [F.desc("_weight"), F.asc(ORD)], LISTED, "rank").where(
         (F.col("_list") == "high_severity") | (F.col("rank") <= 5)
@@ -659,6 +781,9 @@ def answer_questions(questions: DataFrame, df: DataFrame, error: str | None = No
         ))
         best.append(_best(sorted_out, rows, "category", 5))
     owned = [b.select(F.col("question_id").cast("string").alias("owner"), "rank", ORD) for b in best]
+    # Questions with the same words share their lines until the end.
+    of_set = _text("words ", F.col("_set")).alias("owner")
+    owned.append(_listed(hits, "_set").select(of_set, "rank", ORD))
     everything = reduce(DataFrame.unionByName, owned, kept.select(F.col("_list").alias("owner"), "rank", ORD))
     bullets = cut_lineage(_bullet_texts(df, cut_lineage(everything), "owner")).drop("row_ids")
     fixed = fixed_answers(df, counts).join(bullets.withColumnRenamed("owner", "intent"), "intent", "left").select(
@@ -667,6 +792,9 @@ def answer_questions(questions: DataFrame, df: DataFrame, error: str | None = No
     listed = own.join(
         bullets.select(F.col("owner").try_cast("long").alias("question_id"), "_bullets"), "question_id", "left"
     ).select("question_id", F.concat("own", F.coalesce("_bullets", F.lit("")), "own_more").alias("own"))
+    by_words = hits.select("_set", "hits", of_set).join(bullets, "owner", "left").select("_set", _text(
+        "Found ", F.col("hits"), " related report(s):\n", F.coalesce("_bullets", F.lit("")), _more(F.col("hits"), SHOWN)).alias("own"))
+    listed = listed.unionByName(found.sets.join(by_words, "_set").select("question_id", "own"))
     return (
         routed.join(F.broadcast(fixed), "intent", "left")  # a dozen rows at most
         .join(listed, "question_id", "left")

@@ -260,3 +260,70 @@ def test_context_scores_kinds_of_records_for_sets_of_words(spark, feedback, monk
     expected = [[(i, 1) for i in range(10)], of_heating, of_heating, [(3 * i + 2, 21) for i in range(10)]]
     assert [got[None][k] for k in range(1, 11)] == expected[0]
     assert all([got[i][k] for k in range(1, 11)] == expected[i % 4] for i in range(60))
+
+
+def test_texts_are_met_by_kind_and_questions_by_words_that_texts_have(spark, feedback):
+    """However many texts and questions there are, what meets is the kinds of both."""
+    from pyspark.sql import functions as F
+
+    texts = ["heating broken", "broken window", "window noisy", "nothing here"]
+    df = feedback([{"feedback": texts[i % 4], "severity": ["Low", "High"][i % 7 == 0]} for i in range(1200)])
+    asked = ask(spark, *[["heating unheard", "window heating unheard", "unheard", "broken"][i % 4] + f" q{i:03}" for i in range(400)])
+    asked = asked.unionByName(spark.createDataFrame([(None, "broken q003")], q.QUESTION_SCHEMA))
+    found = q.search(asked, df)
+    tasks = found.texts.rdd.getNumPartitions()
+    assert found.words.count() == 3 and found.texts.count() <= 6 * 5 * tasks
+    assert found.texts.agg(F.sum("_times")).first()[0] == 900
+    hits = [{i for i in range(1200) if any(w in texts[i % 4] for w in words)} for words in (["heating"], ["window", "heating"], [], ["broken"])]
+    expected = {}
+    for i in range(400):
+        first = sorted(hits[i % 4], key=lambda o: (o % 7 != 0, o))[:5]
+        expected |= {(i, k): (len(hits[i % 4]), o) for k, o in enumerate(first, 1)}
+    got = {(r["question_id"], r["rank"]): (r["hits"], r["_ord"]) for r in q.keyword_hits(asked, df).collect()}
+    # A question without an id has the set of one of the very same words, as before.
+    assert got == expected | {(None, k): v for (i, k), v in expected.items() if i == 3}
+
+
+def test_unions_of_kinds_are_those_of_plain_sets():
+    """Texts in any number of blocks and merges, words that are rare and frequent, sets with none, one and many."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    texts = [(o * 3 - 5000, rng.randrange(1, 4), sorted({min(int(rng.expovariate(0.2)), 60) for _ in range(rng.randrange(1, 5))})) for o in range(9000)]
+    sets = [sorted(rng.sample(range(70), rng.randrange(1, 7))) for _ in range(300)]
+    schema = pa.schema([("_ord", pa.int64()), ("_weight", pa.int64()), ("_times", pa.int64()), ("_codes", pa.list_(pa.int64()))])
+
+    def table(rows):
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    rows = [(o, w, 1, c) for o, w, c in texts]
+    rng.shuffle(rows)
+    parts = [q.kinds(table(rows[i : i + 2500]), 5) for i in range(0, 9000, 2500)]
+    met = q.kinds(pa.concat_tables([*parts[:2], parts[2].slice(3), parts[2].slice(0, 3)]), 5).to_pylist() + parts[3].to_pylist()
+    assert sum(r["_times"] for r in met) == 9000 and len(met) < 9000
+    for taken in (met, [{"_ord": o, "_weight": w, "_times": n, "_codes": c} for o, w, n, c in rows]):
+        taken = sorted(taken, key=lambda r: (-r["_weight"], r["_ord"]))
+        unions = q.Unions(np.arange(300) * 10, np.array([len(s) for s in sets]), np.concatenate(sets), 5)
+        for start in range(0, len(taken), q.TEXTS_AT_ONCE):
+            block = taken[start : start + q.TEXTS_AT_ONCE]
+            owner = np.repeat(np.arange(len(block)), [len(r["_codes"]) for r in block])
+            unions.add(*(np.array([r[c] for r in block]) for c in ("_ord", "_weight", "_times")), owner, np.concatenate([r["_codes"] for r in block]))
+        got = {r["_set"]: (r["hits"], [(x["lack"], x["ord"]) for x in r["first"]]) for b in unions.rows() for r in b.to_pylist()}
+        for i, words in enumerate(sets):
+            own = sorted((-w, o) for o, w, c in texts if set(c) & set(words))
+            assert got.get(i * 10, (0, [])) == (len(own), own[:5])
+
+
+def test_many_names_are_found_like_few(spark, wards, monkeypatch):
+    asked = ask(spark, "is the library ok", "wifi and food court", "internet or food service", "entrance", None, "")
+    few = [sorted(map(tuple, f(asked, wards[1]).collect())) for f in (q.mentioned_locations, q.mentioned_categories)]
+    answers = sorted(map(tuple, q.answer_questions(asked, wards[1]).collect()))
+    monkeypatch.setattr(q, "FEW_KEYS", 0)
+    monkeypatch.setattr(q, "FEW_ROWS", 0)
+    assert [sorted(map(tuple, f(asked, wards[1]).collect())) for f in (q.mentioned_locations, q.mentioned_categories)] == few
+    assert few[0] and few[1] and sorted(map(tuple, q.answer_questions(asked, wards[1]).collect())) == answers
+    assert q.mentioned_locations(asked, wards[1].where("location = 'IT'")).collect() == []
+    assert q.mentioned_categories(asked, wards[1].where("category is null")).collect() == []
