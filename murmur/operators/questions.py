@@ -90,10 +90,20 @@ def label_counts(df: DataFrame) -> DataFrame:
     """Number ``_n`` and first row ``_first`` of each combination of place and labels.
 
     All counts that answers need are sums over this table, so one scan serves them together. The
-    functions below that count records take it as well as the records themselves.
+    functions below that count records take it as well as the records themselves. The first rows
+    of a combination, as many as a list may show, lie up to ``_bound``, or anywhere if it is null:
+    of the first rows of some dealt groups as many do.
     """
-    keys = ["location", *(ANALYSIS_COLUMNS if is_analyzed(df) else [])]
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(ORD).alias("_first"))
+    group = F.pmod(F.xxhash64(ORD), F.lit(2 * LISTED))
+    firsts = F.array(*[F.min(F.when(group == i, F.col(ORD))) for i in range(2 * LISTED)])
+    return df.groupBy(*_label_names(df)).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(ORD).alias("_first"),
+        F.get(F.array_sort(F.array_compact(firsts)), F.lit(LISTED - 1)).alias("_bound"),
+    )
+
+
+def _label_names(df: DataFrame) -> list[str]:
+    return ["location", *(ANALYSIS_COLUMNS if is_analyzed(df) else [])]
 
 
 def _count(df: DataFrame) -> Column:
@@ -442,12 +452,20 @@ def keyword_hits(questions: DataFrame, df: DataFrame, shown: int = SHOWN) -> Dat
 
 # --- reports and lists -------------------------------------------------------------------------
 
-def _first_rows(df: DataFrame, k: int = LISTED) -> DataFrame:
-    """The first ``k`` rows of every list an answer may show: (_list, _key, _weight, _ord).
+def _first_rows(df: DataFrame, counts: DataFrame) -> DataFrame:
+    """The first rows, ``LISTED`` at most, of every list an answer may show: (_list, _key, _weight, _ord).
 
     One narrow pass: complaints by place and all rows by category, the high-severity, negative
-    and positive rows. The last are in source order, the others by severity.
+    and positive rows. The last are in source order, the others by severity. A list is made of whole
+    combinations of place and labels, so of each of these the first rows are enough; ``counts`` is ``label_counts(df)``.
     """
+    names = _label_names(df)
+    bounds = counts.select(*[F.col(n).alias(f"_of_{n}") for n in names], "_bound")
+    df = df.select(ORD, *names)
+    if is_small(bounds):
+        near = F.col(ORD).isNull() | F.col("_bound").isNull() | (F.col(ORD) <= F.col("_bound"))
+        same = reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"_of_{n}")) for n in names])
+        df = df.join(F.broadcast(bounds), same & near, "left_semi")
     weight, place = _weight(df), F.col("location")
 
     def entry(name: str, key: Column, when: Column, rank: Column = weight) -> Column:
@@ -466,7 +484,7 @@ def _first_rows(df: DataFrame, k: int = LISTED) -> DataFrame:
     else:
         lists = [entry("location", place, place.isNotNull())]
     listed = df.select(ORD, F.inline(F.array_compact(F.array(*lists))))
-    return top_rows(listed, ["_list", "_key"], [F.desc("_weight"), F.asc(ORD)], k, "_rank").drop("_rank")
+    return top_rows(listed, ["_list", "_key"], [F.desc("_weight"), F.asc(ORD)], LISTED, "_rank").drop("_rank")
 
 
 def _best(mentions: DataFrame, rows: DataFrame, key: str, limit: int) -> DataFrame:
@@ -522,7 +540,7 @@ def _report(questions: DataFrame, df: DataFrame, key: str, limit: int) -> DataFr
     counts = cut_lineage(label_counts(df))
     named = mentioned_locations if key == "location" else mentioned_categories
     mentions = cut_lineage(named(questions, counts))
-    best = cut_lineage(_best(mentions, _first_rows(df), key, limit))
+    best = cut_lineage(_best(mentions, _first_rows(df, counts), key, limit))
     listed = _bullet_texts(df, best, "question_id")
     return _totals(mentions, counts, key).join(listed, "question_id", "left").select(
         "question_id", "names", "reports", "shown",
@@ -541,11 +559,14 @@ def category_report(questions: DataFrame, df: DataFrame, limit: int = 5) -> Data
     return _report(questions, df, "category", limit)
 
 
-def top_counts(df: DataFrame, column: str, k: int) -> DataFrame:
-    """The ``k`` most frequent values as (rank, value, n)."""
+def top_counts(df: DataFrame, column: str, k: int, but: list[str] | None = None) -> DataFrame:
+    """The ``k`` most frequent values as (rank, value, n), without those that are in lower case one of ``but``."""
     counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
         _count(df).alias("n")
     )
+    if but is not None:
+        # Spark would move the condition to the records, where a column that is made would be made twice.
+        counted = counted.select(F.inline(F.array(F.struct("value", "n")))).where(~F.lower("value").isin(but))
     best = counted.orderBy(F.desc("n"), "value").limit(k)
     return best.withColumn("rank", F.expr("row_number() over (order by n desc, value)")).select(
         "rank", "value", "n"
@@ -561,8 +582,7 @@ def top_categories(df: DataFrame, k: int = 4) -> DataFrame:
 
 
 def top_actions(df: DataFrame, k: int = 5) -> DataFrame:
-    wanted = ~F.lower(F.col("suggested_action")).isin(NON_ACTIONS)
-    return top_counts(df.where(wanted), "suggested_action", k)
+    return top_counts(df, "suggested_action", k, but=NON_ACTIONS)
 
 
 def negative_digest(df: DataFrame, k: int = 3) -> DataFrame:
@@ -756,7 +776,7 @@ def answer_questions(questions: DataFrame, df: DataFrame, error: str | None = No
     first, places, categories = _route(questions, counts)
     found = search(first.where(F.col("intent").isNull()), df)
     routed = cut_lineage(_route_words(first, found))
-    rows = cut_lineage(_first_rows(df))
+    rows = cut_lineage(_first_rows(df, counts))
 
     def of(intent: str, mentions: DataFrame) -> DataFrame:
         return mentions.join(routed.where(F.col("intent") == intent), "question_id", "left_semi")

@@ -327,3 +327,28 @@ def test_many_names_are_found_like_few(spark, wards, monkeypatch):
     assert few[0] and few[1] and sorted(map(tuple, q.answer_questions(asked, wards[1]).collect())) == answers
     assert q.mentioned_locations(asked, wards[1].where("location = 'IT'")).collect() == []
     assert q.mentioned_categories(asked, wards[1].where("category is null")).collect() == []
+
+
+def test_first_rows_lie_within_the_bounds_of_their_labels(spark, feedback, monkeypatch):
+    """Few of many records are sorted for the lists; numbers may be null, negative or repeated."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    rows = [{"location": rng.choice(["Hall", "Lab", None]), "category": rng.choice(["Safety", "Other", None]), "feedback": str(rng.random()),
+             "sentiment": rng.choice(["Negative", "Mixed", "Positive", None]), "severity": rng.choice(["Low", "High", None])} for _ in range(3000)]
+    df = feedback(rows).withColumn("_ord", F.when(F.col("_ord") % 500 != 1, (F.col("_ord") * 7919) % 2003 - 1000))
+    counts = q.label_counts(df).cache()
+    assert counts.agg(F.sum("_n")).first()[0] == 3000
+    near = df.join(counts, (df.location.eqNullSafe(counts.location)) & (df.category.eqNullSafe(counts.category))
+                   & (df.sentiment.eqNullSafe(counts.sentiment)) & (df.severity.eqNullSafe(counts.severity)) & (df["_ord"] <= counts["_bound"]))
+    assert counts.count() * 6 <= near.count() < 1500
+
+    def listed(some):
+        return sorted(map(repr, q._first_rows(some, q.label_counts(some)).collect()))
+
+    plain = df.drop("category")
+    got = [listed(df), listed(plain)]
+    monkeypatch.setattr(q, "is_small", lambda *_: False)
+    assert [listed(df), listed(plain)] == got and len(got[0]) == 6 * (2 + 2 + 3) and len(got[1]) == 12
